@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweft.llm import exact_dedup, language_id, quality_rules, source_mixing, token_files
+from logweft.llm import chat_views, exact_dedup, language_id, quality_rules, sentencepiece_codec, source_mixing, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(_table(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir))
 
@@ -36,6 +40,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read(token_files.ids_crc32).select("doc_id", "start", "n_tokens", F.col("value").alias("ids_crc32"))
 
 
+def op9_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat_views.chat_views(_table(spark, sf_dir, "conversations"))
+    return views.withColumn("mask_runs", F.array_join(F.col("mask_runs").cast("array<string>"), ","))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir))
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AS kept, text_sha256
@@ -44,8 +57,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_language_id, op6_exact_dedup, op7_source_mixing, op8_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece_codec, op3_language_id, op6_exact_dedup, op7_source_mixing, op8_token_files, op9_chat_views, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op7_source_mixing": source_mixing.ORACLE}
+    return {"op6_exact_dedup": OP6_SQL, "op7_source_mixing": source_mixing.ORACLE, "op9_chat_views": chat_views.ORACLE}
