@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweft.llm import chat_views, exact_dedup, language_id, near_dedup, quality_rules, sentencepiece_codec, source_mixing, token_counts, token_files
+from logweft.llm import chat_views, exact_dedup, language_id, language_model, near_dedup, quality_rules, sentencepiece_codec, source_mixing, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -27,6 +27,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(_table(spark, sf_dir))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir))
 
@@ -61,7 +65,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece_codec, op3_language_id, op5_near_dedup, op6_exact_dedup, op7_source_mixing, op8_token_files, op9_chat_views, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece_codec, op3_language_id, op4_language_model, op5_near_dedup, op6_exact_dedup, op7_source_mixing, op8_token_files, op9_chat_views, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

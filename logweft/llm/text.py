@@ -96,7 +96,12 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
 
 def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the ranges that the offsets ``at`` mark (0 for empty ranges)."""
-    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    if values.dtype.kind == "f":  # each range summed by itself, so that nothing is lost by differences
+        out, some = np.zeros(len(at) - 1), np.flatnonzero(np.diff(at))
+        if len(some):
+            out[some] = np.add.reduceat(values[: at[-1]], at[some])
+        return out
+    total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[at[1:]] - total[at[:-1]]
 
