@@ -13,6 +13,8 @@ and source are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +104,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int =
     return out.select("doc_id", "source", "size", "source_size", "target", "budget", (whole * F.col("size") + last).cast("long").alias("taken"))
 
 
+_WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    last = next(itertools.islice(_WORD.finditer(text), n - 1, None), None)
+    return text[: last.end()] if last else text
+
+
+def draw(docs: DataFrame, mixed: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: each as often as `mix` takes it, and the one at a cut also up to its last word taken.
+
+    Rows that share a doc_id are taken for copies of one text, and each gets one of their shares.
+    """
+    columns = docs.columns
+    nth = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.lit(0)))
+    shares = mixed.select(F.struct(F.col("doc_id").alias("id"), "size", "taken").alias("_share"), nth("doc_id").alias("_nth")).where("_share.taken > 0")
+    rows = docs.withColumn("_nth_row", nth(doc_id))
+    rows = rows.join(shares, rows[doc_id].eqNullSafe(shares["_share.id"]) & (rows["_nth_row"] == shares["_nth"])).select(*(rows[c] for c in columns), shares["_share.size"].alias("_size"), shares["_share.taken"].alias("_taken"))
+    place = columns.index(text)
+
+    def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            size, taken = (b.column(len(columns) + k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            own = pa.RecordBatch.from_arrays(b.columns[: len(columns)], columns)
+            yield own.take(pa.array(np.repeat(np.arange(b.num_rows), taken // size)))
+            if len(at := np.flatnonzero(taken % size)):
+                cut = own.take(pa.array(at))
+                texts = pa.array([first_words(t, int(n)) for t, n in zip(cut.column(place).to_pylist(), (taken % size)[at])], cut.schema.field(place).type)
+                yield pa.RecordBatch.from_arrays([texts if i == place else c for i, c in enumerate(cut.columns)], columns)
+
+    return rows.mapInArrow(repeat, docs.schema)
+
+
 ORACLE = r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix-0:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM s GROUP BY source),
