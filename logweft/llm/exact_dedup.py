@@ -185,9 +185,17 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, text: str = "tex
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "in_history")
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents that `exact_dedup` keeps, with all their columns; a row repeated with the same doc_id comes once."""
-    ids = groups.where("kept").groupBy("doc_id").count()
+def keep_first(docs: DataFrame, groups: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The documents that `exact_dedup` keeps, with all their columns; a row repeated with the same doc_id comes once.
+
+    Rows without a doc_id are told apart by their text.
+    """
+    kept = groups.where("kept")
+    ids = kept.where("doc_id is not null").groupBy("doc_id").count()
     single, several = ids.where("count = 1").select("doc_id"), ids.where("count > 1").select("doc_id")
-    on = lambda right: docs[doc_id].eqNullSafe(right["doc_id"])
-    return docs.join(single, on(single), "left_semi").unionByName(docs.join(several, on(several), "left_semi").dropDuplicates([doc_id]))
+    on = lambda right: docs[doc_id] == right["doc_id"]
+    nameless = kept.where("doc_id is null").select("text_sha256").distinct()
+    own = F.sha2(F.regexp_replace(F.coalesce(docs[text], F.lit("")), "[\\x20\\x09-\\x0D]", ""), 256)
+    rest = docs.where(docs[doc_id].isNull()).withColumn("_sha", own)
+    rest = rest.join(nameless, rest["_sha"] == nameless["text_sha256"], "left_semi").dropDuplicates(["_sha"]).drop("_sha")
+    return docs.join(single, on(single), "left_semi").unionByName(docs.join(several, on(several), "left_semi").dropDuplicates([doc_id])).unionByName(rest)
