@@ -21,7 +21,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The matrix from CSV with a header and ``;`` between shares."""
     flat = spark.read.schema(SCHEMA.replace("array<string>", "string")).csv(path, header=True)
-    shares = F.filter(F.transform(F.split("shares", ";"), F.trim), lambda s: s != "")
+    shares = F.filter(F.transform(F.split("shares", ";"), lambda s: F.trim(s)), lambda s: s != "")
     return flat.withColumn("shares", shares).withColumn("entry", F.monotonically_increasing_id())
 
 
