@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import GroupState, GroupStateTimeout, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logweft.functions.columns import event_id
 from logweft.operators.parse import parse_lines
@@ -29,7 +30,9 @@ STATE = "generation int, next_line bigint, last_offset bigint, head string, has_
 def tail_lines(spark: SparkSession, sources: DataFrame, selection: Selection, **options) -> DataFrame:
     """Lines appended to the matching files of the sources, as they come."""
     spark.dataSource.register(TailSource)
-    directories = [r["directory"] for r in sources.select("directory").collect()]
+    rows = sources.collect()  # a row for each share of a selection; as a local table it can stand in a streaming plan
+    directories = [r["directory"] for r in rows]
+    sources = spark.createDataFrame(rows, sources.schema)
     lines = spark.readStream.format("logtail").options(directories=json.dumps(directories), **options).load()
     return with_source(lines.where(file_name_matches(F.col("file_name"), selection)), sources)
 
