@@ -41,16 +41,15 @@ def read_lines(spark: SparkSession, directories: list[str], selection: Selection
     if not directories or not selection.valid:
         return spark.createDataFrame([], "value string, file_path string, file_name string, file_size bigint, chunk bigint, pos bigint")
     text = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).text(sorted(set(directories)))
-    rows = text.select(
+    # The test comes before the row numbers: above them it couldn't reach the scan, and all files would be opened.
+    return text.where(file_name_matches(F.col("_metadata.file_name"), selection)).select(
         "value",
         plain_path(F.col("_metadata.file_path")).alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("chunk"),
         F.monotonically_increasing_id().alias("pos"),
-        F.col("_metadata.file_name").alias("_name"),
     )
-    return rows.where(file_name_matches(F.col("_name"), selection)).drop("_name")
 
 
 def with_source(lines: DataFrame, sources: DataFrame) -> DataFrame:

@@ -269,3 +269,24 @@ def test_no_matching_directory(spark):
     m = spark.createDataFrame([("LOCAL", "SAMPLE", "c", "h", ["/no/such/share"])], matrix.SCHEMA)
     events, rejected, status = timeline.load_timeline(spark, matrix.resolve_sources(m, SELECTION), SELECTION)
     assert events.count() == 0 and rejected.count() == 0 and status.where("not readable").count() == 1
+
+
+def test_other_files_are_not_opened(spark, shares):
+    lines = files.read_lines(spark, [str(shares / "b/Java/apache-tomcat-back/logs")], SELECTION)
+    rows = lines.groupBy("file_name").count()
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan()
+    scans, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        inner = node.getClass().getSimpleName()
+        if inner == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif inner.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            kids = node.children()
+            todo += [kids.apply(i) for i in range(kids.size())]
+            if "FileSourceScan" in inner:
+                scans.append(node.metrics().apply("numFiles").value())
+    assert scans == [2]  # of five: one is of another day, one of another kind, one is empty
