@@ -132,7 +132,7 @@ def test_scores_don_t_depend_on_lanes_or_windows(monkeypatch):
     want = None
     for lanes, window in ((1, 1), (4, 16), (64, 7)):
         monkeypatch.setattr(gn, "WINDOW", window)
-        got = net.score(gn.lay_out(cls, slot, ends, lanes, 3), len(ends))
+        got = net.score(gn.lay_out(cls, slot, ends, lanes, 3))
         want = got if want is None else want
         assert got == pytest.approx(want, rel=1e-4)
 
@@ -148,7 +148,7 @@ def test_gradient_by_differences(monkeypatch):
     monkeypatch.setattr(gn, "WINDOW", 20)
     lanes = gn.lay_out(cls, slot, ends, 2, 3)
     before = net.flat.copy()
-    net.train(lanes, 3, rate=1e-3)
+    net.train(lanes, rate=1e-3)
     step = net.flat - before
     checked = 0
     for i in draw.choice(len(before), 60, replace=False):
@@ -156,7 +156,7 @@ def test_gradient_by_differences(monkeypatch):
         for d in (3e-2, -3e-2):
             other = gn.Network(net.slots, 5, before)
             other.flat[i] += d
-            loss.append(-other.score(lanes, 3).sum())
+            loss.append(-other.score(lanes).sum())
         slope = (loss[0] - loss[1]) / 6e-2
         if abs(slope) > 0.05:
             assert np.sign(step[i]) == -np.sign(slope), i
@@ -170,10 +170,10 @@ def test_training_learns_a_pattern():
     slot = np.where(cls == 1, 2, 0)
     ends = np.arange(6, len(cls) + 1, 6)
     lanes = gn.lay_out(cls, slot, ends, 16, 3)
-    before = net.score(lanes, len(ends)).sum()
+    before = net.score(lanes).sum()
     for _ in range(20):
-        net.train(lanes, len(ends), rate=0.02)
-    assert net.score(lanes, len(ends)).sum() > 0.3 * before
+        net.train(lanes, rate=0.02)
+    assert net.score(lanes).sum() > 0.3 * before
 
 
 def test_pipeline_against_brute_force(spark, small):
@@ -209,3 +209,22 @@ def test_pipeline_against_brute_force(spark, small):
 def test_shingle_sets_by_brute_force():
     texts = [r[1] for r in rows()]
     assert [len(s) for s in nd.shingle_sets(pa.array(texts))] == [len(shingles(t)) for t in texts]
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_take_odd_tables(spark, small, empty):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from logweft.llm.store import materialize
+
+    docs = materialize(nothing(spark) if empty else edge_docs(spark), "odd")
+    columns, sizes = docs.columns, []
+    for name, stage in pipeline.STAGES:
+        docs = materialize(stage(spark, docs, small), name)
+        sizes.append(docs.count())
+        assert name == "sentencepiece" or docs.columns == columns
+    if empty:
+        assert sizes == [0] * 5
+    else:
+        letters = sum(any(map(str.isalpha, r[1] or "")) for r in rows())
+        assert sizes[0] <= letters and sizes[0] >= sizes[1] >= sizes[2] > 0 and sizes[4] == sizes[3]
+        assert docs.where("not round_trip").count() == 0
