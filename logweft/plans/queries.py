@@ -321,13 +321,13 @@ def source_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH m AS (SELECT r_name, n_name, n_nationkey, unnest(['/mnt/' || n_nationkey, '/base/share/' || n_nationkey]) AS share, unnest([0, 1]) AS i FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = (SELECT min(r_name) FROM region) AND n_name = (SELECT min(n_name) FROM nation WHERE n_regionkey = (SELECT r_regionkey FROM region ORDER BY r_name LIMIT 1)))"
-    " SELECT array_to_string(list_transform([r_name, n_name, n_name || '_' || n_nationkey, 'ACCOUNTING API', i::VARCHAR, 'back'], lambda x: regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')), '-') AS id,"
+    " SELECT array_to_string(list_transform([r_name, n_name, n_name || '_' || n_nationkey, 'SHOP API', i::VARCHAR, 'back'], lambda x: regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')), '-') AS id,"
     " '[' || n_name || '_' || n_nationkey || '] ' || share AS name, share || '/Java/apache-tomcat-back/logs' AS directory, n_nationkey * 1000 + i AS source_ord FROM m"
 )
 def resolve_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = environment_matrix(spark, sf_dir)
     environment, country = m.agg(F.min(F.struct("environment", "country"))).first()[0]
-    found = matrix.resolve_sources(m, Selection(environment, country, "back", " ACCOUNTING API ", "2026-07-29"), "/base")
+    found = matrix.resolve_sources(m, Selection(environment, country, "back", " SHOP API ", "2026-07-29"), "/base")
     return found.select("id", "name", "directory", "source_ord")
 
 
