@@ -13,29 +13,43 @@ from logweft.plans.config import ParserConfig
 _BETWEEN = "\x01\x1f\x01"
 
 
-def captures(line: Column, config: ParserConfig) -> tuple[Column, dict[str, Column]]:
-    """Whether the line begins an event, and its attributes. The pattern runs once for the test and once for all captures."""
+def _packed(line: Column, config: ParserConfig) -> tuple[Column, Column, dict[str, int]]:
+    """Whether the line begins an event, all its captures as one array from a single pass, and the place of each attribute in it."""
     pattern, names = config.java()
-    begins = line.rlike(pattern)
     order = [a for a in names if a != "message"] + ["message"] * ("message" in names)  # last, so that separators in it do no harm
-    packed = F.regexp_replace(line, rf"\A(?s:.*?)(?:{pattern})(?s:.*)\z", _BETWEEN.join("${%s}" % names[a] for a in order))
-    parts = F.split(packed, _BETWEEN, len(order))
-    found = {a: F.coalesce(F.element_at(parts, i + 1), F.lit("")) for i, a in enumerate(order)}
-    return begins, {a: found.get(a, F.lit("")) for a in ("timestamp", "level", "message", *config.extra_fields)}
-
-
-def _event(config: ParserConfig, line: Column) -> tuple[Column, Column]:
-    begins, got = captures(line, config)
-    extra = [x for f in config.extra_fields for x in (F.lit(f), got[f])]
-    fields = F.create_map(*extra) if extra else F.create_map().cast("map<string,string>")
-    event = F.struct(timestamp_text(got["timestamp"]).alias("timestamp"), level_of(got["level"]).alias("level"), got["message"].alias("message"), fields.alias("fields"))
-    return begins, event
+    before, rest = ("" if pattern.startswith("^") else r"\A(?s:.*?)"), ("" if pattern.endswith(r"\z") else r"(?s:.*)\z")
+    one = F.regexp_replace(line, f"{before}(?:{pattern}){rest}", _BETWEEN.join("${%s}" % names[a] for a in order))
+    return line.rlike(pattern), F.split(one, _BETWEEN, len(order)), {a: i + 1 for i, a in enumerate(order)}
 
 
 def parse_lines(lines: DataFrame, *configs: ParserConfig, value: str = "value") -> DataFrame:
-    """``lines`` with is_header and, for headers, timestamp, event_ts, level, message and fields. The first configuration that matches a line is taken."""
-    parsed = [_event(c, F.col(value)) for c in configs or (ParserConfig(),)]
-    begins = reduce(lambda a, b: a | b, (b for b, _ in parsed))
-    event = F.coalesce(*(F.when(b, e) for b, e in parsed))
-    rows = lines.withColumn("is_header", F.coalesce(begins, F.lit(False))).withColumn("_event", F.when(F.col("is_header"), event))
-    return rows.select("*", "_event.timestamp", event_time(F.col("_event.timestamp")).alias("event_ts"), "_event.level", "_event.message", "_event.fields").drop("_event")
+    """``lines`` with is_header and, for headers, timestamp, event_ts, level, message and fields. The first configuration that matches a line is taken.
+
+    Each pattern runs once for the test and, on headers, once for all captures: the steps are projections of their
+    own, which Spark doesn't merge when an expensive one is used more than once.
+    """
+    configs = configs or (ParserConfig(),)
+    packed = [_packed(F.col(value), c) for c in configs]
+    rows = lines.select("*", *(F.coalesce(begins, F.lit(False)).alias(f"_is{i}") for i, (begins, _, _) in enumerate(packed)))
+    rows = rows.select("*", *(F.when(F.col(f"_is{i}"), parts).alias(f"_parts{i}") for i, (_, parts, _) in enumerate(packed)))
+
+    def attribute(i: int, name: str) -> Column:
+        place = packed[i][2].get(name)
+        return F.lit("") if place is None else F.coalesce(F.element_at(f"_parts{i}", place), F.lit(""))
+
+    def fields(i: int) -> Column:
+        pairs = [x for f in configs[i].extra_fields for x in (F.lit(f), attribute(i, f))]
+        return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+
+    def first(make) -> Column:
+        return F.coalesce(*(F.when(F.col(f"_is{i}"), make(i)) for i in range(len(configs))))
+
+    rows = rows.select(
+        *(rows[c] for c in lines.columns),
+        reduce(lambda a, b: a | b, (F.col(f"_is{i}") for i in range(len(configs)))).alias("is_header"),
+        first(lambda i: timestamp_text(attribute(i, "timestamp"))).alias("timestamp"),
+        first(lambda i: level_of(attribute(i, "level"))).alias("level"),
+        first(lambda i: attribute(i, "message")).alias("message"),
+        first(fields).alias("fields"),
+    )
+    return rows.select(*lines.columns, "is_header", "timestamp", event_time(F.col("timestamp")).alias("event_ts"), "level", "message", "fields")
