@@ -27,7 +27,7 @@ from logweft.llm.pieces import MARK, Vocabulary, load_vocabulary, marked_words,
 from logweft.llm.store import field_type
 from logweft.llm.text import flat, slices
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 
 class PrefixViterbi:
@@ -140,18 +140,34 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "piece_ids") -> DataFrame:
-    """All columns of ``docs`` and the ids of the whole text as array<int> in ``out`` (in place of a column of that name)."""
-    path, kept = path or vocabulary_path(), [c for c in docs.columns if c != out]
+def decodes_back(own: Codec, ids: np.ndarray, at: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each text's ids decode to it, and the number of bytes they decode to."""
+    back, ends = own.decode(ids, at)
+    data, was = flat(texts)
+    same = np.diff(ends) == np.diff(was)
+    if same.all():
+        wrong = np.append(0, np.cumsum(back != data))
+        return wrong[was[1:]] == wrong[was[:-1]], np.diff(ends)
+    return np.array([back[i:j].tobytes() == data[k:m].tobytes() for i, j, k, m in zip(ends, ends[1:], was, was[1:])], bool), np.diff(ends)
+
+
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "piece_ids", check: str | None = None) -> DataFrame:
+    """All columns of ``docs`` and the ids of the whole text as array<int> in ``out``; with ``check``, in that column whether they decode to the text.
+
+    Columns of these names are replaced.
+    """
+    path, kept = path or vocabulary_path(), [c for c in docs.columns if c not in (out, check)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text, 8 << 20):
             ids, at = codec(path).encode(b.column(text))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], [*kept, out])
+            made = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))]
+            if check:
+                made.append(pa.array(decodes_back(codec(path), ids, at, b.column(text))[0], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *made], [*kept, out] + [check] * bool(check))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + [f"`{out}` array<int>"]
-    source = docs if text in kept else docs.withColumn("_text", F.col(text))
-    return source.mapInArrow(run, ", ".join(fields))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + [f"`{out}` array<int>"] + [f"`{check}` boolean"] * bool(check)
+    return docs.mapInArrow(run, ", ".join(fields))
 
 
 def _decoded(path: str, lists: pa.Array) -> pa.Array:
@@ -183,16 +199,9 @@ def round_trip(docs: DataFrame, path: str | None = None, text: str = "text", doc
         for b in slices(batches, limit=8 << 20):
             own = codec(path)
             ids, at = own.encode(b.column("text"))
-            back, ends = own.decode(ids, at)
-            data, was = flat(b.column("text"))
-            same = np.diff(ends) == np.diff(was)
-            if len(back) == len(data) and same.all():
-                wrong = np.append(0, np.cumsum(back != data))
-                same = wrong[was[1:]] == wrong[was[:-1]]
-            else:
-                same = np.array([back[i:j].tobytes() == data[k:m].tobytes() for i, j, k, m in zip(ends, ends[1:], was, was[1:])], bool)
+            same, n_bytes = decodes_back(own, ids, at, b.column("text"))
             raw, cut = memoryview(ids.astype("<u4")).cast("B"), (at * 4).tolist()
             crc = pa.array([zlib.crc32(raw[i:j]) for i, j in zip(cut, cut[1:])], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at), pa.int64()), crc, pa.array(np.diff(ends), pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "n_bytes", "same"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at), pa.int64()), crc, pa.array(n_bytes, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "n_bytes", "same"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {field_type(docs, doc_id)}, n_pieces bigint, ids_crc32 bigint, n_bytes bigint, same boolean")
