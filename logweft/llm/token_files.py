@@ -37,7 +37,7 @@ from logweft.llm.text import flat, slices, split_words
 SEQUENCE = 1024
 BATCH_SEQUENCES = 256
 END_ID = 1
-CACHED_UNITS = 1_000_000
+CACHED_UNITS = 600_000
 _KIND = np.zeros(256, np.uint8)  # 1: ASCII letter or digit; 2: ASCII punctuation but the apostrophe
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 2
@@ -232,7 +232,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, encoder = TaskContext.get().partitionId(), None, _encoder(tokenizer, end_id)
-        for b in slices(batches, limit=16 << 20):
+        for b in slices(batches, limit=8 << 20):
             if out is None:
                 fs, path = open_store(folder)
                 fs.create_dir(path, recursive=True)
