@@ -6,12 +6,17 @@
    by key, a sorted order cut over tasks wherever it is crowded; classes that share the first `LEAST_DEPTH` hashes
    are neighbours in it. Where more than `CROWD` share them, the region is taken deeper, hash by hash, and at the
    full depth by windows over the order of signatures. The heads of such parts, also of those that end at a
-   task's border, are compared with each other.
+   task's border, are compared with each other. This only finds links early: all members of such regions are named
+   for step 4.
 3. Within a part, pairs whose signatures agree in `LEAST_AGREEING` places or more are candidates. At first only a
    spanning forest of them is taken, so that a group of n near copies costs n pairs, and confirmed on full sets.
    Then the members of candidate pairs that still lie in two components are brought together by part, with their
    full sets, and each part looks for the links left among them: no rows of pairs are made, however many there are.
-4. Components come from repeated star contraction of the confirmed links, in tables written to the shared folder.
+4. Regions of more than `CROWD` classes whose members still lie in two components go to an exact join on full sets
+   (`pairs_across`): each set's rarest shingles, as many as a linked pair can't all lack, with a bound by position on
+   what two sets can share. Lists of a frequent shingle are dealt over cells, and members of one component are never
+   compared. So no pair that shares a region is lost to its size.
+5. Components come from repeated star contraction of the confirmed links, in tables written to the shared folder.
 
 A pair at similarity 0.75 shares no two-hash prefix in any of 16 trees with a chance of 2 in a million, and falls
 under the signature threshold with a chance of about 1 in 20,000.
@@ -31,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +49,8 @@ TREES, DEPTH, LEAST_DEPTH = 16, 4, 2
 HASHES = TREES * DEPTH
 CROWD = 256
 LEAST_AGREEING = 34
+HOT_SHINGLES = 1 << 18
+CELL = 1 << 14
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FACTORS = [np.uint64(int(x) | 1) for x in mix64(np.arange(1, HASHES + 1, dtype=np.uint64), 77)]
 
@@ -167,6 +175,9 @@ class _Parts:
             for k in np.unique(np.concatenate([i, j])).tolist():
                 self.rows.append((1, name, ids[k], None, brief[k].tobytes()))
 
+    def members(self, name: bytes, ids: list) -> None:
+        self.rows.extend((3, name, x, None, b"") for x in ids)
+
     def heads(self, name: bytes, ids: list, brief: np.ndarray) -> None:
         """Heads of neighbouring parts, however many: windows of them."""
         step = CROWD // 2
@@ -192,7 +203,7 @@ class _Parts:
 
 
 def forest_candidates(orders: DataFrame) -> DataFrame:
-    """kind, part, a, b, brief: pairs (0), members of parts with pairs left over (1), and heads at a task's borders (2)."""
+    """kind, part, a, b, brief: pairs (0), members of parts with pairs left over (1), heads at a task's borders (2), and members of regions not compared whole (3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rest, kind, first = _Parts(), None, None, True
@@ -206,6 +217,8 @@ def forest_candidates(orders: DataFrame) -> DataFrame:
                 parts.rows.append((2, names[cuts[k]].tobytes(), ids[cuts[k]], None, b""))
             first = False
             for k, m in zip(cuts[stops - cuts > 1].tolist(), stops[stops - cuts > 1].tolist()):
+                if m - k > CROWD:
+                    parts.members(names[k].tobytes(), ids[k:m])
                 parts.region(names[k].tobytes(), ids[k:m], keys[k:m], brief[k:m], LEAST_DEPTH)
 
         for b in batches:
@@ -363,6 +376,105 @@ def links_within(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(sets.withColumnRenamed("class_id", "node"), "node").groupBy("part").applyInArrow(run, f"a {kind}, b {kind}")
 
 
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels after more links."""
+    if more.isEmpty():
+        return labels
+    return materialize(components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), "labels")
+
+
+def apart_in_regions(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """node and label of the members of regions not compared whole that lie in two components or more."""
+    members = found.where("kind = 3").select("part", F.col("a").alias("node")).join(labels, "node", "left").select("part", "node", F.coalesce("label", "node").alias("label"))
+    mixed = members.groupBy("part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("part")
+    return members.join(mixed, "part", "left_semi").select("node", "label").distinct()
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """shingle, cell, node, label, size and left (shingles from this one on, rarest first) of each set's first shingles."""
+    for b in batches:
+        flat, ends = b.column("shingles").flatten().to_numpy(zero_copy_only=False), np.cumsum(b.column("shingles").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        if not len(flat):
+            continue
+        size = np.diff(ends, prepend=0)
+        starts, owner = ends - size, np.repeat(np.arange(len(size)), size)
+        at = np.minimum(np.searchsorted(hot, flat), max(0, len(hot) - 1))
+        count = np.where(hot[at] == flat, hot_count[at], 0) if len(hot) else np.zeros(len(flat), np.int64)
+        order = np.lexsort((flat, count, owner))
+        left = size[owner] - (np.arange(len(flat)) - starts[owner])
+        own = left * DENOMINATOR >= NUMERATOR * size[owner]  # a linked set shares one of these at least
+        shingle, count, owner, left = flat[order][own], count[order][own], owner[own], left[own]
+        blocks = 1 + count // CELL
+        block = (mix64(np.add.reduceat(flat.view(np.uint64), starts))[owner] % blocks.astype(np.uint64)).astype(np.int64)
+        row = np.repeat(np.arange(len(shingle)), blocks)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        cell = np.minimum(block[row], other) << 24 | np.maximum(block[row], other)
+        who = pa.array(owner[row])
+        yield pa.RecordBatch.from_arrays([pa.array(shingle[row]), pa.array(cell), b.column("node").take(who), b.column("label").take(who), pa.array(size[owner[row]]), pa.array(left[row])], ["shingle", "cell", "node", "label", "size", "left"])
+
+
+def _same(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each row but the first is as the one before."""
+    return pc.equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _meet(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """a and b of pairs in one list and two components that can share enough; whole lists, sorted by shingle, cell and label."""
+    table = table.combine_chunks()
+    listed = _same(table["shingle"]) & _same(table["cell"])
+    ends = lambda same: np.repeat(c := np.flatnonzero(np.append(~same, True)) + 1, np.diff(c, prepend=0))
+    stop, nxt = ends(listed), ends(listed & _same(table["label"]))
+    size, left = table["size"].to_numpy(), table["left"].to_numpy()
+    i, j, some, taken = np.arange(len(stop)), nxt, [], 0
+
+    def batch() -> pa.RecordBatch:
+        a, b = (pa.array(np.concatenate(x)) for x in zip(*some))
+        node = table["node"].combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(a), node.take(b)], ["a", "b"])
+
+    while len(i):
+        live = j < stop[i]
+        i, j = i[live], j[live]
+        near = (NUMERATOR + DENOMINATOR) * np.minimum(left[i], left[j]) >= NUMERATOR * (size[i] + size[j])
+        some.append((i[near], j[near]))
+        taken += int(near.sum())
+        if taken > 1 << 18:
+            yield batch()
+            some, taken = [], 0
+        j = j + 1
+    if taken:
+        yield batch()
+
+
+def pairs_across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """a and b of all pairs of members in two components that may be linked by their full sets: none that is linked is missing."""
+    kind = field_type(members, "node")
+    own = members.join(sets.withColumnRenamed("class_id", "node"), "node")
+    total = own.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    counts = own.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= max(64, total // HOT_SHINGLES + 1)).toPandas()  # at most HOT_SHINGLES rows
+    counts = counts.sort_values("shingle")
+    hot, hot_count = counts["shingle"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = pa.Table.from_batches([b])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+            listed = _same(now["shingle"]) & _same(now["cell"])
+            if not listed.all() or rest["shingle"][0] != now["shingle"][0] or rest["cell"][0] != now["cell"][0]:
+                last = rest.num_rows - now.num_rows + int(np.flatnonzero(np.append(True, ~listed))[-1])  # the last list may go on
+                if last:
+                    yield from _meet(rest.slice(0, last))
+                rest = rest.slice(last)
+        if rest is not None:
+            yield from _meet(rest)
+
+    lists = own.select("node", "label", "shingles").mapInArrow(lambda batches: _prefixes(batches, hot, hot_count), f"shingle bigint, cell bigint, node {kind}, label {kind}, size bigint, left bigint")
+    return lists.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell", "label").mapInArrow(meet, f"a {kind}, b {kind}")
+
+
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each document."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -375,11 +487,13 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     border = found.where("kind = 2").groupBy("part").agg(F.array_sort(F.collect_set("a")).alias("heads")).where("size(heads) > 1")  # two rows for each task at most
     border = border.select(F.explode(F.arrays_zip(F.slice("heads", F.lit(1), F.size("heads") - 1).alias("a"), F.slice("heads", F.lit(2), F.size("heads") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
     pairs = materialize(_pairs(found.where("kind = 0").select("a", "b").unionByName(border)), "pairs")
-    sets = materialize(full_sets(pairs, named, docs), "sets")
+    regions = found.where("kind = 3").select("a", F.col("a").alias("b"))
+    sets = materialize(full_sets(pairs.unionByName(regions), named, docs), "sets")
     labels = materialize(components(materialize(confirm(pairs, sets), "links")), "labels")
-    more = materialize(links_within(left_over(found, labels), sets), "links")
-    if not more.isEmpty():
-        labels = materialize(components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), "labels")
+    labels = _joined(labels, materialize(links_within(left_over(found, labels), sets), "links"))
+    apart = materialize(apart_in_regions(found, labels), "apart")
+    if not apart.isEmpty():
+        labels = _joined(labels, materialize(confirm(materialize(_pairs(pairs_across(apart, sets)), "pairs"), sets), "links"))
     groups = classes.join(labels, classes["class_id"] == labels["node"], "left").select("set_digest", "n", F.coalesce("label", "class_id").alias("component_id"))
     rows = prints.select("doc_id", "n_shingles", "set_digest")
     # At most 1,000 classes can hold a thousandth of the rows each: these go to every task, and the others have no hot key.

@@ -71,6 +71,34 @@ def test_near_dedup_of_groups(spark, monkeypatch, crowd):
     assert found(df) == brute_components(docs)
 
 
+def crowded(n=3000, every=20, own=20):
+    """Texts that share a passage (similarity about 0.68), and among them isolated pairs at 0.76 or so, far apart by id."""
+    passage, texts = [f"shared{k}" for k in range(90)], []
+    for i in range(n):
+        texts.append([*passage, *(f"own{i}x{k}" for k in range(own))])
+    for i in range(0, n // 2, every):
+        texts[n - 1 - i] = [*texts[i][:96], *texts[n - 1 - i][96:]]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_isolated_pairs_in_a_crowded_region(spark, parts):
+    docs = crowded()
+    sets = [shingles(t) for _, t in docs[:21]]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert 0.66 < alike(sets[1], sets[2]) < 0.74 and 0.75 <= alike(sets[0], shingles(docs[-1][1])) < 0.78
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in nd.near_dedup(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    mate = {len(docs) - 1 - i: i for i in range(0, len(docs) // 2, 20)}
+    assert got == {d: mate.get(d, d) for d, _ in docs}
+
+
 def test_keep_one_of_each_group(spark):
     docs = edge_docs(spark)
     kept = nd.keep_one(docs, nd.near_dedup(docs))
