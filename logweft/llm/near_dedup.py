@@ -12,10 +12,11 @@
    spanning forest of them is taken, so that a group of n near copies costs n pairs, and confirmed on full sets.
    Then the members of candidate pairs that still lie in two components are brought together by part, with their
    full sets, and each part looks for the links left among them: no rows of pairs are made, however many there are.
-4. Regions of more than `CROWD` classes whose members still lie in two components go to an exact join on full sets
+4. Regions of more than `CROWD` classes, or cut over tasks, whose members still lie in two components go to an exact join on full sets
    (`pairs_across`): each set's rarest shingles, as many as a linked pair can't all lack, with a bound by position on
    what two sets can share. Lists of a frequent shingle are dealt over cells, and members of one component are never
-   compared. So no pair that shares a region is lost to its size.
+   compared. So no pair that shares a region is lost to its size or to
+   where tasks end.
 5. Components come from repeated star contraction of the confirmed links, in tables written to the shared folder.
 
 A pair at similarity 0.75 shares no two-hash prefix in any of 16 trees with a chance of 2 in a million, and falls
@@ -213,8 +214,11 @@ def forest_candidates(orders: DataFrame) -> DataFrame:
             nonlocal first
             cuts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
             stops = np.append(cuts[1:], len(ids))
-            for k in ([0] if first else []) + ([len(cuts) - 1] if at_end else []):
+            border = ({0} if first else set()) | ({len(cuts) - 1} if at_end else set())  # may go on in another task
+            for k in border:
                 parts.rows.append((2, names[cuts[k]].tobytes(), ids[cuts[k]], None, b""))
+                if stops[k] - cuts[k] <= CROWD:
+                    parts.members(names[cuts[k]].tobytes(), ids[cuts[k] : stops[k]])
             first = False
             for k, m in zip(cuts[stops - cuts > 1].tolist(), stops[stops - cuts > 1].tolist()):
                 if m - k > CROWD:

@@ -99,6 +99,14 @@ def test_isolated_pairs_in_a_crowded_region(spark, parts):
     assert got == {d: mate.get(d, d) for d, _ in docs}
 
 
+def test_regions_cut_over_tasks_are_named_whole(spark):
+    rows = [(0, b"same" * 4, i, bytes(nd.HASHES)) for i in range(6)] + [(1, b"%04d" % i * 4, i, bytes(nd.HASHES)) for i in range(6)]
+    orders = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "tree tinyint, key binary, class_id bigint, brief binary")
+    assert orders.rdd.glom().map(len).collect() == [3] * 4
+    named = nd.forest_candidates(orders).where("kind = 3").groupBy("part").agg(F.sort_array(F.collect_set("a")).alias("a")).where("size(a) > 1").collect()
+    assert [r["a"] for r in named] == [[0, 1, 2, 3, 4, 5]]
+
+
 def test_keep_one_of_each_group(spark):
     docs = edge_docs(spark)
     kept = nd.keep_one(docs, nd.near_dedup(docs))
