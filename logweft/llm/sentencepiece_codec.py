@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding with a shared-prefix Viterbi search.
 
 The distinct marked words of a slice of texts are sorted, so that they are the paths of a trie in depth-first
-order. The search keeps a stack with the state of each prefix of the current word: the best score that ends there,
-its last piece, and the vocabulary nodes still open. The next word pops back to the common prefix and goes on from
-there, so the forward scores of a prefix are worked out once for all words that share it. See `pieces` for scores,
-ties and the cut into words. Ids of words stay in a bounded cache from slice to slice.
+order. The search keeps the state of each prefix of the current word: the best score that ends there, its last
+piece, and the vocabulary nodes still open. The next word pops back to the common prefix and goes on from there, so
+the forward scores of a prefix are worked out once for all words that share it. See `pieces` for scores, ties and
+the cut into words. Ids of words stay in a cache from slice to slice that is bounded in bytes; a word takes 12 bytes
+of state a character while it is searched.
 
 Defined cases: null and empty texts have no ids and decode to an empty text; a text of any length is searched
 whole, word by word; decoding gives back every text, with unknown characters through byte pieces; ids that aren't
@@ -15,6 +16,7 @@ empty table gives no rows. `encode` keeps the other columns and takes a name for
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +29,10 @@ from logweft.llm.pieces import MARK, Vocabulary, load_vocabulary, marked_words,
 from logweft.llm.store import field_type
 from logweft.llm.text import flat, slices
 
-CACHED_WORDS = 500_000
+#: The cache of words is dropped after a slice that leaves it with more than so many bytes, a word counted as its length and `WORD_COST`.
+CACHE_BYTES, WORD_COST = 64 << 20, 180
+OPEN_DEPTH = 256  # open nodes are kept for so many characters of a word; deeper ones are walked again where two words part
+CODE_SLICE = 2 << 20
 
 
 class PrefixViterbi:
@@ -35,48 +40,80 @@ class PrefixViterbi:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.root = vocabulary, {}
+        self.sizes = np.ones(len(vocabulary.surfaces), np.int32).tolist()
         for piece, value in vocabulary.pieces.items():
+            self.sizes[value[0]] = len(piece)
             node = self.root
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = value
+        self.longest = max(map(len, vocabulary.pieces), default=1)
         self.last = ""
-        # By prefix length: best score, start and id of its last piece, open nodes by ascending start.
-        self.stack: list[tuple[float, int, int, list]] = [(0.0, -1, -1, [])]
-
-    def _extend(self, word: str, i: int) -> None:
-        c, stack = word[i], self.stack
-        score = stack[i][0]
-        best, origin, piece, still = None, -1, -1, []
-        for start, base, node in [*stack[i][3], (i, score, self.root)]:
-            node = node.get(c)
-            if node is not None:
-                still.append((start, base, node))
-                value = node.get("")
-                if value is not None and (best is None or base + value[1] > best):
-                    best, origin, piece = base + value[1], start, value[0]
-        if c not in self.vocabulary.single:
-            unknown = score + self.vocabulary.unknown_score
-            if best is None or unknown > best:
-                best, origin, piece = unknown, i, -1
-        stack.append((best, origin, piece, still))
-
-    def encode(self, word: str) -> list[int]:
+        # By prefix length: the best score and the id of its last piece (-1: an unknown character).
+        self.score, self.piece = array("d", [0.0]), array("i", [-1])
+        # By prefix length, up to `OPEN_DEPTH`: the open nodes by ascending start.
+        self.open: list[list] = [[]]
+
+    def _opened(self, word: str, i: int) -> list:
+        """The open nodes after the first ``i`` characters, walked again where they weren't kept."""
+        if i < len(self.open):
+            return self.open[i]
+        out = []
+        for start in range(max(0, i - self.longest), i):
+            node = self.root
+            for c in word[start:i]:
+                node = node.get(c)
+                if node is None:
+                    break
+            else:
+                out.append((start, self.score[start], node))
+        return out
+
+    def _extend(self, word: str, begin: int) -> None:
+        """The states of all prefixes longer than ``begin``."""
+        root, single, unknown, scores, pieces, kept = self.root, self.vocabulary.single, self.vocabulary.unknown_score, self.score, self.piece, self.open
+        opened = self._opened(word, begin)
+        for i in range(begin, len(word)):
+            c, score = word[i], scores[i]
+            best, piece, still = None, -1, []
+            for start, base, node in [*opened, (i, score, root)]:
+                node = node.get(c)
+                if node is not None:
+                    still.append((start, base, node))
+                    value = node.get("")
+                    if value is not None and (best is None or base + value[1] > best):
+                        best, piece = base + value[1], value[0]
+            if c not in single and (best is None or score + unknown > best):
+                best, piece = score + unknown, -1
+            scores.append(best)
+            pieces.append(piece)
+            if i + 1 < OPEN_DEPTH:
+                kept.append(still)
+            opened = still
+
+    def forget(self) -> None:
+        """Drop the states of the last word."""
+        self.last = ""
+        del self.score[1:], self.piece[1:], self.open[1:]
+
+    def encode(self, word: str) -> array:
         """The ids of a word with marks; fastest after a word with a long common prefix."""
-        same = 0
-        for a, b in zip(word, self.last):
-            if a != b:
-                break
+        same, end, last = 0, min(len(word), len(self.last)), self.last
+        while same < end and word[same] == last[same]:
             same += 1
-        del self.stack[same + 1 :]
-        for i in range(same, len(word)):
-            self._extend(word, i)
-        self.last, out, end = word, [], len(word)
+        del self.score[same + 1 :], self.piece[same + 1 :], self.open[same + 1 :]
+        self._extend(word, same)
+        self.last, out, end = word, array("i"), len(word)
         while end:
-            _, start, piece, _ = self.stack[end]
-            out += [piece] if piece >= 0 else [self.vocabulary.byte_ids[b] for b in reversed(word[start:end].encode())]
-            end = start
-        return out[::-1]
+            piece = self.piece[end]
+            if piece >= 0:
+                out.append(piece)
+                end -= self.sizes[piece]
+            else:
+                end -= 1
+                out.extend(self.vocabulary.byte_ids[b] for b in reversed(word[end].encode()))
+        out.reverse()
+        return out
 
 
 class Codec:
@@ -91,26 +128,32 @@ class Codec:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.cost = 0
 
     def _add(self, new: list[str]) -> None:
         new.sort()
-        found = [self.search.encode(w.replace(" ", MARK)) for w in new]
+        ids, ends = array("i"), np.zeros(len(new), np.int64)
+        for k, w in enumerate(new):
+            ids.extend(self.search.encode(w.replace(" ", MARK)))
+            ends[k] = len(ids)
+        self.search.forget()
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32)])
-        self.ends = np.concatenate([self.ends, ends])
+        self.ends = np.concatenate([self.ends, ends + len(self.ids)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.int32)])
+        self.cost += sum(map(len, new)) + WORD_COST * len(new)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's begin and end."""
         words = marked_words(texts, self.vocabulary.joined)
         codes, distinct = words.encode()
         distinct = distinct.to_pylist()
-        if len(self.at) + len(distinct) > CACHED_WORDS:
-            self.clear()
         if new := [w for w in distinct if w not in self.at]:
             self._add(new)
         place = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
-        return _gather(self.ids, np.append(0, self.ends), place[codes] if len(codes) else place, words.starts)
+        out = _gather(self.ids, np.append(0, self.ends), place[codes] if len(codes) else place, words.starts)
+        if self.cost > CACHE_BYTES:
+            self.clear()
+        return out
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The texts' bytes end to end, and where each begins and ends; the space put before each text is taken off."""
@@ -129,9 +172,9 @@ def _gather(values: np.ndarray, bounds: np.ndarray, place: np.ndarray, starts: n
     if not ends[-1]:
         return values[:0], ends[starts]
     some = np.flatnonzero(n)
-    steps = np.ones(ends[-1], np.int64)
+    steps = np.ones(ends[-1], np.int32 if len(values) < 1 << 31 else np.int64)
     steps[ends[some]] = np.diff(begin[place[some]], prepend=0) - np.append(0, n[some][:-1] - 1)
-    return values[np.cumsum(steps)], ends[starts]
+    return values[np.cumsum(steps, dtype=steps.dtype, out=steps)], ends[starts]
 
 
 @lru_cache(maxsize=1)
@@ -146,20 +189,21 @@ def decodes_back(own: Codec, ids: np.ndarray, at: np.ndarray, texts: pa.Array) -
     data, was = flat(texts)
     same = np.diff(ends) == np.diff(was)
     if same.all():
-        wrong = np.append(0, np.cumsum(back != data))
-        return wrong[was[1:]] == wrong[was[:-1]], np.diff(ends)
+        wrong = np.searchsorted(np.flatnonzero(back != data), was)
+        return wrong[1:] == wrong[:-1], np.diff(ends)
     return np.array([back[i:j].tobytes() == data[k:m].tobytes() for i, j, k, m in zip(ends, ends[1:], was, was[1:])], bool), np.diff(ends)
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "piece_ids", check: str | None = None) -> DataFrame:
-    """All columns of ``docs`` and the ids of the whole text as array<int> in ``out``; with ``check``, in that column whether they decode to the text.
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "piece_ids", check: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (by default all) of ``docs`` and the ids of the whole text as array<int> in ``out``; with ``check``, in that column whether they decode to the text.
 
-    Columns of these names are replaced.
+    Columns of these names are replaced. Only the columns kept and the text go to the tasks' Python.
     """
-    path, kept = path or vocabulary_path(), [c for c in docs.columns if c not in (out, check)]
+    path, kept = path or vocabulary_path(), [c for c in (docs.columns if keep is None else keep) if c not in (out, check)]
+    docs = docs.select([F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text, 8 << 20):
+        for b in slices(batches, text, CODE_SLICE):
             ids, at = codec(path).encode(b.column(text))
             made = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))]
             if check:
@@ -196,7 +240,7 @@ def round_trip(docs: DataFrame, path: str | None = None, text: str = "text", doc
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=8 << 20):
+        for b in slices(batches, limit=CODE_SLICE):
             own = codec(path)
             ids, at = own.encode(b.column("text"))
             same, n_bytes = decodes_back(own, ids, at, b.column("text"))

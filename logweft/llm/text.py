@@ -17,7 +17,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def flat(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

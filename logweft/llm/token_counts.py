@@ -24,7 +24,8 @@ from logweft.llm.pieces import MARK, load_vocabulary, marked_words, vocabulary_p
 from logweft.llm.store import field_type
 from logweft.llm.text import per_text, slices
 
-CACHED_WORDS = 1_000_000
+#: The cache of words is dropped after a slice that leaves it with more than so many bytes, a word counted as its length and `WORD_COST`.
+CACHE_BYTES, WORD_COST = 96 << 20, 220
 
 
 class Counter:
@@ -37,6 +38,7 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.cache: dict[str, tuple[int, float]] = {}
+        self.cost = 0
 
     def count(self, word: str) -> tuple[int, float]:
         """The number of pieces of a word's best segmentation, and its score."""
@@ -74,13 +76,15 @@ class Counter:
         words = marked_words(texts, self.vocabulary.joined)
         codes, distinct = words.encode()
         distinct = distinct.to_pylist()
-        if len(self.cache) + len(distinct) > CACHED_WORDS:
-            self.cache.clear()
         cache, count = self.cache, self.count
         for w in distinct:
             if w not in cache:
                 cache[w] = count(w.replace(" ", MARK))
+                self.cost += len(w) + WORD_COST
         found = [cache[w] for w in distinct]
+        if self.cost > CACHE_BYTES:
+            cache.clear()
+            self.cost = 0
         n = np.fromiter((x[0] for x in found), np.int64, len(found))
         score = np.fromiter((x[1] for x in found), np.float64, len(found))
         return per_text(n[codes], words.starts), per_text(score[codes], words.starts)
@@ -97,7 +101,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", d
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=8 << 20):
+        for b in slices(batches, limit=2 << 20):
             n, score = counter(path).count_texts(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "n_pieces", "score"])
 

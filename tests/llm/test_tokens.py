@@ -1,5 +1,6 @@
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -50,13 +51,37 @@ def test_words_in_any_order_and_a_full_cache(monkeypatch):
     words = [w for t in ODD for w in (t or "").split(" ")] + ["the", "then", "there", "thermal", "a", "the"]
     fresh = [sc.Codec(vocabulary_path()).encode(pa.array([w]))[0].tolist() for w in words[:8]]
     own = sc.Codec(vocabulary_path())
-    monkeypatch.setattr(sc, "CACHED_WORDS", 3)
+    monkeypatch.setattr(sc, "CACHE_BYTES", 3 * sc.WORD_COST)
+    monkeypatch.setattr(sc, "OPEN_DEPTH", 3)
     random.Random(3).shuffle(words)
     for w in words:
         own.encode(pa.array([w]))
     assert [own.encode(pa.array([w]))[0].tolist() for w in [w for t in ODD for w in (t or "").split(" ")][:8]] == fresh
 
 
+@pytest.mark.parametrize("depth", [1, 4, 256])
+def test_prefixes_deeper_than_the_open_nodes(monkeypatch, depth):
+    monkeypatch.setattr(sc, "OPEN_DEPTH", depth)
+    stem = "internationalisation" * 3
+    words = sorted(["▁" + stem[:k] + end for k in (3, 9, 20, 41, 60) for end in ("", "ally", "é", "zq")])
+    vocabulary = load_vocabulary(vocabulary_path())
+    search = sc.PrefixViterbi(vocabulary)
+    assert [list(search.encode(w)) for w in words] == [list(sc.PrefixViterbi(vocabulary).encode(w)) for w in words]
+
+
+def test_an_unbroken_run_takes_bounded_state():
+    """Twelve bytes of state a character; Python's own peak, with the run and its ids, stays under 60."""
+    run = "abcdefghij" * 100_000
+    own = sc.Codec(vocabulary_path())
+    tracemalloc.start()
+    ids, at = own.encode(pa.array([run]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert own.decode(ids, at)[0].tobytes().decode() == run
+    assert peak < 60 * len(run)
+    assert not own.at or own.cost <= sc.CACHE_BYTES
+
+
 def test_round_trip_of_every_text(spark):
     docs = edge_docs(spark)
     got = sc.round_trip(docs).collect()
