@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their pieces, and whether these decode to the text."""
-    coded = sentencepiece_codec.encode(docs, check="round_trip")
+    coded = sentencepiece_codec.encode(docs, check="round_trip", keep=["doc_id", "lang", "source"])
     return coded.select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")
 
 
