@@ -1,8 +1,9 @@
-"""A gated recurrent network with a class-factored softmax, in numpy.
+"""A gated recurrent network over units of words, with a class-factored softmax, in numpy.
 
-The hidden state predicts the next token's class, then, within the class, its slot: one of the class's frequent
-words or the rest. P(slot) = P(class | h) P(slot | class, h). Texts run in lanes, one after another, the state set
-to zero before each text and carried from window to window. Training backpropagates within windows (truncated).
+Each token is a unit (a frequent word, or all words of one ending). The unit before is embedded and enters the gates;
+the hidden state predicts the next unit's class, then, within the class, its slot: P = P(class | h) P(slot | class, h).
+Texts run in lanes, one after another, the state set to zero before each text and carried from window to window.
+Training backpropagates within windows (truncated).
 """
 
 from __future__ import annotations
@@ -13,40 +14,41 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN = 16
+HIDDEN, EMBEDDED = 24, 16
 WINDOW = 16
-TRAIN_LANES = 64
-SCORE_LANES = 512
-RATE = 0.01
+SCORE_WINDOW, SCORE_LANES = 32, 512
+SETTLED = 1 << 14  # tokens of one softmax when scoring
+RATE = 0.02
 CLIP = 1.0
+WARM = 32  # updates until the full rate (an eighth of all at most), as Adam's means begin empty in each pass
+SAFE = 80.0  # exp of this is a float32
 
 
 @dataclass
 class Lanes:
     """Tokens in the order of lanes, the longest lane first. Only a window at a time becomes a matrix of steps x lanes."""
 
-    cls: np.ndarray
-    slot: np.ndarray
+    unit: np.ndarray
     text: np.ndarray
     begins: np.ndarray  # whether a token is its text's first
     start: np.ndarray  # of each lane
     length: np.ndarray
-    classes: int
     texts: int
 
-    def windows(self, size: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """given (class of the token before, or the number of classes at a text's begin), cls, slot, text (the number of texts on padding) and begins."""
+    def windows(self, size: int, begin: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """given (the unit before, or ``begin`` at a text's begin), unit, text and begins of steps x lanes, and which are no padding."""
         for s in range(0, int(self.length[0]) if len(self.length) else 0, size):
             live = int(np.searchsorted(-self.length, -s, "left"))  # lanes longer than s
             steps = np.arange(s, min(s + size, int(self.length[0])))[:, None]
             real = steps < self.length[:live]
             at = self.start[:live] + np.where(real, steps, 0)
             begins = self.begins[at] & real
-            given = np.where(begins | ~real, self.classes, self.cls[np.maximum(at - 1, 0)])
-            yield given, np.where(real, self.cls[at], 0), np.where(real, self.slot[at], 0), np.where(real, self.text[at], self.texts), begins
+            given = self.unit[np.maximum(at - 1, 0)]
+            given[begins | ~real] = begin
+            yield given, self.unit[at], self.text[at], begins, real
 
 
-def lay_out(cls: np.ndarray, slot: np.ndarray, ends: np.ndarray, lanes: int, classes: int) -> Lanes:
+def lay_out(unit: np.ndarray, ends: np.ndarray, lanes: int) -> Lanes:
     """``ends``: where each text's tokens end; no text is empty. Texts go to the lane with the least so far, long ones first."""
     begin = np.append(0, ends[:-1])
     n = ends - begin
@@ -67,149 +69,225 @@ def lay_out(cls: np.ndarray, slot: np.ndarray, ends: np.ndarray, lanes: int, cla
     begins = np.zeros(len(at), bool)
     begins[heads] = True
     length = load[rank]
-    return Lanes(cls[at].astype(np.int16), slot[at].astype(np.int16), np.repeat(order, size).astype(np.int32), begins, np.cumsum(length) - length, length, classes, len(n))
+    return Lanes(unit[at].astype(np.int16), np.repeat(order, size).astype(np.int32), begins, np.cumsum(length) - length, length, len(n))
 
 
 class Network:
-    """Parameters by name in one flat vector, so that they can be averaged and sent about."""
-
-    def __init__(self, slots: np.ndarray, hidden: int = HIDDEN, flat: np.ndarray | None = None):
-        """``slots``: the number of slots of each class."""
-        self.slots, self.hidden = np.asarray(slots, np.int64), hidden
-        c, h, s = len(self.slots), hidden, int(self.slots.sum())
-        shapes = {"embed": (c + 1, 3 * h), "gates": (h, 2 * h), "inner": (h, h), "out": (h, c), "out_bias": (c,), "slot": (h, s), "slot_bias": (s,)}
-        self.shapes = shapes
-        size = sum(int(np.prod(x)) for x in shapes.values())
+    """Parameters by name in one flat vector, so that they can be averaged and sent about.
+
+    ``cls`` and ``slot`` give each unit's class and slot in it. The last row of ``enter``, ``out`` and ``slots`` is a bias.
+    """
+
+    def __init__(self, cls: np.ndarray, slot: np.ndarray, slots: np.ndarray, hidden: int = HIDDEN, embedded: int = EMBEDDED, flat: np.ndarray | None = None):
+        self.cls, self.sizes, self.hidden = np.asarray(cls, np.int16), np.asarray(slots, np.int64), hidden
+        self.first = np.append(0, np.cumsum(self.sizes))
+        self.slot, self.column = np.asarray(slot, np.int64), self.first[self.cls] + slot
+        self.begin = len(self.cls)
+        c, h, s = len(self.sizes), hidden, int(self.first[-1])
+        self.shapes = {"embed": (self.begin + 1, embedded), "enter": (embedded + 1, 3 * h), "gates": (h, 2 * h), "inner": (h, h), "out": (h + 1, c), "slots": (h + 1, s)}
+        size = sum(a * b for a, b in self.shapes.values())
         self.flat = np.zeros(size, np.float32) if flat is None else np.array(flat, np.float32)
         self.views = self._views(self.flat)
-        self.first = np.append(0, np.cumsum(self.slots))
 
     def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
-        for name, shape in self.shapes.items():
-            size = int(np.prod(shape))
-            out[name] = flat[at : at + size].reshape(shape)
-            at += size
+        for name, (a, b) in self.shapes.items():
+            out[name] = flat[at : at + a * b].reshape(a, b)
+            at += a * b
         return out
 
-    @classmethod
-    def start(cls, slot_counts: list[np.ndarray], hidden: int = HIDDEN, seed: int = 5) -> Network:
+    def start(self, slot_counts: list[np.ndarray], seed: int = 5) -> Network:
         """Small random weights, and biases that give the classes and slots their shares."""
-        out = cls(np.array([len(x) for x in slot_counts]), hidden)
-        draw = np.random.default_rng(seed)
-        for name in ("embed", "gates", "inner"):
-            out.views[name][...] = draw.normal(0, 0.3, out.shapes[name])
-        for name in ("out", "slot"):
-            out.views[name][...] = draw.normal(0, 0.01, out.shapes[name])
+        draw, v = np.random.default_rng(seed), self.views
+        for name, scale in (("embed", 0.3), ("enter", 0.3), ("gates", 0.3), ("inner", 0.3), ("out", 0.01), ("slots", 0.01)):
+            v[name][...] = draw.normal(0, scale, self.shapes[name])
+        v["enter"][-1] = 0
         total = np.array([x.sum() for x in slot_counts]) + 1e-3
-        out.views["out_bias"][...] = np.log(total / total.sum())
-        out.views["slot_bias"][...] = np.concatenate([np.log((x + 1e-3) / (x + 1e-3).sum()) for x in slot_counts])
-        return out
+        v["out"][-1] = np.log(total / total.sum())
+        v["slots"][-1] = np.concatenate([np.log((x + 1e-3) / (x + 1e-3).sum()) for x in slot_counts])
+        return self
 
-    def _steps(self, given: np.ndarray, begins: np.ndarray, h: np.ndarray, keep_all: bool):
+    def _entering(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each unit sends to the gates, and the gates' own weights, halved for tanh in place of the logistic function."""
         v, n = self.views, self.hidden
-        x = v["embed"][given]
-        states, kept = np.empty((*given.shape, n), np.float32), []
-        for s in range(len(given)):
-            if begins[s].any():
+        entering = v["embed"] @ v["enter"][:-1] + v["enter"][-1]
+        entering[:, : 2 * n] *= 0.5
+        return entering, v["gates"] * np.float32(0.5)
+
+    def _steps(self, x: np.ndarray, begins: np.ndarray, h: np.ndarray, gates: np.ndarray, kept: tuple | None = None) -> np.ndarray:
+        """The states after each step, with a column of ones; ``kept`` gets the states before, both gates and the candidates."""
+        inner, n = self.views["inner"], self.hidden
+        out = np.empty((*begins.shape, n + 1), np.float32)
+        out[:, :, n] = 1
+        fresh = begins.any(axis=1)
+        a, c, half = np.empty((h.shape[0], 2 * n), np.float32), np.empty_like(h), np.float32(0.5)
+        for s in range(len(begins)):
+            if fresh[s]:
                 h = np.where(begins[s][:, None], np.float32(0), h)
-            a = h @ v["gates"]
+            np.matmul(h, gates, out=a)
             a += x[s, :, : 2 * n]
-            a *= 0.5
             np.tanh(a, out=a)
-            a *= 0.5
-            a += 0.5
+            a *= half
+            a += half
             z, r = a[:, :n], a[:, n:]
-            c = (r * h) @ v["inner"]
+            np.matmul(r * h, inner, out=c)
             c += x[s, :, 2 * n :]
             np.tanh(c, out=c)
-            if keep_all:
-                kept.append((h, z, r, c))
-            h = h + z * (c - h)
-            states[s] = h
-        return states, h, kept
-
-    def _logs(self, states: np.ndarray, cls: np.ndarray, slot: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None):
-        """Natural log probability of each token (flat), and with ``grads`` the gradient for the states."""
-        v = self.views
+            if kept is not None:
+                kept[0][s], kept[1][s], kept[2][s] = h, a, c
+            new = c - h
+            new *= z
+            new += h
+            out[s, :, :n] = h = new
+        return out
+
+    def _safe(self, name: str) -> bool:
+        """Whether no logit can overflow: states lie between -1 and 1."""
+        return bool(np.abs(self.views[name]).sum(axis=0).max() < SAFE)
+
+    def _logs(self, states: np.ndarray, units: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log probability of each unit, and with ``grads`` the gradient (of minus their sum) for the states."""
+        v, n = self.views, len(states)
+        cls, column = self.cls[units], self.column[units]
+        row = np.arange(n)
+
+        def softmax(o: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+            """o becomes its exp; the row sums, and what was subtracted first."""
+            top = np.float32(0)
+            if not safe:
+                top = o.max(axis=1)
+                o -= top[:, None]
+            np.exp(o, out=o)
+            return o @ np.ones(o.shape[1], np.float32), top
+
         o = states @ v["out"]
-        o += v["out_bias"]
-        o -= o.max(axis=1, keepdims=True)
-        picked = o[np.arange(len(o)), cls]
-        np.exp(o, out=o)
-        total = o.sum(axis=1)
-        logs = picked - np.log(total)
+        logs = o[row, cls]
+        total, top = softmax(o, self._safe("out"))
+        logs -= np.log(total) + top
         back = None
         if grads is not None:
-            o /= total[:, None]
-            o[np.arange(len(o)), cls] -= 1
-            o *= weight[:, None]
+            o *= (1 / total)[:, None]
+            o[row, cls] -= 1
             grads["out"] += states.T @ o
-            grads["out_bias"] += o.sum(axis=0)
-            back = o @ v["out"].T
+            back = o @ v["out"][:-1].T
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.slots) + 1))
-        for k in np.flatnonzero((np.diff(cuts) > 0) & (self.slots > 1)).tolist():
-            own = order[cuts[k] : cuts[k + 1]]
-            at = slice(self.first[k], self.first[k + 1])
-            o = states[own] @ v["slot"][:, at]
-            o += v["slot_bias"][at]
-            o -= o.max(axis=1, keepdims=True)
-            picked = o[np.arange(len(own)), slot[own]]
-            np.exp(o, out=o)
-            total = o.sum(axis=1)
-            logs[own] += picked - np.log(total)
+        cuts = np.append(0, np.cumsum(np.bincount(cls, minlength=len(self.sizes))))
+        mine, at, slot = states[order], column[order], self.slot[units][order]
+        within = np.einsum("ij,ij->i", mine, np.ascontiguousarray(v["slots"].T)[at])
+        safe, hidden_back = self._safe("slots"), None if back is None else np.zeros_like(back)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            own, span = slice(cuts[k], cuts[k + 1]), slice(self.first[k], self.first[k + 1])
+            o = mine[own] @ v["slots"][:, span]
+            total, top = softmax(o, safe)
+            within[own] -= np.log(total) + top
             if grads is not None:
-                o /= total[:, None]
-                o[np.arange(len(own)), slot[own]] -= 1
-                o *= weight[own][:, None]
-                grads["slot"][:, at] += states[own].T @ o
-                grads["slot_bias"][at] += o.sum(axis=0)
-                back[own] += o @ v["slot"][:, at].T
+                o *= (1 / total)[:, None]
+                o[row[: len(o)], slot[own]] -= 1
+                grads["slots"][:, span] += mine[own].T @ o
+                hidden_back[own] = o @ v["slots"][:-1, span].T
+        logs[order] += within
+        if back is not None:
+            back[order] += hidden_back
         return logs, back
 
-    def score(self, lanes: Lanes) -> np.ndarray:
+    def score(self, lanes: Lanes, window: int | None = None) -> np.ndarray:
         """The natural log probability of each text."""
-        out, h = np.zeros(lanes.texts + 1), None
-        for given, cls, slot, text, begins in lanes.windows(WINDOW):
+        out, h = np.zeros(lanes.texts), None
+        entering, gates = self._entering()
+        met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # states, units and texts whose softmax is still to come
+
+        def settle() -> None:
+            nonlocal out
+            if met:
+                states, units, texts = (np.concatenate(x) for x in zip(*met))
+                out += np.bincount(texts, weights=self._logs(states, units)[0], minlength=len(out))
+                met.clear()
+
+        for given, unit, text, begins, real in lanes.windows(window or SCORE_WINDOW, self.begin):
             h = np.zeros((given.shape[1], self.hidden), np.float32) if h is None else h[: given.shape[1]]
-            states, h, _ = self._steps(given, begins, h, False)
-            logs, _ = self._logs(states.reshape(-1, self.hidden), cls.ravel(), slot.ravel())
-            out += np.bincount(text.ravel(), weights=logs, minlength=len(out))
-        return out[:-1]
+            states = self._steps(entering[given], begins, h, gates)
+            h = states[-1, :, :-1]
+            some = slice(None) if real.all() else np.flatnonzero(real.ravel())
+            met.append((states.reshape(-1, self.hidden + 1)[some], unit.ravel()[some], text.ravel()[some]))
+            if sum(len(x[1]) for x in met) >= SETTLED:
+                settle()
+        settle()
+        return out
 
-    def train(self, lanes: Lanes, rate: float = RATE) -> None:
-        """One pass with Adam, an update for each window."""
-        v, n = self.views, self.hidden
+    def gradient(self, given: np.ndarray, unit: np.ndarray, begins: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probabilities of a window's tokens, the flat gradient of minus their sum, and the states after it, from the states ``h``."""
+        n, shape = self.hidden, (*given.shape, self.hidden)
+        entering, gates = self._entering()
+        kept = (np.empty(shape, np.float32), np.empty((*given.shape, 2 * n), np.float32), np.empty(shape, np.float32))
+        states = self._steps(entering[given], begins, h, gates, kept)
+        flat = np.zeros_like(self.flat)
+        g = self._views(flat)
+        back = np.zeros((given.size, n), np.float32)
+        some = slice(None) if real.all() else np.flatnonzero(real.ravel())
+        logs, back[some] = self._logs(states.reshape(-1, n + 1)[some], unit.ravel()[some], g)
+        self._through_time(g, given, begins, back.reshape(shape), kept)
+        return logs, flat, states[-1, :, :-1]
+
+    def train(self, lanes: Lanes, rate: float = RATE, window: int | None = None) -> float:
+        """One pass with Adam, an update for each window; the mean log probability of the tokens as they were met."""
         mean, square, updates, h = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, None
-        for given, cls, slot, text, begins in lanes.windows(WINDOW):
-            h = np.zeros((given.shape[1], n), np.float32) if h is None else h[: given.shape[1]]
-            states, h, kept = self._steps(given, begins, h, True)
-            real = (text < lanes.texts).ravel()
-            weight = (real / max(1, int(real.sum()))).astype(np.float32)
-            flat = np.zeros_like(self.flat)
-            g = self._views(flat)
-            _, back = self._logs(states.reshape(-1, n), cls.ravel(), slot.ravel(), g, weight)
-            back = back.reshape(states.shape)
-            after, dx = np.zeros_like(h), np.empty((*given.shape, 3 * n), np.float32)
-            for t in range(len(given) - 1, -1, -1):
-                before, z, r, c = kept[t]
-                dh = back[t] + after
-                dc = dh * z * (1 - c * c)
-                dr_h = dc @ v["inner"].T
-                da = np.concatenate([dh * (c - before) * z * (1 - z), dr_h * before * r * (1 - r)], axis=1)
-                g["inner"] += (r * before).T @ dc
-                g["gates"] += before.T @ da
-                after = dh * (1 - z) + dr_h * r + da @ v["gates"].T
-                after[begins[t]] = 0
-                dx[t, :, : 2 * n], dx[t, :, 2 * n :] = da, dc
-            hot = np.zeros((given.size, len(v["embed"])), np.float32)
-            hot[np.arange(given.size), given.ravel()] = 1
-            g["embed"] += hot.T @ dx.reshape(-1, 3 * n)
-            norm = float(np.sqrt((flat * flat).sum()))
+        met, seen, most, window = 0.0, 0, 0, window or WINDOW
+        warm = min(WARM, 1 + int(lanes.length[0]) // window // 8) if len(lanes.length) else 1
+        for given, unit, _, begins, real in lanes.windows(window, self.begin):
+            h = np.zeros((given.shape[1], self.hidden), np.float32) if h is None else h[: given.shape[1]]
+            logs, flat, h = self.gradient(given, unit, begins, real, h)
+            flat *= np.float32(1 / len(logs))
+            norm = float(np.sqrt(flat @ flat))
             if norm > CLIP:
-                flat *= CLIP / norm
-            updates += 1
-            mean += 0.1 * (flat - mean)
-            square += 0.01 * (flat * flat - square)
-            self.flat -= rate * (mean / (1 - 0.9**updates)) / (np.sqrt(square / (1 - 0.99**updates)) + 1e-6)
+                flat *= np.float32(CLIP / norm)
+            updates, met, seen, most = updates + 1, met + float(logs.sum()), seen + len(logs), max(most, len(logs))
+            mean *= np.float32(0.9)
+            mean += np.float32(0.1) * flat
+            square *= np.float32(0.99)
+            flat *= flat
+            square += np.float32(0.01) * flat
+            step = np.sqrt(square)
+            step *= np.float32(1 / np.sqrt(1 - 0.99**updates))
+            step += np.float32(1e-6)
+            np.divide(mean, step, out=step)
+            # A window of few lanes, as at the end, moves the weights less.
+            step *= np.float32(rate * min(1, updates / warm) * len(logs) / most / (1 - 0.9**updates))
+            self.flat -= step
+        return met / max(1, seen)
+
+    def _through_time(self, g: dict, given: np.ndarray, begins: np.ndarray, back: np.ndarray, kept: tuple) -> None:
+        """Gradients of all that stands before the states, by backpropagation through one window."""
+        v, n = self.views, self.hidden
+        before, both, candidate = kept
+        turned, inner = v["gates"].T.copy(), v["inner"].T.copy()
+        dx, after = np.empty((*given.shape, 3 * n), np.float32), np.zeros(back.shape[1:], np.float32)
+        slope = both * (1 - both)
+        slope[:, :, :n] *= candidate - before
+        slope[:, :, n:] *= before
+        open_candidate = both[:, :, :n] * (1 - candidate * candidate)
+        fresh = begins.any(axis=1)
+        for t in range(len(given) - 1, -1, -1):
+            dh = back[t]
+            dh += after
+            da, dc = dx[t, :, : 2 * n], dx[t, :, 2 * n :]
+            np.multiply(dh, open_candidate[t], out=dc)
+            reset = dc @ inner
+            np.multiply(dh, slope[t, :, :n], out=da[:, :n])
+            np.multiply(reset, slope[t, :, n:], out=da[:, n:])
+            after = da @ turned
+            after += dh
+            after -= dh * both[t, :, :n]
+            reset *= both[t, :, n:]
+            after += reset
+            if fresh[t]:
+                after[begins[t]] = 0
+        flat = dx.reshape(-1, 3 * n)
+        g["gates"] += before.reshape(-1, n).T @ flat[:, : 2 * n]
+        g["inner"] += (both[:, :, n:] * before).reshape(-1, n).T @ flat[:, 2 * n :]
+        order = np.argsort(given.ravel(), kind="stable")
+        units = given.ravel()[order]
+        first = np.flatnonzero(np.append(True, units[1:] != units[:-1]))
+        by_unit, units = np.add.reduceat(flat[order], first, axis=0), units[first]
+        g["enter"][:-1] += v["embed"][units].T @ by_unit
+        g["enter"][-1] += by_unit.sum(axis=0)
+        g["embed"][units] += by_unit @ v["enter"][:-1].T

@@ -3,10 +3,13 @@
 1. Every training token is counted over the whole corpus, by the word's 64-bit fingerprint. Words with at least
    1 / `HEAD` of all tokens (so at most `HEAD` of them) go to the tasks; the others, none of which is frequent, are
    joined by a shuffle when scoring.
-2. The most frequent `TOP` words are units of their own, the others fall into `ENDINGS` units by their ending.
-   Counts of neighbouring words, over a fixed share of the training texts, put the units into classes.
-3. A network (see `gated_network`) is trained on that share: in each round every shard trains from the same
-   weights by truncated backpropagation and the weights are averaged by tokens. Shards grow in number with the data.
+2. The most frequent `TOP` words are units of their own, the others fall into `ENDINGS` units by their ending. Every
+   text is written once as its units, two bytes a token, for all later steps. Counts of neighbouring units over all
+   training texts put the units into classes.
+3. A network (see `gated_network`) is trained on all training texts, each token once in every epoch: a round takes a
+   part of the corpus, its texts dealt at random over shards; every shard trains from the same weights by truncated
+   backpropagation and the weights are averaged by tokens. A shard has about `SHARD_TOKENS`, so shards grow in number
+   with the data.
 4. Every text is scored whole, the state carried from window to window:
    P(word) = P(class | state) P(slot | class, state) P(word | slot), where a slot is a top word or the class's
    rest, and within the rest words have their counts plus 0.1, unknown words together 0.1.
@@ -30,20 +33,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweft.llm.gated_network import SCORE_LANES, TRAIN_LANES, Network, lay_out
+from logweft.llm.gated_network import RATE, SCORE_LANES, WINDOW, Network, lay_out
 from logweft.llm.store import field_type, materialize
 from logweft.llm.text import Words, per_text, slices, words_of
 
 HEAD = 1 << 18
 TOP, ENDINGS, NEIGHBOURS = 2048, 2048, 128
 CLASSES = 64
-SAMPLE_SHARE = 16  # one in so many training texts
-ROUNDS = 4
-SHARD_TOKENS = 250_000
+ROUNDS, EPOCHS = 4, 1
+SHARD_TOKENS = 1_500_000
+PIECE = 1024
+LEAST_UPDATES, TRAIN_LANES = 160, (8, 384)
 FAN = 32
 SMOOTH = 0.1
 END_HASH = np.uint64(0x1F3D5B79A2C4E681)
-COUNT_SLICE, SCORE_SLICE = 8 << 20, 8 << 20
+COUNT_SLICE, CODE_SLICE, SCORE_TOKENS = 4 << 20, 4 << 20, 3 << 20
 
 
 def coded_words(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,51 +115,88 @@ class Lexicon:
         return np.where(top >= 0, top, TOP + ending)
 
 
-def unit_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The texts as arrays of units, each with the end unit."""
+def code_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """By document: row (a number of its own), doc_id, n_tokens, n_known and head_log (sums that know the head words alone), rest_log (those of head words that aren't top words), tail (the other words' fingerprints) and units (all tokens, two bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        row = TaskContext.get().partitionId() << 33
+        end_count = int(lexicon.find(np.array([END_HASH]))[0][0])
+        end_log = math.log10(max(end_count, 0) + SMOOTH)
+        for b in slices(batches, limit=CODE_SLICE):
             words, codes, hashed, ending = coded_words(b.column("text"))
-            by_word = lexicon.units(hashed, ending)[codes] if len(codes) else np.zeros(0, np.int64)
-            units, ends = with_end(words, by_word, 0)
-            rows = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(units, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("round"), b.column("shard"), rows], ["round", "shard", "units"])
+            count, top = lexicon.find(hashed)
+            logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + SMOOTH), 0.0)
+            pick = lambda by_word: by_word[codes] if len(codes) else by_word[:0]
+            total = lambda by_word: per_text(pick(by_word), words.starts)
+            units, ends = with_end(words, pick(np.where(top >= 0, top, TOP + ending).astype("<u2")), 0)
+            at = np.append(0, ends)
+            is_tail = pick(count < 0)
+            tails = np.append(0, np.cumsum(is_tail))[words.starts]
+            tail = pa.ListArray.from_arrays(pa.array(tails, pa.int32()), pa.array(pick(hashed)[is_tail].view(np.int64)))
+            raw = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at * 2), pa.py_buffer(units.tobytes())]).cast(pa.binary())
+            rows = np.arange(row, row + b.num_rows)
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows), b.column("doc_id"), pa.array(np.diff(at)), pa.array(total(count > 0) + int(end_count > 0)), pa.array(total(logs) + end_log), pa.array(total(np.where(top < 0, logs, 0.0))), tail, raw],
+                ["row", "doc_id", "n_tokens", "n_known", "head_log", "rest_log", "tail", "units"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"row bigint, doc_id {field_type(docs, 'doc_id')}, n_tokens bigint, n_known bigint, head_log double, rest_log double, tail array<bigint>, units binary")
+
 
-    return docs.select("round", "shard", "text").mapInArrow(run, "round int, shard bigint, units array<int>")
+def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The units of all texts end to end, and where each text's end."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], "<u2")[at[0] // 2 : at[-1] // 2], (at[1:] - at[0]) // 2
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    at = column.offsets.to_numpy()
-    return column.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False), (at[1:] - at[0]).astype(np.int64)
+def _token_slices(batches: Iterator[pa.RecordBatch], limit: int = SCORE_TOKENS) -> Iterator[pa.RecordBatch]:
+    """Record batches cut so that each holds about ``limit`` tokens (one text at least)."""
+    return slices(batches, "units", 2 * limit)
 
 
-def neighbour_counts(sample: DataFrame) -> np.ndarray:
-    """units x NEIGHBOURS: how often each unit has each of the most frequent words within three tokens."""
+def count_neighbours(units: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """units x NEIGHBOURS: how often each unit has each of the most frequent ones within three tokens."""
+    total = np.zeros((TOP + ENDINGS) * NEIGHBOURS, np.int64)
+    text = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(np.append(0, ends)))
+    often = np.flatnonzero(units < NEIGHBOURS)
+    for k in (-3, -2, -1, 1, 2, 3):
+        other = often + k
+        near = (other >= 0) & (other < len(units))
+        own, other = often[near], other[near]
+        near = text[own] == text[other]
+        total += np.bincount(units[other[near]].astype(np.int32) * NEIGHBOURS + units[own[near]], minlength=len(total))
+    return total.reshape(-1, NEIGHBOURS)
+
+
+def neighbour_counts(coded: DataFrame) -> np.ndarray:
+    """`count_neighbours` over all the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((TOP + ENDINGS) * NEIGHBOURS, np.int64)
-        for b in batches:
-            units, ends = _lists(b.column("units"))
-            text = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
-            for k in (1, 2, 3):
-                for one, other in ((slice(None, -k), slice(k, None)), (slice(k, None), slice(None, -k))):
-                    near = (text[one] == text[other]) & (units[other] < NEIGHBOURS)
-                    total += np.bincount(units[one][near].astype(np.int64) * NEIGHBOURS + units[other][near], minlength=len(total))
+        for b in _token_slices(batches):
+            total += count_neighbours(*_units(b.column("units"))).ravel()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
-    cells = sample.select("units").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most one row for each cell
+    cells = coded.select("units").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most one row for each cell
     out = np.zeros((TOP + ENDINGS) * NEIGHBOURS)
     out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
     return out.reshape(-1, NEIGHBOURS)
 
 
 def cluster(near: np.ndarray, weight: np.ndarray, classes: int = CLASSES, steps: int = 12) -> np.ndarray:
-    """A class for each unit: the end token has class 0, the others are clustered by the direction of their neighbours."""
+    """A class for each unit: the end token has class 0, the others are clustered by the direction of their neighbours.
+
+    Half of the classes come from the clustering. Each of the others splits the class whose slots cost most, its tokens
+    times its top words, at the median of its main direction.
+    """
     rows = np.sqrt(near / np.maximum(near.sum(axis=1, keepdims=True), 1))
-    order = np.argsort(-weight, kind="stable")
-    centre = rows[order[1:classes]].copy()
+    first = classes // 2
+    centre = rows[np.argsort(-weight, kind="stable")[1:first]].copy()
     label = np.zeros(len(rows), np.int64)
     for _ in range(steps):
         label = (rows @ centre.T).argmax(axis=1)
@@ -165,6 +206,20 @@ def cluster(near: np.ndarray, weight: np.ndarray, classes: int = CLASSES, steps:
         centre = np.where(size > 0, total / np.maximum(size, 1e-12), centre)
     label += 1
     label[0] = 0
+    width = np.arange(len(rows)) < TOP
+    for new in range(first, classes):
+        cost = np.bincount(label, weight, classes) * np.bincount(label, width & (weight > 0), classes)
+        own = np.flatnonzero(label == cost[1:].argmax() + 1)
+        if not len(own):
+            break
+        off = rows[own] - rows[own].mean(axis=0)
+        axis = off[np.argmax((off * off).sum(axis=1))]
+        for _ in range(steps):
+            axis = off.T @ (off @ axis)
+            axis /= max(float(np.sqrt(axis @ axis)), 1e-12)
+        along = off @ axis
+        middle = np.median(along[width[own]]) if width[own].any() else np.median(along)
+        label[own[along > middle]] = new
     return label
 
 
@@ -178,29 +233,33 @@ class Model:
     weights: np.ndarray
 
     def network(self) -> Network:
-        return Network(self.slots, flat=self.weights)
-
+        return Network(self.cls, self.slot, self.slots, flat=self.weights)
 
-def _start(lexicon: Lexicon, counts: DataFrame, sample: DataFrame) -> tuple[Model, list[np.ndarray]]:
-    n_units = TOP + ENDINGS
-    top_words = [int(x) for x in lexicon.hashed[lexicon.unit >= 0].view(np.int64)]
-    weight, kinds = np.zeros(n_units), np.zeros(n_units)
+    @classmethod
+    def start(cls, lexicon: Lexicon, near: np.ndarray, weight: np.ndarray, kinds: np.ndarray) -> Model:
+        """Untrained: every word has its share. ``weight`` and ``kinds``: tokens and distinct words of each unit."""
+        own_cls = cluster(near, weight)
+        slot, slot_counts, log_rest = np.zeros(len(weight), np.int64), [], np.zeros(CLASSES)
+        for k in range(CLASSES):
+            own = np.flatnonzero(own_cls[:TOP] == k)
+            own = own[weight[own] > 0]
+            ends = TOP + np.flatnonzero(own_cls[TOP:] == k)
+            slot[own], slot[ends] = np.arange(len(own)), len(own)
+            slot_counts.append(np.append(weight[own], weight[ends].sum() + SMOOTH))
+            log_rest[k] = math.log10((weight[ends] + SMOOTH * kinds[ends]).sum() + SMOOTH)
+        network = Network(own_cls, slot, np.array([len(x) for x in slot_counts])).start(slot_counts)
+        return cls(lexicon, own_cls, slot, log_rest, network.sizes, network.flat)
+
+
+def unit_weights(lexicon: Lexicon, counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each unit."""
+    weight, kinds = np.zeros(TOP + ENDINGS), np.zeros(TOP + ENDINGS)
     weight[lexicon.unit[lexicon.unit >= 0]] = lexicon.count[lexicon.unit >= 0]
-    top = counts.sparkSession.createDataFrame([(w,) for w in top_words], "word bigint")
+    top = counts.sparkSession.createDataFrame([(int(x),) for x in lexicon.hashed[lexicon.unit >= 0].view(np.int64)], "word bigint")
     rest = counts.join(F.broadcast(top), "word", "left_anti").groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()  # at most ENDINGS rows
     at = TOP + rest["ending"].to_numpy(np.int64)
     weight[at], kinds[at] = rest["n"], rest["kinds"]
-    cls = cluster(neighbour_counts(sample), weight)
-    slot, slot_counts, log_rest = np.zeros(n_units, np.int64), [], np.zeros(CLASSES)
-    for k in range(CLASSES):
-        own = np.flatnonzero(cls[:TOP] == k)
-        own = own[weight[own] > 0]
-        ends = TOP + np.flatnonzero(cls[TOP:] == k)
-        slot[own], slot[ends] = np.arange(len(own)), len(own)
-        slot_counts.append(np.append(weight[own], weight[ends].sum() + SMOOTH))
-        log_rest[k] = math.log10((weight[ends] + SMOOTH * kinds[ends]).sum() + SMOOTH)
-    network = Network.start(slot_counts)
-    return Model(lexicon, cls, slot, log_rest, network.slots, network.flat), slot_counts
+    return weight, kinds
 
 
 def average(trained: DataFrame, shards: int) -> np.ndarray | None:
@@ -219,70 +278,63 @@ def average(trained: DataFrame, shards: int) -> np.ndarray | None:
     return np.frombuffer(rows[0][0], np.float32) if rows else None
 
 
-def train(model: Model, sample: DataFrame, shards: int, rounds: int = ROUNDS) -> Model:
-    """Rounds of training in shards; after each the weights are averaged by the shards' tokens."""
-    for r in range(rounds):
-        now = model
+def train_shard(model: Model, units: np.ndarray, ends: np.ndarray, rate: float) -> np.ndarray:
+    """The weights after one pass over a shard's texts.
+
+    Long texts are learned in pieces of `PIECE` tokens, so that lanes end together. Small shards take fewer lanes, so
+    that they have updates enough.
+    """
+    ends = np.union1d(ends, np.concatenate([np.arange(a, b, PIECE)[1:] for a, b in zip(np.append(0, ends), ends)]))
+    lanes = int(np.clip(len(units) // (WINDOW * LEAST_UPDATES), *TRAIN_LANES))
+    network = model.network()
+    network.train(lay_out(units, ends, lanes), rate)
+    return network.flat
+
+
+def train(model: Model, coded: DataFrame, rounds: int = ROUNDS, epochs: int = EPOCHS) -> Model:
+    """Each round trains on the rows of its ``round``; after it the weights are averaged by the shards' tokens. The rate falls from round to round."""
+    shards = max(1, math.ceil(model.lexicon.tokens / rounds / SHARD_TOKENS))
+    for r in range(rounds * epochs):
+        now, rate = model, RATE * (1 - 0.8 * r / max(1, rounds * epochs - 1))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            read = [_lists(b.column("units")) for b in batches if b.num_rows]
+            read = [_units(b.column("units")) for b in batches if b.num_rows]
             if not read:
                 return
             units = np.concatenate([u for u, _ in read])
             ends = np.cumsum(np.concatenate([np.diff(np.append(0, e)) for _, e in read]))
-            network = now.network()
-            network.train(lay_out(now.cls[units], now.slot[units], ends, TRAIN_LANES, CLASSES))
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(units)], pa.int64()), pa.array([network.flat.tobytes()], pa.binary())], ["shard", "n", "weights"])
+            flat = train_shard(now, units, ends, rate)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(units)], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["shard", "n", "weights"])
 
-        own = sample.where(F.col("round") == r).select("shard", "units").repartition(shards, F.pmod("shard", F.lit(shards))).sortWithinPartitions("shard").select("units")
-        trained = average(own.mapInArrow(run, "shard bigint, n bigint, weights binary"), shards)
+        own = coded.where(F.col("round") == r % rounds).select("units", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
+        trained = average(own.repartition(shards, "shard").select("units").mapInArrow(run, "shard bigint, n bigint, weights binary"), shards)
         if trained is not None:
             model = Model(model.lexicon, model.cls, model.slot, model.log_rest, model.slots, trained)
     return model
 
 
-def fit(docs: DataFrame, counts: DataFrame) -> Model:
-    """``docs``: doc_id and text of the training documents; ``counts``: their `count_tokens`, written."""
-    lexicon = Lexicon.gather(counts)
-    mixed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sampled = docs.where(F.pmod(mixed, F.lit(SAMPLE_SHARE)) == 0)
-    sampled = sampled.select("text", F.pmod(F.shiftright(mixed, 8), F.lit(ROUNDS)).cast("int").alias("round"), F.shiftright(mixed, 16).alias("shard"))
-    sample = materialize(unit_texts(sampled, lexicon), "sample")
-    model, _ = _start(lexicon, counts, sample)
-    shards = max(2, math.ceil(lexicon.tokens / SAMPLE_SHARE / ROUNDS / SHARD_TOKENS))
-    return train(model, sample, shards)
+def fit(coded: DataFrame, counts: DataFrame, lexicon: Lexicon) -> Model:
+    """``coded``: `code_texts` of the training documents, with their ``round``; ``counts``: their `count_tokens`, written."""
+    return train(Model.start(lexicon, neighbour_counts(coded), *unit_weights(lexicon, counts)), coded)
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """By document: row (a number of its own), doc_id, n_tokens, n_known and sums that know the head words alone, and ``tail``, the other words' fingerprints."""
-    lexicon = model.lexicon
+def score_units(model: Model, network: Network, units: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """log10 P of each text, but for its words' shares of their class's rest that `code_texts` has summed."""
+    own = np.where(np.arange(len(model.cls)) >= TOP, -model.log_rest[model.cls], 0.0)
+    return network.score(lay_out(units, ends, SCORE_LANES)) / math.log(10) + per_text(own[units], np.append(0, ends))
+
+
+def score_texts(coded: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``coded`` but for units and tail, and model_log: log10 P without the tail words' own."""
+    columns = ["row", "doc_id", "n_tokens", "n_known", "head_log"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, row = model.network(), TaskContext.get().partitionId() << 33
-        end_count, _ = lexicon.find(np.array([END_HASH]))
-        end_count = int(end_count[0])
-        for b in slices(batches, limit=SCORE_SLICE):
-            words, codes, hashed, ending = coded_words(b.column("text"))
-            count, top = lexicon.find(hashed)
-            unit = np.where(top >= 0, top, TOP + ending)
-            pick = lambda by_word, end: with_end(words, by_word[codes] if len(codes) else by_word[:0], end)[0]
-            units, ends = with_end(words, unit[codes] if len(codes) else unit[:0], 0)
-            logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + SMOOTH), 0.0)
-            at = np.append(0, ends)
-            head = per_text(pick(logs, math.log10(max(end_count, 0) + SMOOTH)), at)
-            known = per_text(pick((count > 0).astype(np.int64), int(end_count > 0)), at)
-            cls = model.cls[units]
-            rest = units >= TOP
-            own = np.where(rest, pick(logs, 0.0) - model.log_rest[cls], 0.0)
-            model_log = network.score(lay_out(cls, model.slot[units], ends, SCORE_LANES, CLASSES)) / math.log(10) + per_text(own, at)
-            is_tail = (count < 0)[codes] if len(codes) else np.zeros(0, bool)
-            tails = np.append(0, np.cumsum(is_tail))[words.starts]
-            tail = pa.ListArray.from_arrays(pa.array(tails, pa.int32()), pa.array(hashed[codes[is_tail]].view(np.int64) if len(codes) else np.zeros(0, np.int64)))
-            rows = np.arange(row, row + b.num_rows)
-            row += b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(rows), b.column("doc_id"), pa.array(np.diff(at)), pa.array(known), pa.array(head), pa.array(model_log), tail], ["row", "doc_id", "n_tokens", "n_known", "head_log", "model_log", "tail"])
+        network = model.network()
+        for b in _token_slices(batches):
+            found = score_units(model, network, *_units(b.column("units"))) + b.column("rest_log").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(found)], [*columns, "model_log"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"row bigint, doc_id {field_type(docs, 'doc_id')}, n_tokens bigint, n_known bigint, head_log double, model_log double, tail array<bigint>")
+    return coded.select(*columns, "rest_log", "units").mapInArrow(run, f"row bigint, doc_id {field_type(coded, 'doc_id')}, n_tokens bigint, n_known bigint, head_log double, model_log double")
 
 
 def training_mark(parts: int = 10) -> Column:
@@ -290,19 +342,24 @@ def training_mark(parts: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts != 0
 
 
+def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model]:
+    """All documents coded (see `code_texts`), the counts of the training ones' words, and the model trained on these. ``docs``: doc_id and text."""
+    counts = materialize(count_tokens(docs.where(training_mark())), "counts")
+    lexicon = Lexicon.gather(counts)
+    part = F.when(training_mark(), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(ROUNDS))).otherwise(-1).cast("int")
+    coded = materialize(code_texts(docs, lexicon).withColumn("round", part), "coded", by="round")
+    return coded, counts, fit(coded.where("round >= 0"), counts, lexicon)
+
+
 def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    learned = docs.where(training_mark())
-    counts = materialize(count_tokens(learned), "counts")
-    model = fit(learned, counts)
-    scored = materialize(score_texts(docs, model), "scored")
+    coded, counts, model = learn(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    lexicon = model.lexicon
     # No tail word has 1 / HEAD of the tokens, so no key of this join is hot.
-    tail = scored.select("row", F.explode("tail").alias("word")).join(counts.select("word", "n"), "word", "left")
+    tail = coded.select("row", F.explode("tail").alias("word")).join(counts.select("word", "n"), "word", "left")
     tail = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("tail_log"), F.count("n").alias("tail_known"))
-    lexicon = model.lexicon
     base = math.log10(lexicon.tokens + SMOOTH * (lexicon.distinct + 1))
-    out = scored.drop("tail").join(tail, "row", "left")
+    out = score_texts(coded, model).join(tail, "row", "left")
     tail_log = F.coalesce("tail_log", F.lit(0.0))
     return out.select(
         "doc_id",
