@@ -1,14 +1,18 @@
 """Quality by weak supervision: rules vote or abstain, EM estimates their accuracies, a posterior decides.
 
-Each rule votes bad (-1) or good (1) or abstains (0). Votes are taken as independent given the text's quality, and
-an abstention as saying nothing; a rule's accuracy is the chance that a vote of its agrees with the quality.
-Expectation-maximisation runs on the counts of vote patterns: there are at most 3^rules of them however many
-documents there are, so it is the same on any size of input. The class balance is a parameter, and accuracies have
-a Beta prior, which holds up rules that seldom vote beside another.
+Each rule looks at one measure and votes bad (-1) where it is far off, good (1) where it is as usual, and abstains (0)
+between. The rules overlap and err: a document may well have votes of both kinds. Votes are taken as independent given
+the text's quality, and an abstention as saying nothing. A rule has two accuracies, the chance that its vote on a good
+text is good and that its vote on a bad text is bad; so a rule that votes good on everything counts for nothing.
+Expectation-maximisation estimates them and the class balance from the counts of vote patterns of the documents past
+the base, which alone are judged: there are at most 3^rules patterns however many documents there are, so it is the
+same on any size of input. It starts, and has its Beta prior, where each rule's votes agree somewhat more with the
+quality than their shares alone would, so that rare votes tell the most and a rule that always says the same nothing.
+The posterior probability of good quality decides, not any rule alone.
 
 Defined cases: a null text has no words, like an empty one, and fails the base; a text on which no rule votes has
-the class balance as its posterior and is kept if that is at least the threshold; with an empty table the
-accuracies are the prior's and no rows come out; repeated rows are judged alike, each on its own. Only doc_id and
+the class balance as its posterior and is kept if that is at least the threshold; a measure of a text without its
+base (no words, letters or lines) gives no vote; with an empty table the accuracies are the prior's and no rows come out; repeated rows are judged alike, each on its own. Only doc_id and
 text are read, so other columns can't clash.
 """
 
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -28,12 +33,11 @@ from logweft.llm.store import field_type, materialize
 from logweft.llm.text import SPACE, code_points, flat, per_text, slices, split_words
 
 SYMBOLS = b"#*$%&|<>"
-BALANCE = 0.5
 THRESHOLD = 0.5
-PRIOR = (8.0, 2.0)
-STEPS = 50
+PRIOR_VOTES, LIFT = 10.0, 0.4
+STEPS = 100
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_letters", "n_upper", "n_marks")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_letters", "n_upper", "n_marks", "n_ends", "n_commas", "n_digits")
 
 
 def _is(chars: bytes) -> np.ndarray:
@@ -42,7 +46,7 @@ def _is(chars: bytes) -> np.ndarray:
     return table
 
 
-_SYMBOL, _MARK = _is(SYMBOLS), _is(b"!")
+_SYMBOL, _MARK, _END, _COMMA, _DIGIT = _is(SYMBOLS), _is(b"!"), _is(b".!?"), _is(b","), _is(b"0123456789")
 _UPPER, _LETTER = _is(bytes(range(65, 91))), _is(bytes([*range(65, 91), *range(97, 123)]))
 
 
@@ -112,6 +116,9 @@ def measure_texts(texts: pa.Array) -> dict[str, np.ndarray]:
         "n_letters": sums(_LETTER[data]),
         "n_upper": sums(_UPPER[data]),
         "n_marks": sums(_MARK[data]),
+        "n_ends": by_word(_END[words.chars[words.offsets[1:] - 1]]),
+        "n_commas": sums(_COMMA[data]),
+        "n_digits": sums(_DIGIT[data]),
     }
 
 
@@ -131,57 +138,75 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _share(part: str, of: str, percent: float) -> Column:
-    """part > percent % of the other, in whole numbers."""
-    return 100 * F.col(part) > percent * F.col(of)
+def _vote(part: str, of: str, bad: tuple[float, float], good: tuple[float, float]) -> Column:
+    """A vote on the percentage ``part`` of ``of``: bad under the first or over the second bound, good within the other two (both included)."""
+    value, base = 100 * F.col(part), F.col(of)
+    vote = F.when((value < bad[0] * base) | (value > bad[1] * base), -1).when((value >= good[0] * base) & (value <= good[1] * base), 1).otherwise(0)
+    return F.when(base > 0, vote).otherwise(0)
 
 
 def default_rules() -> dict[str, Column]:
-    """Votes by rule. Defects vote bad; a text without the signs of any defect gets a good vote for each of two views."""
-    bad = lambda when: F.when(when, -1).otherwise(0)
-    odd_length = (F.col("word_chars") > 14 * F.col("n_words")) | (2 * F.col("word_chars") < 5 * F.col("n_words"))
-    loud, dotted = _share("n_upper", "n_letters", 40), _share("n_symbols", "n_words", 20)
-    prose = ~_share("n_symbols", "n_words", 12) & ~_share("n_upper", "n_letters", 30) & ~_share("n_marks", "n_words", 15) & (F.col("n_words") > 0)
-    varied = ~_share("n_repeat_words", "n_words", 25) & ~_share("n_dup_lines", "n_lines", 40) & (F.col("n_words") >= 30)
+    """Votes by rule. Percentages are of words, letters or lines; those of word_chars and of n_words by line are means times 100."""
+    whole = float("inf")
     return {
-        "symbols": bad(dotted),
-        "shouting": bad(loud),
-        "repetition": bad(_share("n_repeat_words", "n_words", 35)),
-        "repeated_lines": bad(_share("n_dup_lines", "n_lines", 50)),
-        "short": bad(F.col("n_words") < 20),
-        "word_length": bad(odd_length & (F.col("n_words") > 0)),
-        "exclamation": bad(_share("n_marks", "n_words", 25)),
-        "monotony": bad(_share("n_words", "n_distinct", 1000) & (F.col("n_words") < 2000)),
-        "clean": F.when(prose & varied & ~odd_length, 1).otherwise(0),
+        "symbols": _vote("n_symbols", "n_words", (0, 20), (0, 2)),
+        "capitals": _vote("n_upper", "n_letters", (0, 30), (0, 5)),
+        "repetition": _vote("n_repeat_words", "n_words", (0, 20), (0, 2)),
+        "repeated_lines": _vote("n_dup_lines", "n_lines", (0, 20), (0, 5)),
+        "length": F.when(F.col("n_words") < 80, -1).when(F.col("n_words") >= 200, 1).otherwise(0),
+        "word_length": _vote("word_chars", "n_words", (430, 700), (460, 600)),
+        "exclamation": _vote("n_marks", "n_words", (0, 15), (0, 2)),
+        "variety": _vote("n_distinct", "n_words", (55, whole), (70, whole)),
+        "sentences": _vote("n_ends", "n_words", (4, 40), (6, 20)),
+        "commas": _vote("n_commas", "n_words", (2, 40), (4, 12)),
+        "line_words": _vote("n_words", "n_lines", (1200, 25_000), (2500, 12_000)),
+        "digits": _vote("n_digits", "word_chars", (0, 5), (0, 0.5)),
     }
 
 
-def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, balance: float = BALANCE, prior: tuple[float, float] = PRIOR, steps: int = STEPS) -> np.ndarray:
-    """EM over (votes, count) pairs."""
-    accuracy = np.full(n_rules, prior[0] / sum(prior))
-    if not patterns:
-        return accuracy
-    votes, n = np.array([v for v, _ in patterns], float), np.array([c for _, c in patterns], float)
-    for _ in range(steps):
-        good = _posterior(votes @ np.log(accuracy / (1 - accuracy)), balance)[:, None]
-        right = np.where(votes > 0, good, np.where(votes < 0, 1 - good, 0)) * n[:, None]
-        cast = (votes != 0) * n[:, None]
-        accuracy = np.clip((right.sum(0) + prior[0]) / (cast.sum(0) + sum(prior)), 0.01, 0.99)
-    return accuracy
+@dataclass
+class Accuracies:
+    """Of each rule: the chance that a vote on a good text is good, and that one on a bad text is bad; and the share of good texts."""
 
+    good: np.ndarray
+    bad: np.ndarray
+    balance: float
 
-def _posterior(evidence: np.ndarray, balance: float) -> np.ndarray:
-    return 1 / (1 + np.exp(-(evidence + math.log(balance / (1 - balance)))))
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """What a good and a bad vote of each rule add to the evidence."""
+        return np.log(self.good / (1 - self.bad)), np.log((1 - self.good) / self.bad)
 
+    @property
+    def start(self) -> float:
+        """The evidence without votes."""
+        return math.log(self.balance / (1 - self.balance))
 
-def quality(docs: DataFrame, rules: dict[str, Column] | None = None, balance: float = BALANCE, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+
+def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, prior_votes: float = PRIOR_VOTES, lift: float = LIFT, steps: int = STEPS) -> Accuracies:
+    """EM over (votes, count) pairs. The start and the prior's mean lie ``lift`` of the way from the shares of a rule's votes to certainty."""
+    votes, n = np.array([v for v, _ in patterns]).reshape(len(patterns), n_rules), np.array([c for _, c in patterns], float)
+    up, down = (votes > 0).astype(float), (votes < 0).astype(float)
+    share = (n @ up + 1) / (n @ (up + down) + 2)
+    first = found = Accuracies(share + lift * (1 - share), 1 - share + lift * share, float((n @ up).sum() + 1) / float((n @ (up + down)).sum() + 2))
+    for _ in range(steps if patterns else 0):
+        for_good, for_bad = found.weights()
+        p = 1 / (1 + np.exp(-(found.start + up @ for_good + down @ for_bad)))
+        good, bad = p * n, (1 - p) * n
+        found = Accuracies((good @ up + prior_votes * first.good) / (good @ (up + down) + prior_votes), (bad @ down + prior_votes * first.bad) / (bad @ (up + down) + prior_votes), float((good.sum() + 1) / (n.sum() + 2)))
+    return found
+
+
+def quality(docs: DataFrame, rules: dict[str, Column] | None = None, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, MEASURES, a vote_<rule> column for each rule, p_good, base_failed and kept, a row for each document."""
     rules = default_rules() if rules is None else rules
     names = [f"vote_{r}" for r in rules]
     voted = materialize(measures(docs, text, doc_id), "measures").select("*", *(c.cast("int").alias(f"vote_{r}") for r, c in rules.items()))
-    counted = voted.groupBy(*names).count().collect()  # at most 3^rules rows
-    accuracy = fit_accuracies([(tuple(r[:-1]), r[-1]) for r in sorted(counted)], len(names), balance)
-    weights = np.log(accuracy / (1 - accuracy)).tolist()
-    evidence = reduce(lambda a, b: a + b, (F.col(c) * F.lit(w) for c, w in zip(names, weights)), F.lit(math.log(balance / (1 - balance))))
+    code = reduce(lambda a, b: a + b, ((F.col(c) + 1).cast("long") * 3**k for k, c in enumerate(names)), F.lit(0).cast("long"))
+    counted = voted.where(~base_failed()).groupBy(code.alias("code")).count().collect()  # at most 3^rules rows
+    patterns = [(tuple(r["code"] // 3**k % 3 - 1 for k in range(len(names))), r["count"]) for r in sorted(counted)]
+    found = fit_accuracies(patterns, len(names))
+    evidence = F.lit(found.start)
+    for c, up, down in zip(names, *(w.tolist() for w in found.weights())):
+        evidence = evidence + F.when(F.col(c) > 0, up).when(F.col(c) < 0, down).otherwise(0.0)
     p = 1 / (1 + F.exp(-evidence))
     return voted.withColumn("p_good", p).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.round("p_good", 9) >= threshold))

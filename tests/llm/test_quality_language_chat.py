@@ -27,11 +27,12 @@ def brute_measures(text):
     return {
         "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum((text or "").count(c) for c in "#*$%&|<>"), "n_dup_lines": dup, "n_repeat_words": len(covered),
         "n_distinct": len(set(words)), "n_lines": lines, "n_letters": len(ascii_letters), "n_upper": sum(c.isupper() for c in ascii_letters), "n_marks": (text or "").count("!"),
+        "n_ends": sum(w[-1] in ".!?" for w in words), "n_commas": (text or "").count(","), "n_digits": len(re.findall("[0-9]", text or "")),
     }
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.none() | st.text(alphabet="ab c\n\t#é日|A!", max_size=40), min_size=1, max_size=6))
+@given(st.lists(st.none() | st.text(alphabet="ab c\n\t#é日|A!.?,7", max_size=40), min_size=1, max_size=6))
 def test_measures_by_brute_force(texts):
     got = qr.measure_texts(pa.array(texts, pa.string()))
     for i, t in enumerate(texts):
@@ -58,14 +59,81 @@ def test_quality_against_labels(spark, small):
     assert right >= 0.95 * len(got)
 
 
+def brute_votes(m):
+    """The votes of `default_rules` on the measures of one text, in plain Python."""
+
+    def vote(part, of, bad, good):
+        value = 100 * m[part] / m[of] if m[of] else None
+        return 0 if value is None else -1 if value < bad[0] or value > bad[1] else 1 if good[0] <= value <= good[1] else 0
+
+    rest = float("inf")
+    return [
+        vote("n_symbols", "n_words", (0, 20), (0, 2)), vote("n_upper", "n_letters", (0, 30), (0, 5)), vote("n_repeat_words", "n_words", (0, 20), (0, 2)), vote("n_dup_lines", "n_lines", (0, 20), (0, 5)),
+        -1 if m["n_words"] < 80 else 1 if m["n_words"] >= 200 else 0, vote("word_chars", "n_words", (430, 700), (460, 600)), vote("n_marks", "n_words", (0, 15), (0, 2)), vote("n_distinct", "n_words", (55, rest), (70, rest)),
+        vote("n_ends", "n_words", (4, 40), (6, 20)), vote("n_commas", "n_words", (2, 40), (4, 12)), vote("n_words", "n_lines", (1200, 25_000), (2500, 12_000)), vote("n_digits", "word_chars", (0, 5), (0, 0.5)),
+    ]
+
+
+def brute_posteriors(votes, judged, steps):
+    """EM document by document over those that are judged, then the posterior of all."""
+    rules, learned = range(len(votes[0])), [v for v, j in zip(votes, judged) if j]
+    share = [(sum(v[r] > 0 for v in learned) + 1) / (sum(v[r] != 0 for v in learned) + 2) for r in rules]
+    good0, bad0 = [x + 0.4 * (1 - x) for x in share], [1 - x + 0.4 * x for x in share]
+    good, bad, balance = good0, bad0, (sum(x > 0 for v in learned for x in v) + 1) / (sum(x != 0 for v in learned for x in v) + 2)
+
+    def posterior(own):
+        one, other = balance, 1 - balance
+        for r, v in enumerate(own):
+            if v:
+                one, other = one * (good[r] if v > 0 else 1 - good[r]), other * (bad[r] if v < 0 else 1 - bad[r])
+        return one / (one + other)
+
+    for _ in range(steps):
+        p = [posterior(v) for v in learned]
+        cast = [[(x, own[r]) for x, own in zip(p, learned) if own[r]] for r in rules]
+        good = [(sum(x for x, v in c if v > 0) + 10 * g) / (sum(x for x, _ in c) + 10) for c, g in zip(cast, good0)]
+        bad = [(sum(1 - x for x, v in c if v < 0) + 10 * b) / (sum(1 - x for x, _ in c) + 10) for c, b in zip(cast, bad0)]
+        balance = (sum(p) + 1) / (len(p) + 2)
+    return [posterior(v) for v in votes]
+
+
+def test_posteriors_by_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in qr.quality(docs).collect()}
+    measures = {d: brute_measures(t) for d, t in docs.collect()}
+    votes = [brute_votes(m) for m in measures.values()]
+    assert [[got[d][f"vote_{r}"] for r in qr.default_rules()] for d in measures] == votes
+    past = [m["n_words"] >= 50 and 100 * m["n_repeat_words"] <= 50 * m["n_words"] for m in measures.values()]
+    p = brute_posteriors(votes, past, qr.STEPS)
+    assert [got[d]["p_good"] for d in measures] == pytest.approx(p, abs=1e-7)
+    assert [got[d]["kept"] for d in measures] == [j and round(x, 9) >= 0.5 for j, x in zip(past, p)]
+
+
+def test_posterior_and_no_single_rule_decides(spark, small):
+    sf = os.path.join(os.path.dirname(small), "sf0.01")
+    if not os.path.isdir(sf):
+        pytest.skip("needs the middle table set")
+    rows = qr.quality(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    votes = [[r[f"vote_{x}"] for x in qr.default_rules()] for r in rows]
+    assert sum(1 in v and -1 in v for v in votes) >= 0.05 * len(rows)
+    past = [(r, v) for r, v in zip(rows, votes) if not r["base_failed"]]
+    assert any(r["kept"] and -1 in v for r, v in past) and any(not r["kept"] and 1 in v for r, v in past)
+    judged = [r for r, _ in past if r["doc_id"] in labels]
+    assert sum(r["kept"] == bool(labels[r["doc_id"]]) for r in judged) >= 0.98 * len(judged)
+
+
 def test_em_finds_the_unreliable_rule():
     draw = np.random.default_rng(1)
-    good = draw.random(4000) < 0.5
-    votes = np.stack([np.where(draw.random(4000) < a, np.where(good, 1, -1), np.where(good, -1, 1)) * (draw.random(4000) < 0.8) for a in (0.95, 0.85, 0.85, 0.55)], 1)
+    good = draw.random(6000) < 0.6
+    chances = [(0.95, 0.9), (0.85, 0.8), (0.85, 0.95), (0.55, 0.5), (1, 0)]  # the last votes good on everything
+    votes = np.stack([np.where(draw.random(6000) < np.where(good, a, b), np.where(good, 1, -1), np.where(good, -1, 1)) * (draw.random(6000) < 0.8) for a, b in chances], 1)
     patterns, n = np.unique(votes, axis=0, return_counts=True)
-    found = qr.fit_accuracies([(tuple(p), int(c)) for p, c in zip(patterns, n)], 4)
-    assert found == pytest.approx([0.95, 0.85, 0.85, 0.55], abs=0.04)
-    assert qr.fit_accuracies([], 2) == pytest.approx([0.8, 0.8])
+    found = qr.fit_accuracies([(tuple(p), int(c)) for p, c in zip(patterns, n)], 5)
+    assert found.good == pytest.approx([a for a, _ in chances], abs=0.04)
+    assert found.bad == pytest.approx([b for _, b in chances], abs=0.04)
+    assert found.balance == pytest.approx(0.6, abs=0.04)
+    assert qr.fit_accuracies([], 2).good == pytest.approx([0.7, 0.7])
 
 
 def test_language_of_held_out_documents(spark, small):
