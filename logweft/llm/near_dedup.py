@@ -15,8 +15,8 @@
 4. Regions of more than `CROWD` classes, or cut over tasks, whose members still lie in two components go to an exact join on full sets
    (`pairs_across`): each set's rarest shingles, as many as a linked pair can't all lack, with a bound by position on
    what two sets can share. Lists of a frequent shingle are dealt over cells, and members of one component are never
-   compared. So no pair that shares a region is lost to its size or to
-   where tasks end.
+   compared; of a region's largest component only rows that the others can meet are made. Parts whose sets are too
+   large for one task go the same way. So no pair that shares a region is lost to its size or to where tasks end.
 5. Components come from repeated star contraction of the confirmed links, in tables written to the shared folder.
 
 A pair at similarity 0.75 shares no two-hash prefix in any of 16 trees with a chance of 2 in a million, and falls
@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweft.llm.store import broadcast_if_small, field_type, materialize
+from logweft.llm.store import broadcast_if_small, discard, field_type, materialize
 from logweft.llm.text import mix64, slices, words_of
 
 SHINGLE = 5
@@ -52,6 +52,8 @@ CROWD = 256
 LEAST_AGREEING = 34
 HOT_SHINGLES = 1 << 18
 CELL = 1 << 14
+PART_SHINGLES = 1 << 21  # a part whose sets have more in all is not compared within one task
+SOUGHT = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FACTORS = [np.uint64(int(x) | 1) for x in mix64(np.arange(1, HASHES + 1, dtype=np.uint64), 77)]
 
@@ -254,7 +256,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def full_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """class_id and shingles (sorted) of every class in the pairs. ``docs`` has doc_id and text."""
+    """class_id, n and shingles (sorted, n of them) of every class in the pairs, one row each. ``docs`` has doc_id and text."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
     wanted = ids.join(classes.select("class_id", "set_digest"), "class_id")
 
@@ -263,10 +265,13 @@ def full_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             sets = shingle_sets(b.column("text"))
             right = [_set_digest(s) == d for s, d in zip(sets, b.column("set_digest").to_pylist())]
             rows = pa.array([s.view(np.int64) if r else None for s, r in zip(sets, right)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("class_id"), rows], ["class_id", "shingles"]).filter(pa.array(right, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("class_id"), pa.array(list(map(len, sets)), pa.int64()), rows], ["class_id", "n", "shingles"]).filter(pa.array(right, pa.bool_()))
 
     found = docs.join(wanted, docs["doc_id"] == wanted["class_id"]).select("class_id", "set_digest", "text")
-    return found.mapInArrow(run, f"class_id {field_type(classes, 'class_id')}, shingles array<bigint>")
+    sets = materialize(found.mapInArrow(run, f"class_id {field_type(classes, 'class_id')}, n bigint, shingles array<bigint>"), "sets")
+    if sets.groupBy("class_id").count().where("count > 1").isEmpty():
+        return sets
+    return materialize(sets.dropDuplicates(["class_id"]), "sets")  # rows repeated under one doc_id
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -306,23 +311,33 @@ def components(links: DataFrame) -> DataFrame:
     def summary(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        """Edges (u, v) with u > v; each node's neighbours (all and those above it, or those below it) go to the least of them."""
+    def star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+        """Edges (u, v) with u > v; each node's neighbours (all and those above it, or those below it) go to the least of them.
+
+        Nodes with a thousandth of the edges or more, of which there are 2,000 at most, go to every task; the others
+        are joined by a shuffle without a hot key.
+        """
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("n", "m").alias("m"))
-        moved = near.where("v > u") if large else near
-        moved = moved.join(least, moved["u"] == least["n"])
+        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select(F.col("u").alias("n"), F.least("n", "m").alias("m"), "degree")
+        hot = F.broadcast(least.where(F.col("degree") * 1000 >= total))
+        edge = near.where("v > u") if large else near
+        cold = edge.join(hot.select("n"), edge["u"] == F.col("n"), "left_anti")
+        moved = edge.join(hot, edge["u"] == hot["n"]).select("v", "m").unionByName(cold.join(least, cold["u"] == least["n"]).select("v", "m"))
         moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
             moved = moved.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
         return moved.where("u > v").distinct()
 
     kind = field_type(links, "a")
-    near = links.select("a", "b").repartition("a").mapInArrow(_contract, f"u {kind}, v {kind}")
+    near = links.select("a", "b").repartition("a", "b").mapInArrow(_contract, f"u {kind}, v {kind}")
     edges = materialize(near.distinct(), "edges")
     seen = summary(edges)
     while seen[0]:
-        edges = materialize(star(materialize(star(edges, True), "edges"), False), "edges")
+        large = materialize(star(edges, True, seen[0]), "edges")
+        small = materialize(star(large, False, seen[0]), "edges")
+        discard(edges)
+        discard(large)
+        edges = small
         now = summary(edges)
         if now == seen:
             break
@@ -353,7 +368,10 @@ def left_over(found: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def links_within(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of a part that lie in two components, by full sets: enough of them to join the components that are linked."""
+    """Links between members of a part that lie in two components, by full sets: enough of them to join the components that are linked.
+
+    A part has `CROWD` members and `PART_SHINGLES` shingles at most.
+    """
     kind = field_type(members, "node")
 
     def run(table: pa.Table) -> pa.Table:
@@ -377,7 +395,14 @@ def links_within(members: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, table.schema.field("node").type), "b": pa.array(b, table.schema.field("node").type)})
 
-    return members.join(sets.withColumnRenamed("class_id", "node"), "node").groupBy("part").applyInArrow(run, f"a {kind}, b {kind}")
+    return members.join(sets.select(F.col("class_id").alias("node"), "shingles"), "node").groupBy("part").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def by_weight(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the parts that one task can compare, and node, label and sought of the others'."""
+    sizes = members.join(sets.select(F.col("class_id").alias("node"), "n"), "node").groupBy("part").agg(F.sum("n").alias("shingles"))
+    heavy = sizes.where(F.col("shingles") > PART_SHINGLES).select("part")
+    return members.join(heavy, "part", "left_anti"), members.join(heavy, "part", "left_semi").select("node", "label", F.lit(True).alias("sought"))
 
 
 def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
@@ -388,14 +413,26 @@ def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def apart_in_regions(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """node and label of the members of regions not compared whole that lie in two components or more."""
-    members = found.where("kind = 3").select("part", F.col("a").alias("node")).join(labels, "node", "left").select("part", "node", F.coalesce("label", "node").alias("label"))
-    mixed = members.groupBy("part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("part")
-    return members.join(mixed, "part", "left_semi").select("node", "label").distinct()
+    """node, label and sought of the members of regions not compared whole that lie in two components or more.
 
-
-def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """shingle, cell, node, label, size and left (shingles from this one on, rarest first) of each set's first shingles."""
+    Of each region the largest component needs no comparing with itself: only its other members are ``sought``, and a
+    pair across components has one of these at least.
+    """
+    members = found.where("kind = 3").select("part", F.col("a").alias("node")).join(labels, "node", "left").select("part", "node", F.coalesce("label", "node").alias("label"))
+    members = materialize(members, "members")
+    own = members.groupBy("part", "label").agg(F.count("*").alias("n"))
+    mixed = own.groupBy("part").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
+    mixed = materialize(mixed.select("part", F.col("most.label").alias("most")), "mixed")
+    # A part may hold most members: beyond the broadcast's size it is dealt over 32 places.
+    n = mixed.count()
+    spread = F.lit(0) if n <= 100_000 else F.pmod(F.xxhash64("node"), F.lit(32)).cast("int")
+    places = F.array(F.lit(0)) if n <= 100_000 else F.sequence(F.lit(0), F.lit(31))
+    apart = members.withColumn("place", spread).join(broadcast_if_small(mixed.withColumn("place", F.explode(places)), n), ["part", "place"])
+    return apart.groupBy("node", "label").agg(F.max(F.col("label") != F.col("most")).alias("sought"))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_count: np.ndarray, sought: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """shingle, cell, node, label, size and left (shingles from this one on, rarest first) of each set's first shingles; of those in ``sought`` alone if given."""
     for b in batches:
         flat, ends = b.column("shingles").flatten().to_numpy(zero_copy_only=False), np.cumsum(b.column("shingles").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
         if not len(flat):
@@ -407,6 +444,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_count: np.
         order = np.lexsort((flat, count, owner))
         left = size[owner] - (np.arange(len(flat)) - starts[owner])
         own = left * DENOMINATOR >= NUMERATOR * size[owner]  # a linked set shares one of these at least
+        if sought is not None:
+            own &= np.isin(flat[order], sought)
         shingle, count, owner, left = flat[order][own], count[order][own], owner[own], left[own]
         blocks = 1 + count // CELL
         block = (mix64(np.add.reduceat(flat.view(np.uint64), starts))[owner] % blocks.astype(np.uint64)).astype(np.int64)
@@ -450,14 +489,24 @@ def _meet(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        shingle, n = np.unique(b.column("shingles").flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(n)], ["shingle", "n"])
+
+
 def pairs_across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """a and b of all pairs of members in two components that may be linked by their full sets: none that is linked is missing."""
+    """a and b of all pairs of members in two components, one of them sought, that may be linked by their full sets: none that is linked is missing."""
     kind = field_type(members, "node")
-    own = members.join(sets.withColumnRenamed("class_id", "node"), "node")
-    total = own.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    counts = own.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= max(64, total // HOT_SHINGLES + 1)).toPandas()  # at most HOT_SHINGLES rows
+    own = materialize(members.join(sets.select(F.col("class_id").alias("node"), "n", "shingles"), "node"), "own")
+    total = own.agg(F.sum("n")).first()[0] or 0
+    counts = own.select("shingles").mapInArrow(_counted, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, total // HOT_SHINGLES + 1)).toPandas()  # at most HOT_SHINGLES rows
     counts = counts.sort_values("shingle")
     hot, hot_count = counts["shingle"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+    looked_for = None
+    if (own.where("sought").agg(F.sum("n")).first()[0] or 0) <= SOUGHT:  # then the others' rows are only those that these can meet
+        first = own.where("sought").select("node", "label", "shingles").mapInArrow(lambda batches: _prefixes(batches, hot, hot_count, None), f"shingle bigint, cell bigint, node {kind}, label {kind}, size bigint, left bigint")
+        looked_for = np.sort(first.select("shingle").distinct().toPandas()["shingle"].to_numpy(np.int64))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -475,7 +524,7 @@ def pairs_across(members: DataFrame, sets: DataFrame) -> DataFrame:
         if rest is not None:
             yield from _meet(rest)
 
-    lists = own.select("node", "label", "shingles").mapInArrow(lambda batches: _prefixes(batches, hot, hot_count), f"shingle bigint, cell bigint, node {kind}, label {kind}, size bigint, left bigint")
+    lists = own.select("node", "label", "shingles").mapInArrow(lambda batches: _prefixes(batches, hot, hot_count, looked_for), f"shingle bigint, cell bigint, node {kind}, label {kind}, size bigint, left bigint")
     return lists.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell", "label").mapInArrow(meet, f"a {kind}, b {kind}")
 
 
@@ -492,10 +541,12 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     border = border.select(F.explode(F.arrays_zip(F.slice("heads", F.lit(1), F.size("heads") - 1).alias("a"), F.slice("heads", F.lit(2), F.size("heads") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
     pairs = materialize(_pairs(found.where("kind = 0").select("a", "b").unionByName(border)), "pairs")
     regions = found.where("kind = 3").select("a", F.col("a").alias("b"))
-    sets = materialize(full_sets(pairs.unionByName(regions), named, docs), "sets")
+    sets = full_sets(pairs.unionByName(regions), named, docs)
     labels = materialize(components(materialize(confirm(pairs, sets), "links")), "labels")
-    labels = _joined(labels, materialize(links_within(left_over(found, labels), sets), "links"))
-    apart = materialize(apart_in_regions(found, labels), "apart")
+    left, heavy = by_weight(materialize(left_over(found, labels), "left"), sets)
+    labels = _joined(labels, materialize(links_within(left, sets), "links"))
+    heavy = heavy.select("node", "sought").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sought")
+    apart = materialize(apart_in_regions(found, labels).unionByName(heavy).groupBy("node", "label").agg(F.max("sought").alias("sought")), "apart")
     if not apart.isEmpty():
         labels = _joined(labels, materialize(confirm(materialize(_pairs(pairs_across(apart, sets)), "pairs"), sets), "links"))
     groups = classes.join(labels, classes["class_id"] == labels["node"], "left").select("set_digest", "n", F.coalesce("label", "class_id").alias("component_id"))

@@ -61,9 +61,11 @@ def near_copies(n, seed, words=80):
     return out
 
 
-@pytest.mark.parametrize("crowd", [256, 8])
-def test_near_dedup_of_groups(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd, shingles, sought", [(256, 1 << 21, 1 << 20), (8, 1 << 21, 1 << 20), (8, 100, 0), (256, 100, 1 << 20)])
+def test_near_dedup_of_groups(spark, monkeypatch, crowd, shingles, sought):
     monkeypatch.setattr(nd, "CROWD", crowd)
+    monkeypatch.setattr(nd, "PART_SHINGLES", shingles)
+    monkeypatch.setattr(nd, "SOUGHT", sought)
     base = sentence(9, 100).split(" ")
     star = [" ".join(base[:k] + [f"new{k}"] + base[k + 1 :]) for k in range(0, 100, 2)]
     texts = near_copies(25, 1) + near_copies(25, 2) + star + [sentence(100 + i, 60) for i in range(40)]
@@ -72,6 +74,20 @@ def test_near_dedup_of_groups(spark, monkeypatch, crowd):
     assert found(df) == brute_components(docs)
 
 
+def test_many_repeats_of_a_pair(spark):
+    """1,000 rows of each text of a pair under its doc_id: one set a class, one link, and every row comes back."""
+    base = sentence(21, 120).split(" ")
+    texts = {5: " ".join(base), 3: " ".join([*base[:60], "other", *base[61:]]), 8: sentence(22, 60)}
+    df = spark.createDataFrame([(d, t) for d, t in texts.items() for _ in range(1000)], "doc_id bigint, text string").repartition(4)
+    got = Counter(tuple(r) for r in nd.near_dedup(df).collect())
+    assert got == {(d, len(shingles(t)), 8 if d == 8 else 3, d != 5): 1000 for d, t in texts.items()}
+    classes = spark.createDataFrame([(d, nd._set_digest(nd.shingle_sets(pa.array([t]))[0])) for d, t in texts.items()], "class_id bigint, set_digest binary")
+    pairs = spark.createDataFrame([(3, 5)], "a bigint, b bigint")
+    sets = nd.full_sets(pairs, classes, df)
+    assert sorted(r[0] for r in sets.select("class_id").collect()) == [3, 5]
+    assert nd.confirm(pairs, sets).count() == 1
+
+
 def crowded(n=3000, every=20, own=20):
     """Texts that share a passage (similarity about 0.68), and among them isolated pairs at 0.76 or so, far apart by id."""
     passage, texts = [f"shared{k}" for k in range(90)], []
