@@ -43,7 +43,7 @@ CLASSES = 64
 ROUNDS, EPOCHS = 4, 1
 SHARD_TOKENS = 1_500_000
 PIECE = 1024
-LEAST_UPDATES, TRAIN_LANES = 160, (8, 384)
+LEAST_UPDATES, TRAIN_LANES = 128, (8, 512)
 FAN = 32
 SMOOTH = 0.1
 END_HASH = np.uint64(0x1F3D5B79A2C4E681)
@@ -306,8 +306,8 @@ def train(model: Model, coded: DataFrame, rounds: int = ROUNDS, epochs: int = EP
             flat = train_shard(now, units, ends, rate)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(units)], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["shard", "n", "weights"])
 
-        own = coded.where(F.col("round") == r % rounds).select("units", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
-        trained = average(own.repartition(shards, "shard").select("units").mapInArrow(run, "shard bigint, n bigint, weights binary"), shards)
+        own = coded.where(F.col("round") == r % rounds).select("row", "units").repartition(shards, "row").select("units")
+        trained = average(own.mapInArrow(run, "shard bigint, n bigint, weights binary"), shards)
         if trained is not None:
             model = Model(model.lexicon, model.cls, model.slot, model.log_rest, model.slots, trained)
     return model
