@@ -13,8 +13,8 @@
    Then the members of candidate pairs that still lie in two components are brought together by part, with their
    full sets, and each part looks for the links left among them: no rows of pairs are made, however many there are.
 4. Regions of more than `CROWD` classes, or cut over tasks, whose members still lie in two components go to an exact join on full sets
-   (`pairs_across`): each set's rarest shingles, as many as a linked pair can't all lack, with a bound by position on
-   what two sets can share. Lists of a frequent shingle are dealt over cells, and members of one component are never
+   (`pairs_across`): each set's rarest shingles, as many as a linked pair can't all lack (those of one set alone, known
+   by a bit map of bounded size, come first and are dropped), with a bound by position on what two sets can share. Lists of a frequent shingle are dealt over cells, and members of one component are never
    compared; of a region's largest component only rows that the others can meet are made. Parts whose sets are too
    large for one task go the same way. So no pair that shares a region is lost to its size or to where tasks end.
 5. Components come from repeated star contraction of the confirmed links, in tables written to the shared folder.
@@ -32,6 +32,7 @@ text are read, so other columns can't clash.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -401,7 +402,8 @@ def links_within(members: DataFrame, sets: DataFrame) -> DataFrame:
 def by_weight(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of the parts that one task can compare, and node, label and sought of the others'."""
     sizes = members.join(sets.select(F.col("class_id").alias("node"), "n"), "node").groupBy("part").agg(F.sum("n").alias("shingles"))
-    heavy = sizes.where(F.col("shingles") > PART_SHINGLES).select("part")
+    heavy = materialize(sizes.where(F.col("shingles") > PART_SHINGLES).select("part"), "heavy")
+    heavy = broadcast_if_small(heavy, heavy.count())
     return members.join(heavy, "part", "left_anti"), members.join(heavy, "part", "left_semi").select("node", "label", F.lit(True).alias("sought"))
 
 
@@ -431,8 +433,47 @@ def apart_in_regions(found: DataFrame, labels: DataFrame) -> DataFrame:
     return apart.groupBy("node", "label").agg(F.max(F.col("label") != F.col("most")).alias("sought"))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_count: np.ndarray, sought: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """shingle, cell, node, label, size and left (shingles from this one on, rarest first) of each set's first shingles; of those in ``sought`` alone if given."""
+def repeated_shingles(own: DataFrame, total: int) -> np.ndarray | None:
+    """Bits by the lowest part of a shingle's mixed value: whether more than one set may have it. None with so many shingles that most bits would be set."""
+    width = min(27, max(16, math.ceil(math.log2(16 * max(1, total)))))
+    if total > 4 << width:
+        return None
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place, n = np.unique(_places(b.column("shingles").flatten().to_numpy(zero_copy_only=False), width), return_counts=True)
+            place = np.repeat(place, np.minimum(n, 2))
+            first = np.flatnonzero(np.append(True, place[1:] >> 16 != place[:-1] >> 16)) if len(place) else np.zeros(0, np.int64)
+            low = [x.astype("<u2").tobytes() for x in np.split(place & 0xFFFF, first[1:])] if len(place) else []
+            yield pa.RecordBatch.from_arrays([pa.array(place[first] >> 16, pa.int32()), pa.array(low, pa.binary())], ["block", "places"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        n = np.bincount(np.frombuffer(b"".join(table["places"].to_pylist()), "<u2"), minlength=1 << 16)
+        return pa.table({"block": table["block"].slice(0, 1), "bits": pa.array([np.packbits(n > 1).tobytes()], pa.binary())})
+
+    blocks = own.select("shingles").mapInArrow(mark, "block int, places binary").groupBy("block").applyInArrow(merge, "block int, bits binary")
+    bits = np.zeros((1 << width - 16, 1 << 13), np.uint8)
+    for block, row in blocks.collect():  # 2,048 blocks of 8 kB at most
+        bits[block] = np.frombuffer(row, np.uint8)
+    return bits.ravel()
+
+
+def _places(shingles: np.ndarray, width: int) -> np.ndarray:
+    return (mix64(shingles.view(np.uint64), 5) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def _may_repeat(shingles: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+    if bits is None:
+        return np.ones(len(shingles), bool)
+    place = _places(shingles, (8 * len(bits)).bit_length() - 1)
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_count: np.ndarray, repeated: np.ndarray | None, sought: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """shingle, cell, node, label, size and left (shingles from this one on, rarest first) of each set's first shingles.
+
+    Those that no other set has come first in the order and give no row; with ``sought``, its shingles alone give one.
+    """
     for b in batches:
         flat, ends = b.column("shingles").flatten().to_numpy(zero_copy_only=False), np.cumsum(b.column("shingles").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
         if not len(flat):
@@ -441,9 +482,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_count: np.
         starts, owner = ends - size, np.repeat(np.arange(len(size)), size)
         at = np.minimum(np.searchsorted(hot, flat), max(0, len(hot) - 1))
         count = np.where(hot[at] == flat, hot_count[at], 0) if len(hot) else np.zeros(len(flat), np.int64)
-        order = np.lexsort((flat, count, owner))
+        shared = _may_repeat(flat, repeated)
+        order = np.lexsort((flat, count, shared, owner))
         left = size[owner] - (np.arange(len(flat)) - starts[owner])
         own = left * DENOMINATOR >= NUMERATOR * size[owner]  # a linked set shares one of these at least
+        own &= shared[order]
         if sought is not None:
             own &= np.isin(flat[order], sought)
         shingle, count, owner, left = flat[order][own], count[order][own], owner[own], left[own]
@@ -503,9 +546,9 @@ def pairs_across(members: DataFrame, sets: DataFrame) -> DataFrame:
     counts = own.select("shingles").mapInArrow(_counted, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, total // HOT_SHINGLES + 1)).toPandas()  # at most HOT_SHINGLES rows
     counts = counts.sort_values("shingle")
     hot, hot_count = counts["shingle"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
-    looked_for = None
+    repeated, looked_for = repeated_shingles(own, total), None
     if (own.where("sought").agg(F.sum("n")).first()[0] or 0) <= SOUGHT:  # then the others' rows are only those that these can meet
-        first = own.where("sought").select("node", "label", "shingles").mapInArrow(lambda batches: _prefixes(batches, hot, hot_count, None), f"shingle bigint, cell bigint, node {kind}, label {kind}, size bigint, left bigint")
+        first = own.where("sought").select("node", "label", "shingles").mapInArrow(lambda batches: _prefixes(batches, hot, hot_count, repeated, None), f"shingle bigint, cell bigint, node {kind}, label {kind}, size bigint, left bigint")
         looked_for = np.sort(first.select("shingle").distinct().toPandas()["shingle"].to_numpy(np.int64))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -524,7 +567,7 @@ def pairs_across(members: DataFrame, sets: DataFrame) -> DataFrame:
         if rest is not None:
             yield from _meet(rest)
 
-    lists = own.select("node", "label", "shingles").mapInArrow(lambda batches: _prefixes(batches, hot, hot_count, looked_for), f"shingle bigint, cell bigint, node {kind}, label {kind}, size bigint, left bigint")
+    lists = own.select("node", "label", "shingles").mapInArrow(lambda batches: _prefixes(batches, hot, hot_count, repeated, looked_for), f"shingle bigint, cell bigint, node {kind}, label {kind}, size bigint, left bigint")
     return lists.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell", "label").mapInArrow(meet, f"a {kind}, b {kind}")
 
 

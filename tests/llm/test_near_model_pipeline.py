@@ -88,6 +88,22 @@ def test_many_repeats_of_a_pair(spark):
     assert nd.confirm(pairs, sets).count() == 1
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeated_shingles_by_brute_force(spark, parts):
+    draw = np.random.default_rng(9)
+    sets = [np.unique(draw.integers(-(2**62), 2**62, 200).tolist() + draw.integers(0, 500, 60).tolist()) for _ in range(40)]
+    df = spark.createDataFrame([(s.tolist(),) for s in sets], "shingles array<bigint>").repartition(parts)
+    n = Counter(int(x) for s in sets for x in s)
+    every = np.array(list(n), np.int64)
+    bits = nd.repeated_shingles(df, sum(map(len, sets)))
+    may = dict(zip(every.tolist(), nd._may_repeat(every, bits)))
+    assert all(may[x] for x, k in n.items() if k > 1)
+    single = [may[x] for x, k in n.items() if k == 1]
+    assert np.mean(single) < 0.2
+    assert nd.repeated_shingles(df, 1 << 40) is None and nd._may_repeat(every, None).all()
+    assert not nd._may_repeat(every, nd.repeated_shingles(df.limit(0), 0)).any()
+
+
 def crowded(n=3000, every=20, own=20):
     """Texts that share a passage (similarity about 0.68), and among them isolated pairs at 0.76 or so, far apart by id."""
     passage, texts = [f"shared{k}" for k in range(90)], []
