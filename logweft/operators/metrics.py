@@ -20,12 +20,22 @@ def source_stats(files: DataFrame) -> DataFrame:
     return files.groupBy("source_id").agg(F.count("*").alias("n_files"), F.sum("n_lines").alias("n_lines"), F.sum("n_bytes").alias("n_bytes"))
 
 
-def per_window(events: DataFrame, width: str = "1 second", time: str = "event_ts") -> DataFrame:
-    """Events, warnings and errors by window of time, and how many sources and files were active."""
-    is_level = lambda *levels: F.count(F.when(F.col("level").isin(*levels), 1))
-    return events.groupBy(F.window(time, width)["start"].alias("start")).agg(
-        F.count("*").alias("n_events"), is_level("WARN").alias("n_warnings"), is_level("ERROR", "FATAL").alias("n_errors"), F.approx_count_distinct("source_id").alias("n_sources"), F.approx_count_distinct("file_path").alias("n_files")
+def per_window(events: DataFrame, width: str = "1 second", time: str = "event_ts", failures: DataFrame | None = None) -> DataFrame:
+    """Events, warnings, errors and parser failures by window of time, and how many sources and files were active.
+
+    ``failures``: rejected lines as events, with a time in the same column (for live ones, when they came). Counted by
+    window, source and file first, so the distinct counts are exact and nothing but counts is shuffled.
+    """
+    columns = [F.col(time).alias("_time"), "source_id", "file_path", "level"]
+    rows = events.select(*columns, F.lit(0).alias("_failed"))
+    if failures is not None:
+        rows = rows.unionByName(failures.select(*columns, F.lit(1).alias("_failed")))
+    is_level = lambda *levels: F.count(F.when((F.col("_failed") == 0) & F.col("level").isin(*levels), 1))
+    by_file = rows.groupBy(F.window("_time", width)["start"].alias("start"), "source_id", "file_path").agg(
+        F.count(F.when(F.col("_failed") == 0, 1)).alias("n_events"), is_level("WARN").alias("n_warnings"), is_level("ERROR", "FATAL").alias("n_errors"), F.sum("_failed").alias("n_failures")
     )
+    by_source = by_file.groupBy("start", "source_id").agg(*(F.sum(c).alias(c) for c in ("n_events", "n_warnings", "n_errors", "n_failures")), F.count("*").alias("n_files"))
+    return by_source.groupBy("start").agg(*(F.sum(c).alias(c) for c in ("n_events", "n_warnings", "n_errors", "n_failures")), F.count("*").alias("n_sources"), F.sum("n_files").alias("n_files"))
 
 
 def instances(events: DataFrame) -> DataFrame:

@@ -23,14 +23,18 @@ def _packed(line: Column, config: ParserConfig) -> tuple[Column, Column, dict[st
 
 
 def parse_lines(lines: DataFrame, *configs: ParserConfig, value: str = "value") -> DataFrame:
-    """``lines`` with is_header and, for headers, timestamp, event_ts, level, message and fields. The first configuration that matches a line is taken.
+    """``lines`` with is_header and, for headers, timestamp, event_ts, level, message and fields.
+
+    Of the configurations for a line's source (by source_id; those that name no sources are for all), the first that
+    matches the line is taken.
 
     Each pattern runs once for the test and, on headers, once for all captures: the steps are projections of their
     own, which Spark doesn't merge when an expensive one is used more than once.
     """
     configs = configs or (ParserConfig(),)
     packed = [_packed(F.col(value), c) for c in configs]
-    rows = lines.select("*", *(F.coalesce(begins, F.lit(False)).alias(f"_is{i}") for i, (begins, _, _) in enumerate(packed)))
+    own = [F.col("source_id").isin(*c.sources) if c.sources else F.lit(True) for c in configs]
+    rows = lines.select("*", *(F.coalesce(own[i] & begins, F.lit(False)).alias(f"_is{i}") for i, (begins, _, _) in enumerate(packed)))
     rows = rows.select("*", *(F.when(F.col(f"_is{i}"), parts).alias(f"_parts{i}") for i, (_, parts, _) in enumerate(packed)))
 
     def attribute(i: int, name: str) -> Column:

@@ -7,7 +7,7 @@ for each file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,34 +17,68 @@ KEYS = ("source_id", "file_path")
 UNBOUNDED = (Window.unboundedPreceding, Window.currentRow)
 
 
-def number_by_window(lines: DataFrame, keys: tuple[str, ...] = KEYS, order: tuple[str, ...] = ("chunk", "pos")) -> DataFrame:
-    """``lines`` with line_no (from 0) and event_seq (0 before the first header)."""
+def number_by_window(lines: DataFrame, keys: tuple[str, ...] = KEYS, order: tuple[str, ...] = ("chunk", "pos"), wanted: Column | None = None, distance: bool = False) -> DataFrame:
+    """``lines`` with line_no (from 0) and event_seq (0 before the first header); with ``wanted``, a test of headers, whether the event's header passes; with ``distance``, after_header (lines since the header)."""
     by = Window.partitionBy(*keys).orderBy(*order)
-    return lines.select("*", (F.row_number().over(by) - 1).cast("long").alias("line_no"), F.sum(F.col("is_header").cast("long")).over(by.rowsBetween(*UNBOUNDED)).alias("event_seq"))
+    line_no, so_far = (F.row_number().over(by) - 1).cast("long"), by.rowsBetween(*UNBOUNDED)
+    out = lines.select("*", line_no.alias("line_no"), F.sum(F.col("is_header").cast("long")).over(so_far).alias("event_seq"))
+    if distance:
+        out = out.withColumn("after_header", F.col("line_no") - F.max(F.when(F.col("is_header"), F.col("line_no"))).over(so_far))
+    return out if wanted is None else out.withColumn("wanted", F.last(F.when(F.col("is_header"), F.coalesce(wanted, F.lit(False))), ignorenulls=True).over(so_far))
 
 
-def number_by_chunk(lines: DataFrame, keys: tuple[str, ...] = KEYS, chunk: str = "chunk", pos: str = "pos") -> DataFrame:
-    """The same numbers as `number_by_window`, worked out chunk by chunk."""
-    header = F.col("is_header").cast("long")
-    counts = lines.groupBy(*keys, chunk).agg(F.sum(header).alias("_h"), F.count("*").alias("_n"))
+def number_by_chunk(lines: DataFrame, keys: tuple[str, ...] = KEYS, chunk: str = "chunk", pos: str = "pos", wanted: Column | None = None, distance: bool = False) -> DataFrame:
+    """The same as `number_by_window`, worked out chunk by chunk.
+
+    after_header is exact in the header's own chunk; in later ones it counts the lines since that chunk's end, which is
+    no more than the true number.
+    """
+    is_header = F.col("is_header")
+    passes = F.coalesce(F.lit(True) if wanted is None else wanted, F.lit(False))
+    counts = lines.groupBy(*keys, chunk).agg(F.sum(is_header.cast("long")).alias("_h"), F.count("*").alias("_n"), F.max_by(F.when(is_header, passes), F.when(is_header, F.col(pos))).alias("_ok"))
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)  # a row for each split of a file
-    base = counts.select(*keys, chunk, F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_seq"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_line"))
+    counts = counts.withColumn("_line", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    base = counts.select(
+        *keys,
+        chunk,
+        "_line",
+        F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_seq"),
+        F.max(F.when(F.col("_h") > 0, F.col("_line") + F.col("_n"))).over(before).alias("_end"),
+        F.last("_ok", ignorenulls=True).over(before).alias("_carried"),
+    )
     by = Window.partitionBy(*keys, chunk).orderBy(pos)
-    local = lines.select("*", (F.row_number().over(by) - 1).alias("_row"), F.sum(header).over(by.rowsBetween(*UNBOUNDED)).alias("_heads"))
+    so_far = by.rowsBetween(*UNBOUNDED)
+    local = lines.select("*", (F.row_number().over(by) - 1).alias("_row"), F.sum(is_header.cast("long")).over(so_far).alias("_heads"))
+    if distance:
+        local = local.withColumn("_head", F.max(F.when(is_header, F.col("_row"))).over(so_far))
+    if wanted is not None:
+        local = local.withColumn("_wanted", F.last(F.when(is_header, passes), ignorenulls=True).over(so_far))
     rows = local.join(base, [*keys, chunk])
-    return rows.select(*lines.columns, (F.col("_line") + F.col("_row")).cast("long").alias("line_no"), (F.col("_seq") + F.col("_heads")).alias("event_seq"))
+    return rows.select(
+        *lines.columns,
+        (F.col("_line") + F.col("_row")).cast("long").alias("line_no"),
+        (F.col("_seq") + F.col("_heads")).alias("event_seq"),
+        *([F.coalesce(F.col("_row") - F.col("_head"), F.col("_line") + F.col("_row") - F.col("_end") + 1).cast("long").alias("after_header")] if distance else []),
+        *([] if wanted is None else [F.coalesce("_wanted", "_carried").alias("wanted")]),
+    )
 
 
 def stitch(numbered: DataFrame, keys: tuple[str, ...] = KEYS, value: str = "value", max_continuation_lines: int | None = None) -> DataFrame:
     """An event for each header: the keys, event_seq, line_no (the header's), n_lines, message (with continuations) and the header's other columns.
 
-    ``max_continuation_lines`` cuts what is appended to one event; by default nothing is cut.
+    Where lines were numbered with a test of headers, only events that pass are put together; the lines of the others
+    go before the shuffle. ``max_continuation_lines`` cuts what is appended to one event; by default nothing is cut.
+    Where they were numbered with distances, the cut comes before the gathering: of an event's lines, twice as many
+    are gathered at most.
     """
     header = lambda c: F.first(F.when(F.col("is_header"), F.col(c)), ignorenulls=True).alias(c)
     text = F.struct("line_no", F.when(F.col("is_header"), F.col("message")).otherwise(F.coalesce(F.col(value), F.lit(""))).alias("text"))
+    if max_continuation_lines is not None and "after_header" in numbered.columns:
+        text = F.when(F.col("is_header") | (F.col("after_header") <= max_continuation_lines), text)
     carried = [c for c in ("timestamp", "event_ts", "level", "source_name", "source_ord", "generation") if c in numbered.columns and c not in keys]
     fields = [F.first(F.when(F.col("is_header"), F.map_entries("fields")), ignorenulls=True).alias("_fields")] if "fields" in numbered.columns else []
-    rows = numbered.where("event_seq > 0").groupBy(*keys, "event_seq").agg(*map(header, carried), *fields, F.min("line_no").alias("line_no"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(text)).alias("_lines"))
+    kept = numbered.where("wanted") if "wanted" in numbered.columns else numbered
+    rows = kept.where("event_seq > 0").groupBy(*keys, "event_seq").agg(*map(header, carried), *fields, F.min("line_no").alias("line_no"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(text)).alias("_lines"))
     lines = F.col("_lines") if max_continuation_lines is None else F.slice("_lines", 1, max_continuation_lines + 1)
     rows = rows.withColumn("message", F.array_join(F.transform(lines, lambda x: x["text"]), "\n")).drop("_lines")
     return rows.withColumn("fields", F.map_from_entries("_fields")).drop("_fields") if fields else rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,20 +19,17 @@ def ordering(keys=ORDER) -> list:
     return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in keys]
 
 
-def load_timeline(spark: SparkSession, sources: DataFrame, selection: Selection, *configs: ParserConfig, max_continuation_lines: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events of all matching files, rejected lines, and the status of each source."""
+def load_timeline(spark: SparkSession, sources: DataFrame, selection: Selection, *configs: ParserConfig, max_continuation_lines: int | None = None, headers: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events of all matching files, rejected lines, and the status of each source (for that of each file, see `files.file_report`).
+
+    ``headers`` is a test of what an event's first line tells (level, source, fields, not the whole message): the lines
+    of other events aren't gathered.
+    """
     lines, status = load_lines(spark, sources, selection)
-    numbered = number_by_chunk(parse_lines(lines, *configs))
+    numbered = number_by_chunk(parse_lines(lines, *configs), wanted=headers, distance=max_continuation_lines is not None)
     return as_events(stitch(numbered, max_continuation_lines=max_continuation_lines)), rejects(numbered), status
 
 
-def union_all(*timelines: DataFrame) -> DataFrame:
-    out = timelines[0]
-    for t in timelines[1:]:
-        out = out.unionByName(t)
-    return out
-
-
 def merge_pages(current: DataFrame, incoming: DataFrame, on_top: bool = False, key: str = "event_id", time: str = "event_ts") -> DataFrame:
     """Both lists, newest first; incoming rows that are in the current list are left out. Ties favour the current list, or the incoming one if it comes ``on_top``.
 
@@ -76,7 +73,3 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
 
 def retain_newest(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy(*ordering()).limit(n)
-
-
-def numbered_window(events: DataFrame, *keys: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(*ordering())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logweft.functions.columns import label
 from logweft.plans.config import ParserConfig
@@ -49,9 +50,13 @@ def selected(events: DataFrame, ids: DataFrame, key: str = "event_id") -> DataFr
     return events.join(ids.select(key), key, "left_semi")
 
 
-def event_json(pretty: bool = False) -> Column:
+def event_object() -> Column:
     names = ("id", "timestamp", "receivedAt", "sourceId", "sourceName", "filePath", "level", "message")
-    return F.to_json(F.struct(*(F.col(ATTRIBUTES[n]).alias(n) for n in names), "fields"), {"pretty": str(pretty).lower()})
+    return F.struct(*(F.col(ATTRIBUTES[n]).alias(n) for n in names), "fields")
+
+
+def event_json(pretty: bool = False) -> Column:
+    return F.to_json(event_object(), {"pretty": str(pretty).lower()})
 
 
 def export_text(events: DataFrame, ids: DataFrame, path: str) -> None:
@@ -62,7 +67,29 @@ def export_text(events: DataFrame, ids: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").text(path, lineSep="\n\n")
 
 
+def _listed(rows: DataFrame, item: Column, *order: Column) -> DataFrame:
+    """One row with all items as a list ``items`` in the given order. ``rows`` are a page's, or the sources or columns of one view."""
+    numbered = rows.select(F.row_number().over(Window.orderBy(*order)).alias("n"), item.alias("item"))
+    return numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item")), lambda a, b: a["n"] - b["n"]), lambda x: x["item"]).alias("items"))
+
+
 def page_json(rows: DataFrame, has_more: bool, append: str = "bottom") -> DataFrame:
-    """A page as one message. It holds a page's rows at most."""
-    packed = rows.select(F.from_json(event_json(), "map<string,string>").alias("e"), F.to_json("fields").alias("f"))
-    return packed.agg(F.collect_list("e").alias("events")).select(F.to_json(F.struct(F.lit(append).alias("append"), "events", F.lit(has_more).alias("hasMore"))).alias("value"))
+    """A page as one message, its events in the timeline's order and their fields as an object. It holds a page's rows at most."""
+    from logweft.operators.timeline import ordering
+
+    message = F.struct(F.lit(append).alias("append"), F.col("items").alias("events"), F.lit(has_more).alias("hasMore"))
+    return _listed(rows, event_object(), *ordering()).select(F.to_json(message).alias("value"))
+
+
+def snapshot_json(rows: DataFrame, has_more: bool, sources: DataFrame, columns: DataFrame) -> DataFrame:
+    """What a view begins with as one message: the newest page, the sources and the columns of its table."""
+    from logweft.operators.timeline import ordering
+
+    events = _listed(rows, event_object(), *ordering()).withColumnRenamed("items", "events")
+    kept = ("id", "name", "directory", "environment", "country", "project", "date", "tier")
+    known = _listed(sources, F.struct(*(c for c in kept if c in sources.columns)), F.col("source_ord")).withColumnRenamed("items", "sources")
+    named = F.struct("id", "label", "field", "width", "hideable", F.col("group_id").alias("groupId"), F.col("group_label").alias("groupLabel"))
+    schema = _listed(columns, named, F.col("position")).withColumnRenamed("items", "columns")
+    # Three tables of one row each, side by side.
+    both = events.withColumn("_one", F.lit(1)).join(known.withColumn("_one", F.lit(1)), "_one").join(schema.withColumn("_one", F.lit(1)), "_one")
+    return both.select(F.to_json(F.struct("events", F.lit(has_more).alias("hasMore"), "sources", F.struct("columns").alias("schema"))).alias("value"))

@@ -11,10 +11,7 @@ from logweft.functions.regex import java_pattern
 LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL", "UNKNOWN")
 FILE_KINDS = ("serveur", "fwk", "ui")
 TIERS = ("back", "front")
-DEFAULT_PATTERN = (
-    r"^(?<timestamp>\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:[,.]\d{3})?)\s+(?<level>TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\s+"
-    r"(?:\[(?<thread>[^\]]+)\]\s+)?(?:(?<logger>[\w.$-]+)\s+-\s+)?(?<message>.*)$"
-)
+DEFAULT_PATTERN = r"^(?<timestamp>\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:[,.]\d{3})?)\s+(?<level>TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\s+(?:\[(?<thread>[^\]]+)\]\s+)?(?:(?<logger>[\w.$-]+)\s+-\s+)?(?<message>.*)$"  # noqa: E501
 DEFAULT_PAGE, OLDER_PAGE, LARGEST_PAGE = 50, 200, 1000
 
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
@@ -40,10 +37,11 @@ class Selection:
 
 @dataclass(frozen=True)
 class ParserConfig:
-    """A line pattern and, by attribute, the name of the group that captures it."""
+    """A line pattern and, by attribute, the name of the group that captures it; with ``sources``, for the lines of these alone."""
 
     pattern: str = DEFAULT_PATTERN
     groups: dict[str, str] = field(default_factory=lambda: {x: x for x in ("timestamp", "level", "thread", "logger", "message")})
+    sources: tuple[str, ...] = ()
 
     @property
     def extra_fields(self) -> list[str]:
@@ -57,7 +55,7 @@ class ParserConfig:
 
     @classmethod
     def from_json(cls, data: dict) -> ParserConfig:
-        return cls(data["linePattern"], dict(data["groups"]))
+        return cls(data["linePattern"], dict(data["groups"]), tuple(data.get("sources", ())))
 
 
 @dataclass(frozen=True)

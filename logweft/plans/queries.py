@@ -7,14 +7,15 @@ turns are lines, `documents` are files of lines, `region` and `nation` are the e
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweft.functions.columns import base_name, label
 from logweft.operators import filters, metrics, paging, stitch, timeline, view
 from logweft.operators.parse import parse_lines
-from logweft.plans.config import LogFilter, ParserConfig, Selection
+from logweft.plans.config import DEFAULT_PATTERN, LogFilter, ParserConfig, Selection
 from logweft.sources import files, matrix
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,8 +58,9 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = stitch.number_by_chunk(parse_lines(log_lines(spark, sf_dir)))
+def log_events(spark: SparkSession, sf_dir: str, headers: Column | None = None) -> DataFrame:
+    """``headers``: a test of headers; the lines of other events aren't gathered."""
+    numbered = stitch.number_by_chunk(parse_lines(log_lines(spark, sf_dir)), wanted=headers)
     return stitch.as_events(stitch.stitch(numbered)).drop("received_at")
 
 
@@ -91,7 +93,7 @@ def timeline_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filtered(spark: SparkSession, sf_dir: str, wanted: LogFilter) -> DataFrame:
-    return _shown(filters.apply_filter(log_events(spark, sf_dir), wanted))
+    return _shown(filters.apply_filter(log_events(spark, sf_dir, filters.level_is(wanted.levels)), wanted))
 
 
 @query(f"SELECT {_SHOWN} FROM ({_LINES}) WHERE level IN ('ERROR', 'WARN')")
@@ -128,7 +130,7 @@ def filter_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_SHOWN} FROM ({_LINES}) WHERE source_id = 'source-1' AND thread = 'worker-2'")
 def filter_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(log_events(spark, sf_dir).where(filters.attribute_is(source_id="source-1", thread="worker-2")))
+    return _shown(log_events(spark, sf_dir, filters.attribute_is(source_id="source-1", thread="worker-2")))
 
 
 @query(f"SELECT coalesce(\"timestamp\", '') AS \"timestamp\", source_name AS \"sourceName\", level, message, thread, '' AS \"nothing\" FROM ({_LINES})")
@@ -162,10 +164,20 @@ def trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("source_id", "line_no", "value", "step")
 
 
-@query(f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events, count(*) FILTER (level = 'WARN') AS n_warnings, count(*) FILTER (level = 'ERROR') AS n_errors FROM ({_LINES}) GROUP BY 1")
+@query(f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events, count(*) FILTER (level = 'WARN') AS n_warnings, count(*) FILTER (level = 'ERROR') AS n_errors, 0::BIGINT AS n_failures, count(DISTINCT o) AS n_sources, count(DISTINCT o) AS n_files FROM ({_LINES}) GROUP BY 1")
 def events_per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = metrics.per_window(log_events(spark, sf_dir), "1 hour")
-    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n_events", "n_warnings", "n_errors")
+    return metrics.per_window(log_events(spark, sf_dir), "1 hour").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, count(*) FILTER (level <> 'TRACE') AS n_events, count(*) FILTER (level = 'TRACE') AS n_failures, count(DISTINCT o) AS n_sources FROM ({_LINES}) GROUP BY 1")
+def failures_per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parser that doesn't know the level TRACE: its lines fail, and are counted by the time when they came."""
+    lines = log_lines(spark, sf_dir).withColumn("came", F.to_timestamp_ntz(F.substring("value", 1, 19)))
+    parsed = parse_lines(lines, ParserConfig(pattern=DEFAULT_PATTERN.replace("TRACE|", "")))
+    known = parsed.where("is_header").withColumn("event_ts", F.col("came"))
+    failed = parsed.where("not is_header").withColumn("event_ts", F.col("came")).withColumn("level", F.lit("WARN"))
+    w = metrics.per_window(known, "1 day", failures=failed)
+    return w.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n_events", "n_failures", "n_sources")
 
 
 @query(f"SELECT source_id, count(DISTINCT o) AS n_files, count(*) AS n_events, strftime(max(event_ts), '%Y-%m-%dT%H:%M:%S.%g') AS latest FROM ({_LINES}) GROUP BY source_id")
@@ -189,6 +201,70 @@ def session_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.only_in_first(e.where("half = 0"), e.where("half = 1"))
 
 
+_EVENT_JSON = (
+    "to_json({'id': sha256(source_id || '|/share/' || o || '/app.log|0|' || line_no), 'timestamp': \"timestamp\", 'sourceId': source_id, 'sourceName': source_name, 'filePath': '/share/' || o || '/app.log',"
+    " 'level': level, 'message': message, 'fields': {'thread': thread, 'logger': logger}})"
+)
+
+
+def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without the time when they came, which differs from run to run."""
+    return log_events(spark, sf_dir).withColumn("received_at", F.lit(None).cast("timestamp"))
+
+
+@query(f"SELECT source_id, line_no, sha256(source_id || '|/share/' || o || '/app.log|0|' || line_no) AS event_id FROM ({_LINES})")
+def event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_events(spark, sf_dir).select("source_id", "line_no", "event_id")
+
+
+@query(f"SELECT {_EVENT_JSON}::VARCHAR AS value FROM ({_LINES})")
+def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sent(spark, sf_dir).select(view.event_json().alias("value"))
+
+
+@query(f"WITH p AS (SELECT * FROM ({_LINES}) WHERE level = 'ERROR' {_NEWEST} LIMIT 50) SELECT to_json({{'append': 'bottom', 'events': list({_EVENT_JSON} {_NEWEST}), 'hasMore': (SELECT count(*) > 50 FROM events WHERE event_type = 'error')}})::VARCHAR AS value FROM p")
+def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = paging.newest(_sent(spark, sf_dir), LogFilter(levels=("ERROR",)))
+    return view.page_json(page.rows, page.has_more())
+
+
+@query(
+    f"WITH p AS (SELECT * FROM ({_LINES}) {_NEWEST} LIMIT 50), e AS (SELECT list({_EVENT_JSON} {_NEWEST}) AS events FROM p),"
+    " s AS (SELECT list(to_json({'id': n_name, 'name': '[' || n_name || ']', 'environment': 'E'}) ORDER BY n_nationkey) AS sources FROM nation),"
+    " c AS (SELECT list(to_json({'id': f, 'label': l, 'field': f, 'width': w, 'hideable': h, 'groupId': g, 'groupLabel': k}) ORDER BY i) AS columns FROM (VALUES (0, 'timestamp', 'Time', 188, false, 'base', 'Base'), (1, 'sourceName', 'Source', 240, true, 'base', 'Base'), (2, 'level', 'Level', 90, false, 'base', 'Base'), (3, 'thread', 'Thread', 180, true, 'parsed-fields', 'Parsed fields'), (4, 'logger', 'Logger', 180, true, 'parsed-fields', 'Parsed fields'), (5, 'message', 'Message', 520, false, 'base', 'Base')) t(i, f, l, w, h, g, k))"
+    " SELECT to_json({'events': events, 'hasMore': (SELECT count(*) > 50 FROM events), 'sources': sources, 'schema': {'columns': columns}})::VARCHAR AS value FROM e, s, c"
+)
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), F.concat(F.lit("["), "n_name", F.lit("]")).alias("name"), F.lit("E").alias("environment"), F.col("n_nationkey").alias("source_ord"))
+    seen = paging.snapshot(_sent(spark, sf_dir), LogFilter(), sources, view.column_schema(spark, ParserConfig()))
+    return view.snapshot_json(seen.page.rows, seen.page.has_more(), seen.sources, seen.columns)
+
+
+@query(
+    "WITH k AS (SELECT list_sort(list(DISTINCT event_type)) AS t FROM events), x AS (SELECT unnest(t) AS field, generate_subscripts(t, 1) + 2 AS position FROM k),"
+    " b AS (SELECT * FROM (VALUES ('timestamp', 'Time', 0, 188, false), ('sourceName', 'Source', 1, 240, true), ('level', 'Level', 2, 90, false)) v(field, label, position, width, hideable))"
+    " SELECT position::INT AS position, field, label, width, hideable, 'base' AS group_id FROM b"
+    " UNION ALL SELECT position::INT, field, upper(field[1]) || field[2:], 180, true, 'parsed-fields' FROM x UNION ALL SELECT (SELECT max(position) + 1 FROM x)::INT, 'message', 'Message', 520, false, 'base'"
+)
+def column_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose extra fields are the types of events."""
+    names = sorted(r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect())  # a few types
+    schema = view.column_schema(spark, ParserConfig(groups={x: x for x in ("timestamp", "level", *names, "message")}))
+    return schema.select("position", "field", "label", "width", "hideable", "group_id")
+
+
+@query(
+    f"SELECT {_SHOWN}, thread FROM (SELECT * REPLACE (CASE WHEN o = 1 THEN event_type ELSE message END AS message, CASE WHEN o = 1 THEN 'ERROR' ELSE level END AS level, CASE WHEN o = 1 THEN '' ELSE thread END AS thread) FROM ({_LINES}))"
+)
+def parsers_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source writes lines of another form, and has a parser of its own."""
+    other = F.concat(F.substring("value", 1, 23), F.lit("|ERROR|"), F.regexp_extract("value", r"app\.(\w+) - ", 1))
+    lines = log_lines(spark, sf_dir).withColumn("value", F.when(F.col("source_id") == "source-1", other).otherwise(F.col("value")))
+    own = ParserConfig(r"^(?<at>[^|]+)\|(?<level>\w+)\|(?<message>.*)$", {"timestamp": "at", "level": "level", "message": "message"}, ("source-1",))
+    events = stitch.as_events(stitch.stitch(stitch.number_by_chunk(parse_lines(lines, own, ParserConfig(sources=("source-0", "source-2"))))))
+    return events.select("source_id", "line_no", "timestamp", "level", "message", F.coalesce(F.element_at("fields", F.lit("thread")), F.lit("")).alias("thread"))
+
+
 # --- paging with many equal times ------------------------------------------------------------------------------
 
 
@@ -214,12 +290,26 @@ def until_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH h AS (SELECT event_id, date_trunc('hour', ts) AS t FROM events), a AS (SELECT event_id FROM h WHERE event_id % 3 = 0), b AS (SELECT event_id FROM h WHERE event_id % 2 = 0)"
-    " SELECT event_id, 0 AS side FROM a UNION ALL SELECT event_id, 1 AS side FROM b WHERE event_id NOT IN (SELECT event_id FROM a)"
+    "WITH a AS (SELECT event_id FROM events WHERE event_type IN ('click', 'view'))"
+    " SELECT event_id, 0 AS side FROM a UNION ALL SELECT event_id, 1 AS side FROM events WHERE event_id NOT IN (SELECT event_id FROM a)"
 )
 def merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events come in; those of two types are there already."""
     h = hourly_events(spark, sf_dir)
-    return timeline.merge_pages(h.where("event_id % 3 = 0"), h.where("event_id % 2 = 0")).select("event_id", F.col("_side").alias("side"))
+    return timeline.merge_pages(h.where("event_type in ('click', 'view')"), h).select("event_id", F.col("_side").alias("side"))
+
+
+@query(
+    f"WITH h AS ({_HOURLY}), n AS (SELECT count(*) AS n FROM h), m AS (SELECT l, greatest(1, least(1000, coalesce(l, 50))) AS size FROM (VALUES (0), (1), (200), (1000000), (NULL)) v(l))"
+    " SELECT coalesce(l, -1)::BIGINT AS asked, count(h.r) AS n_rows, any_value(n) > any_value(c.r) + any_value(size) AS has_more FROM m JOIN n ON true JOIN (SELECT r FROM h WHERE event_id = 77) c ON true LEFT JOIN h ON h.r > c.r AND h.r <= c.r + m.size GROUP BY l"
+)
+def page_has_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes that are asked for are held to their bounds, and a page tells whether rows are left after it."""
+    e, rows = hourly_events(spark, sf_dir), []
+    for asked in (0, 1, 200, 1_000_000, None):
+        page = paging.after_cursor(e, 77, asked)
+        rows.append(page.rows.agg(F.lit(-1 if asked is None else asked).cast("long").alias("asked"), F.count("*").alias("n_rows")).withColumn("has_more", F.lit(page.has_more())))
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("SELECT user_id, event_id AS version, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
@@ -283,6 +373,13 @@ def stitch_prefix_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitch.rejects(stitch.number_by_chunk(document_lines(spark, sf_dir), ("doc_id",))).select("doc_id", "line_no", "value")
 
 
+@query(f"SELECT doc_id, pos::BIGINT AS line_no, sha256(source || '|' || doc_id || '|0|' || pos) AS event_id, 'WARN' AS level, '' AS \"timestamp\", 'Malformed line: ' || value AS message FROM ({_DOC_LINES}) WHERE s = 0")
+def reject_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejected = stitch.rejects(stitch.number_by_chunk(document_lines(spark, sf_dir), ("doc_id",)))
+    named = rejected.select("value", "line_no", F.col("source").alias("source_id"), F.col("source").alias("source_name"), F.lit(0).cast("long").alias("source_ord"), F.col("doc_id").cast("string").alias("file_path"))
+    return stitch.reject_events(named).select(F.col("file_path").cast("long").alias("doc_id"), "line_no", "event_id", "level", "timestamp", "message")
+
+
 @query(f"SELECT source AS source_id, count(DISTINCT doc_id) AS n_files, count(*) AS n_lines, sum(strlen(value))::BIGINT AS n_bytes FROM ({_DOC_LINES}) GROUP BY source")
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = document_lines(spark, sf_dir).select(F.col("source").alias("source_id"), F.col("doc_id").alias("file_path"), F.octet_length("value").cast("long").alias("file_size"))

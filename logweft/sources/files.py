@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logweft.functions.columns import parent, plain_path
+from logweft.functions.columns import base_name, parent, plain_path
 from logweft.functions.regex import literal
 from logweft.plans.config import FILE_KINDS, Selection
 
@@ -32,11 +32,44 @@ def source_status(spark: SparkSession, sources: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "source_id string, directory string, source_ord bigint, readable boolean, message string, details string")
 
 
+def list_files(spark: SparkSession, directories: list[str], selection: Selection) -> DataFrame:
+    """file_path and file_size of the matching files, as they are now. Nothing is opened."""
+    schema = "file_path string, file_size bigint"
+    if not directories or not selection.valid:
+        return spark.createDataFrame([], schema)
+    found = spark.read.format("binaryFile").load(sorted(set(directories))).select(plain_path(F.col("path")).alias("file_path"), F.col("length").alias("file_size"))
+    rows = found.where(file_name_matches(base_name(F.col("file_path")), selection)).collect()  # a row for each file of one project and day, as Spark's own listing
+    return spark.createDataFrame(rows, schema)
+
+
+def file_status(listed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Every listed file with n_lines and bytes_read, ``readable``, and a message and details where it couldn't be read or only in part.
+
+    A file that breaks off doesn't stop the others (see `read_lines`); it shows here, because what was read of it is
+    shorter than the file. Lines don't tell whether they ended in one byte or two, so a loss of less than a byte a
+    line goes unnoticed. ``listed`` is from before the reading, so that files which vanish meanwhile show too.
+    """
+    read = lines.groupBy("file_path").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("value")).alias("bytes"))
+    n, bytes_read, size = F.coalesce("n_lines", F.lit(0)), F.coalesce("bytes", F.lit(0)), F.col("file_size")
+    whole = bytes_read + 2 * n + 3 >= size  # line ends, and a byte order mark
+    details = F.when(n == 0, "vanished or can't be read").otherwise(F.format_string("about %d of %d bytes were read", bytes_read + n, size))
+    return listed.join(read, "file_path", "left").select(
+        "file_path",
+        "file_size",
+        n.alias("n_lines"),
+        bytes_read.alias("bytes_read"),
+        ((size == 0) | (n > 0) & whole).alias("readable"),
+        F.when((size == 0) | (n > 0) & whole, None).otherwise("Failed to read file").alias("message"),
+        F.when((size == 0) | (n > 0) & whole, None).otherwise(details).alias("details"),
+    )
+
+
 def read_lines(spark: SparkSession, directories: list[str], selection: Selection) -> DataFrame:
     """All lines of the matching files in the directories.
 
     value, file_path, file_name, file_size, chunk (where the split begins) and pos (rises within a split).
-    The name's predicate keeps Spark from opening other files.
+    The name's predicate keeps Spark from opening other files. A file that can't be read, or that vanishes, doesn't
+    stop the others; `file_status` names it.
     """
     if not directories or not selection.valid:
         return spark.createDataFrame([], "value string, file_path string, file_name string, file_size bigint, chunk bigint, pos bigint")
@@ -66,3 +99,9 @@ def load_lines(spark: SparkSession, sources: DataFrame, selection: Selection) ->
     status = source_status(spark, sources)
     directories = [r["directory"] for r in status.where("readable").select("directory").collect()]
     return with_source(read_lines(spark, directories, selection), sources), status
+
+
+def file_report(spark: SparkSession, sources: DataFrame, selection: Selection) -> DataFrame:
+    """`file_status` of all files of the readable sources, with source_id, source_name and source_ord; it reads them once."""
+    directories = [r["directory"] for r in source_status(spark, sources).where("readable").select("directory").collect()]
+    return with_source(file_status(list_files(spark, directories, selection), read_lines(spark, directories, selection)), sources)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +14,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logweft.functions.columns import event_id
+from logweft.operators.filters import predicate
+from logweft.operators.paging import newest
 from logweft.operators.parse import parse_lines
-from logweft.operators.timeline import append_version
-from logweft.operators.view import event_json
-from logweft.plans.config import ParserConfig, Selection
+from logweft.operators.timeline import append_version, stored_timeline
+from logweft.operators.view import column_schema, event_json, snapshot_json
+from logweft.plans.config import LogFilter, ParserConfig, Selection
 from logweft.sources.files import file_name_matches, with_source
+from logweft.sources.matrix import resolve_sources
 from logweft.streaming.tail import TailSource
 
 _ATTRIBUTES = ("timestamp", "event_ts", "level", "message", "fields", "source_name", "source_ord")
@@ -24,7 +29,8 @@ STITCHED = (
     "kind string, source_id string, file_path string, generation int, line_no bigint, source_name string, source_ord bigint, "
     "timestamp string, event_ts timestamp_ntz, level string, message string, fields string, is_backfill boolean"
 )
-STATE = "generation int, next_line bigint, last_offset bigint, head string, has_event boolean, line_no bigint, source_name string, source_ord bigint, timestamp string, event_ts string, level string, message string, fields string"
+EVENT = "event_id string, timestamp string, event_ts timestamp_ntz, received_at timestamp, source_id string, source_name string, file_path string, level string, message string, fields map<string,string>, source_ord bigint, line_no bigint, generation int"
+STATE = "generation int, next_line bigint, last_offset bigint, head string, has_event boolean, n_more bigint, line_no bigint, source_name string, source_ord bigint, timestamp string, event_ts string, level string, message string, fields string"
 
 
 def tail_lines(spark: SparkSession, sources: DataFrame, selection: Selection, **options) -> DataFrame:
@@ -37,50 +43,54 @@ def tail_lines(spark: SparkSession, sources: DataFrame, selection: Selection, **
     return with_source(lines.where(file_name_matches(F.col("file_name"), selection)), sources)
 
 
-def _stitch_file(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """New and grown events of one file. A file that begins anew is a new generation, whose lines are counted from 0."""
-    rows = pd.concat(list(parts), ignore_index=True).sort_values("offset", kind="stable")
-    generation, next_line, last, head, has_event, *event = state.get if state.exists else (0, 0, -1, None, False, 0, None, 0, None, None, None, None, None)
-    event, out = list(event), []
-
-    def emit(kind: str, backfill: bool) -> None:
-        line_no, name, order, timestamp, event_ts, level, message, fields = event
-        out.append((kind, *key, generation, line_no, name, order, timestamp, pd.Timestamp(event_ts) if event_ts else pd.NaT, level, message, fields, backfill))
+def _stitch_file(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, most: int | None = None) -> Iterator[pd.DataFrame]:
+    """New and grown events of one file, put together run by run from header to header. A file that begins anew is a new generation, whose lines are counted from 0.
 
-    good = rows[rows["offset"] >= 0]
+    A batch holds `maxBytesPerFile` of the file at most; of an event, ``most`` continuation lines are kept.
+    """
+    rows = pd.concat(list(parts), ignore_index=True).sort_values("offset", kind="stable")
+    generation, next_line, last, head, has_event, n_more, *event = state.get if state.exists else (0, 0, -1, None, False, 0, 0, None, 0, None, None, None, None, None)
+    good, broken = rows[rows["offset"] >= 0].reset_index(drop=True), rows[rows["offset"] < 0]
     if len(good) and last >= 0 and (int(good["offset"].iloc[0]) <= last or good["head"].iloc[0] != head):
         generation, next_line, has_event = generation + 1, 0, False
-    touched, backfill = False, False
-    for r in good.itertuples(index=False):
-        backfill = bool(r.is_backfill)
-        if r.is_header:
-            if touched:
-                emit("event", backfill)
-            event = [next_line, r.source_name, int(r.source_ord), r.timestamp, None if pd.isna(r.event_ts) else str(r.event_ts), r.level, r.message, r.fields]
-            has_event = touched = True
-        elif has_event:
-            event[6] = f"{event[6]}\n{r.value}"
-            touched = True
-        else:
-            kept, event = event, [next_line, r.source_name, int(r.source_ord), None, None, None, r.value, None]
-            emit("reject", backfill)
-            event = kept
-        next_line += 1
-    if touched:
-        emit("event", backfill)
-    for r in rows[rows["offset"] < 0].itertuples(index=False):
-        event, kept = [-1, r.source_name, int(r.source_ord), None, None, None, r.error, None], event
-        emit("error", bool(r.is_backfill))
-        event = kept
+    values, out = good["value"].fillna("").tolist(), []
+    backfill = good["is_backfill"].astype(bool).tolist()
+    heads = np.flatnonzero(good["is_header"].to_numpy(bool)).tolist()
+    lead = heads[0] if heads else len(good)
+    row = lambda kind, event, back: (kind, *key, generation, event[0], event[1], event[2], event[3], pd.Timestamp(event[4]) if event[4] else pd.NaT, *event[5:], back)
+
+    def kept(n: int) -> int:
+        """How many of n further lines the open event takes."""
+        return n if most is None else max(0, min(n, most - n_more))
+
+    if lead and has_event:
+        event[6] = "\n".join([event[6], *values[: kept(lead)]])
+        n_more += kept(lead)
+        out.append(row("event", event, backfill[lead - 1]))
+    elif lead:
+        for i in range(lead):
+            out.append(row("reject", [next_line + i, good["source_name"].iat[i], int(good["source_ord"].iat[i]), None, None, None, values[i], None], backfill[i]))
+    for i, stop in zip(heads, [*heads[1:], len(good)]):
+        n_more = 0
+        n_more, r = kept(stop - i - 1), good.iloc[i]
+        event = [next_line + i, r["source_name"], int(r["source_ord"]), r["timestamp"], None if pd.isna(r["event_ts"]) else str(r["event_ts"]), r["level"], "\n".join([r["message"], *values[i + 1 : i + 1 + n_more]]), r["fields"]]
+        has_event = True
+        out.append(row("event", event, backfill[stop - 1]))
+    for r in broken.itertuples(index=False):
+        out.append(row("error", [-1, r.source_name, int(r.source_ord), None, None, None, r.error, None], bool(r.is_backfill)))
     if len(good):
-        state.update((generation, next_line, int(good["offset"].iloc[-1]), good["head"].iloc[-1], has_event, *event))
+        state.update((generation, next_line + len(good), int(good["offset"].iloc[-1]), good["head"].iloc[-1], has_event, n_more, *event))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in STITCHED.split(", ")]).astype({"event_ts": "datetime64[us]"})
 
 
-def live_events(lines: DataFrame, *configs: ParserConfig) -> DataFrame:
-    """Events as they begin or grow, with ``kind``: event, reject (a continuation before any event) or error (a file that couldn't be read)."""
+def live_events(lines: DataFrame, *configs: ParserConfig, max_continuation_lines: int | None = None) -> DataFrame:
+    """Events as they begin or grow, with ``kind``: event, reject (a continuation before any event) or error (a file that couldn't be read).
+
+    ``max_continuation_lines`` cuts what is appended to one event, as in batch, and so bounds what is kept of it.
+    """
     parsed = parse_lines(lines, *configs).withColumn("fields", F.to_json("fields")).withColumn("event_ts", F.col("event_ts").cast("string"))
-    stitched = parsed.groupBy("source_id", "file_path").applyInPandasWithState(_stitch_file, STITCHED, STATE, "update", GroupStateTimeout.NoTimeout)
+    whole = lambda key, parts, state: _stitch_file(key, parts, state, max_continuation_lines)
+    stitched = parsed.groupBy("source_id", "file_path").applyInPandasWithState(whole, STITCHED, STATE, "update", GroupStateTimeout.NoTimeout)
     return stitched.select(
         "kind",
         event_id(F.col("source_id"), F.col("file_path"), F.col("generation"), F.col("line_no")).alias("event_id"),
@@ -106,11 +116,68 @@ def store(live: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQu
     return live.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
-def deliver(live: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, wanted: Column | None = None, **trigger) -> StreamingQuery:
-    """Give each batch's live events that pass the filter as JSON messages to ``send``; the filter sees events as grown, the backlog stays silent."""
+def deliver(live: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, wanted: Column | Callable[[], Column | None] | None = None, **trigger) -> StreamingQuery:
+    """Give each batch's live events that pass the filter as JSON messages to ``send``; the filter sees events as grown, the backlog stays silent.
+
+    ``wanted`` may be a function, which is asked anew for each batch.
+    """
 
     def batch(rows: DataFrame, n: int) -> None:
         rows = rows.where("kind = 'event' and not is_backfill")
-        send((rows if wanted is None else rows.where(wanted)).select(event_json().alias("value")), n)
+        test = wanted() if callable(wanted) and not isinstance(wanted, Column) else wanted
+        send((rows if test is None else rows.where(test)).select(event_json().alias("value")), n)
 
     return live.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+class Feed:
+    """A selection that is followed: its events are stored, and live ones that pass the filter are sent on.
+
+    Everything is under ``folder``: the stored timeline and the checkpoints of the two queries, by selection, so that a
+    selection which is followed again goes on where it stood.
+    """
+
+    def __init__(self, spark: SparkSession, matrix: DataFrame, folder: str, send: Callable[[DataFrame, int], None], *configs: ParserConfig, base_dir: str | None = None, max_continuation_lines: int | None = 10_000, **trigger):
+        self.spark, self.matrix, self.folder, self.send, self.configs = spark, matrix, folder.rstrip("/"), send, configs
+        self.base_dir, self.most, self.trigger = base_dir, max_continuation_lines, trigger or {"processingTime": "1 second"}
+        self.filter, self.selection, self.sources, self.queries = LogFilter(), None, None, []
+
+    def _path(self, name: str) -> str:
+        s = self.selection
+        mark = hashlib.sha256("|".join((s.environment, s.country, s.tier, s.name, s.date)).encode()).hexdigest()[:16]
+        return f"{self.folder}/{mark}/{name}"
+
+    def subscribe(self, selection: Selection, wanted: LogFilter | None = None) -> DataFrame:
+        """Follow a selection in place of the one before; its sources. A selection that isn't valid has none, and nothing is followed."""
+        self.unsubscribe()
+        self.selection, self.filter = selection, wanted or LogFilter()
+        self.sources = resolve_sources(self.matrix, selection, self.base_dir)
+        if selection.valid:
+            for name, start in (("stored", lambda live, at: store(live, self._path("timeline"), at, **self.trigger)), ("sent", lambda live, at: deliver(live, self.send, at, self._wanted, **self.trigger))):
+                at = self._path(name)
+                lines = tail_lines(self.spark, self.sources, selection, checkpoint=at)
+                self.queries.append(start(live_events(lines, *self.configs, max_continuation_lines=self.most), at))
+        return self.sources
+
+    def _wanted(self) -> Column:
+        return predicate(self.spark, self.filter)
+
+    def set_filter(self, **changes) -> LogFilter:
+        """Change the filter (see `LogFilter.merged`): it holds from the next batch on, and for snapshots."""
+        self.filter = self.filter.merged(**changes)
+        return self.filter
+
+    def unsubscribe(self) -> None:
+        for query in self.queries:
+            query.stop()
+        self.queries, self.selection, self.sources = [], None, None
+
+    def snapshot(self) -> str:
+        """The newest stored page that passes the filter, with sources and columns, as one message."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("timeline"))
+        if path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            events = stored_timeline(self.spark, self._path("timeline"))
+        else:
+            events = self.spark.createDataFrame([], EVENT)
+        page = newest(events, self.filter)
+        return snapshot_json(page.rows, page.has_more(), self.sources, column_schema(self.spark, *self.configs[:1])).first()[0]

@@ -1,9 +1,17 @@
 """A streaming source that tails growing files by byte position.
 
-Offsets are {file: position after the last whole line}, kept in the query's checkpoint. A file that is shorter than
-its position, or begins with other bytes, is read anew; the stateful operator sees that and counts a new generation.
-A half-written last line waits for its line feed. New files are found at each trigger, and a file that can't be read
-gives an error row while the others go on.
+Offsets are {file: [position after the last whole line, mark of its begin, end of its backlog]}, kept in the query's
+checkpoint. A file that is shorter than its position, or begins with other bytes, is read anew; the stateful operator
+sees that and counts a new generation. A half-written last line waits for its line feed. New files are found at each
+trigger, and a file that can't be read gives an error row while the others go on.
+
+A batch takes `maxBytesPerFile` of a file at most (a longer line whole), so a backlog of any size comes in bounded
+steps. Spark doesn't tell a reader where a restarted query stands, so with the option `checkpoint` the position is
+taken from there; without it, the bound holds for files that this reader has seen. What a file held when the first
+batch of a new query was planned is its backlog.
+
+Files are opened by their path on the driver and in the tasks: the folders are mounted on all of them, as log shares
+are. Paths of other stores are refused.
 """
 
 from __future__ import annotations
@@ -12,6 +20,7 @@ import glob
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 SCHEMA = "value string, file_path string, file_name string, offset bigint, head string, is_backfill boolean, error string"
 HEAD = 64
 BLOCK = 1 << 20
+MOST_BYTES = 64 << 20
 
 
 @dataclass
@@ -49,6 +59,39 @@ def last_line_end(path: str, size: int, floor: int = 0) -> int:
     return floor
 
 
+def line_end_after(path: str, at: int, size: int) -> int:
+    """The position after the first line feed from ``at`` on, or ``size``."""
+    with open(path, "rb") as f:
+        f.seek(at)
+        while at < size:
+            block = f.read(min(BLOCK, size - at))
+            if not block:
+                break
+            found = block.find(b"\n")
+            if found >= 0:
+                return at + found + 1
+            at += len(block)
+    return size
+
+
+def local_path(uri: str) -> str:
+    path = re.sub("^file:/+", "/", uri)
+    if "://" in path:
+        raise ValueError(f"{uri}: only mounted folders can be tailed")
+    return path
+
+
+def positions(checkpoint: str | None) -> dict[str, list]:
+    """The offsets that a query with this checkpoint goes on from: its last planned batch's."""
+    folder = os.path.join(local_path(checkpoint), "offsets") if checkpoint else ""
+    planned = [int(n) for n in os.listdir(folder) if n.isdigit()] if os.path.isdir(folder) else []
+    if not planned:
+        return {}
+    with open(os.path.join(folder, str(max(planned))), encoding="utf-8") as f:
+        last = f.read().rstrip("\n").split("\n")[-1]
+    return json.loads(last) if last.startswith("{") else {}
+
+
 def head_of(path: str) -> str:
     """A mark of the file's first line's first bytes: files are told apart by it once they have whole lines."""
     with open(path, "rb") as f:
@@ -58,27 +101,40 @@ def head_of(path: str) -> str:
 
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.directories = json.loads(options["directories"])
+        options = {k.lower(): v for k, v in options.items()}  # Spark hands them on in lower case
+        self.directories = [local_path(d) for d in json.loads(options["directories"])]
         self.pattern = options.get("pattern", "*.log")
-        self.flush = options.get("flushPartial", "false").lower() == "true"
-        self.most = int(options.get("maxBytesPerFile", "0"))
-        self.seen: dict[str, list] = {}
+        self.flush = options.get("flushpartial", "false").lower() == "true"
+        self.seen = positions(options.get("checkpoint"))
+        known = options.get("checkpoint") is not None
+        self.most = int(options.get("maxbytesperfile", MOST_BYTES if known else 0))
+        self.from_start = known  # whether a file that isn't in ``seen`` is surely read from its begin
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        out = {}
+        out, first = {}, not self.seen
         for directory in self.directories:
             for path in sorted(glob.glob(os.path.join(glob.escape(directory), self.pattern))):
                 try:
                     size = os.stat(path).st_size
-                    end = size if self.flush else last_line_end(path, size)
-                    if end:
-                        head, (old, old_head) = head_of(path), self.seen.get(path, (0, ""))
-                        if self.most and old_head == head and end - old > self.most:
-                            end = max(last_line_end(path, old + self.most, old), old) or end
-                        out[path] = [end, head]
+                    old, old_head, backlog = [*self.seen.get(path, (0, "", 0)), 0][:3]
+                    head = head_of(path)
+                    if old_head != head or size < old:
+                        old, backlog = 0, 0
+                    end = size if self.flush else last_line_end(path, size, old)
+                    if not end:
+                        continue
+                    if first:
+                        backlog = end
+                    bounded = self.most and (self.from_start or old_head == head)
+                    if bounded and end - old > self.most:
+                        cut = last_line_end(path, old + self.most, old)
+                        end = cut if cut > old else min(end, line_end_after(path, old + self.most, size))
+                    if old < backlog < end:
+                        end = backlog
+                    out[path] = [end, head, backlog]
                 except OSError:
                     if path in self.seen:
                         out[path] = self.seen[path]
@@ -87,12 +143,14 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         spans = []
-        for path, (stop, head) in end.items():
-            begin, old_head = start.get(path, (0, head))
+        for path, (stop, head, *more) in end.items():
+            begin, old_head, *rest = start.get(path, (0, head))
+            backlog = (rest or [0])[0] if start else (more or [stop])[0]
             if stop < begin or head != old_head:
-                begin = 0
+                begin, backlog = 0, 0
             if stop > begin:
-                spans.append(Span(path, begin, stop, head, not start))
+                spans.append(Span(path, begin, stop, head, begin < backlog))
+        self.seen = self.seen or end  # a batch planned before a restart is run again
         return spans
 
     def read(self, span: Span) -> Iterator[tuple]:
@@ -119,7 +177,7 @@ class TailReader(DataSourceStreamReader):
 
 
 class TailSource(DataSource):
-    """Options: directories (JSON list), pattern (glob on base names), flushPartial, maxBytesPerFile."""
+    """Options: directories (JSON list), pattern (glob on base names), flushPartial, maxBytesPerFile, checkpoint."""
 
     @classmethod
     def name(cls) -> str:

@@ -246,6 +246,68 @@ def test_views_and_exports(spark, loaded, tmp_path):
     assert message["hasMore"] is True and len(message["events"]) == 2
 
 
+def test_messages_hold_objects_in_order(spark, loaded):
+    sources, events, *_ = loaded
+    page = paging.first_rows(events, 4)
+    message = json.loads(view.page_json(page.rows.repartition(3), False, "top").first()[0])
+    assert [e["id"] for e in message["events"]] == [r["event_id"] for r in page.rows.collect()] and message["append"] == "top"
+    assert message["events"][0]["fields"] == {"thread": "w-3", "logger": "shop.dz.Demo"} and message["events"][0]["level"] == "INFO"
+    seen = paging.snapshot(events, LogFilter(levels=("WARN",)), sources, view.column_schema(spark, ParserConfig()))
+    whole = json.loads(view.snapshot_json(seen.page.rows, seen.page.has_more(), seen.sources, seen.columns).first()[0])
+    assert [e["level"] for e in whole["events"]] == ["WARN", "WARN"] and whole["hasMore"] is False
+    assert [x["id"][-6:] for x in whole["sources"]] == ["0-back", "1-back", "2-back"]
+    assert [c["id"] for c in whole["schema"]["columns"]] == ["timestamp", "sourceName", "level", "thread", "logger", "message"]
+    assert json.loads(view.page_json(events.limit(0), False).first()[0])["events"] == []
+
+
+def test_files_that_cannot_be_read_are_named(spark, shares):
+    folder = shares / "b/Java/apache-tomcat-back/logs"
+    bad, gone, short = (folder / f"SHOP-API-ui.2026-07-29-{n}.log" for n in (20, 21, 22))
+    for path in (bad, gone, short):
+        write(path, BACK)
+    (folder / f".{bad.name}.crc").write_bytes(b"crc\x00\x00\x00\x02\x00wrong")  # the store's own checksum doesn't fit
+    directories = [str(folder)]
+    listed, lines = files.list_files(spark, directories, SELECTION), files.read_lines(spark, directories, SELECTION)
+    gone.unlink()
+    write(short, BACK[:100])
+    status = {r["file_path"].rsplit("/", 1)[1]: r for r in files.file_status(listed, lines).collect()}
+    assert {n for n, r in status.items() if not r["readable"]} == {bad.name, gone.name, short.name}
+    assert status[gone.name]["message"] == "Failed to read file" and f"of {len(BACK)} bytes" in status[short.name]["details"]
+    fine = {n: r for n, r in status.items() if r["readable"]}
+    assert set(fine) == {"shop-api-ui.2026-07-29-12.log", "SHOP-API-fwk.2026-07-29-1.log", "SHOP-API-ui.2026-07-29-9.log"} and all(r["message"] is None for r in fine.values())
+    assert lines.count() == 6 + 1 + 2  # the others' lines came all the same
+    m = matrix.read_json(spark, str(shares / "matrix.json"))
+    report = files.file_report(spark, matrix.resolve_sources(m, SELECTION, str(shares)), SELECTION).collect()
+    assert [(r["source_ord"], r["file_path"].rsplit("/", 1)[1]) for r in report if not r["readable"]] == [(1, bad.name)]
+
+
+@pytest.mark.parametrize("number", [stitch.number_by_window, stitch.number_by_chunk])
+def test_headers_decide_before_lines_are_gathered(spark, number):
+    draw = random.Random(4)
+    rows = [(f, c, p, draw.random() < 0.15, f"line {c}.{p}", draw.choice(["INFO", "WARN"])) for f in "ab" for c in (0, 7, 9, 30, 31) for p in range(c % 5 * 4)]
+    lines = spark.createDataFrame(rows, "source_id string, chunk bigint, pos bigint, is_header boolean, value string, level string").withColumn("message", F.col("value"))
+    numbered = number(lines, ("source_id",), wanted=F.col("level") == "WARN", distance=True)
+    have = {tuple(r) for r in stitch.stitch(numbered, ("source_id",), max_continuation_lines=3).select("source_id", "event_seq", "n_lines", "message").collect()}
+    want, event = {}, None
+    for f, c, p, is_header, value, level in rows:
+        if (c, p) == min((x, y) for g, x, y, *_ in rows if g == f):
+            event = None
+        if is_header:
+            event = [f, level, [value]]
+            want[f, len([k for k in want if k[0] == f]) + 1] = event
+        elif event:
+            event[2].append(value)
+    assert have == {(*k, len(v), "\n".join(v[:4])) for k, (_, level, v) in want.items() if level == "WARN"}
+    assert any(len(v) > 8 for *_, v in want.values())
+
+
+def test_parsers_of_their_own_by_source(spark):
+    lines = spark.createDataFrame([("a", "1|one"), ("b", "1|one"), ("b", "2026-07-29 10:00:00 INFO two")], "source_id string, value string")
+    own = ParserConfig.from_json({"linePattern": r"^(?<n>\d)\|(?<m>.*)$", "groups": {"timestamp": "n", "message": "m"}, "sources": ["a"]})
+    got = parse_lines(lines, own, ParserConfig(sources=("b",))).collect()
+    assert [(r["is_header"], r["message"]) for r in got] == [(True, "one"), (False, None), (True, "two")]
+
+
 def test_statistics(spark, loaded, shares):
     sources, events, rejected, _ = loaded
     lines = parse_lines(files.load_lines(spark, sources, SELECTION)[0])

@@ -1,3 +1,4 @@
+import ast
 import json
 import os
 import random
@@ -154,3 +155,93 @@ def test_live_messages_leave_out_the_backlog(spark, share):
     query.stop()
     assert sent == ["event 3\n  more at last"]
     assert time.time() > 0
+
+
+def test_the_backlog_comes_in_bounded_steps(spark, share):
+    """Under the bound, over a restart, and the lines are the batch's; what was there at first is no live message."""
+    logs, sources, tmp = share
+    store, checkpoint = str(tmp / "store"), str(tmp / "cp")
+    append(logs / NAME, "".join(event(i, i % 3) for i in range(60)) + "long " + "x" * 900 + "\n")
+    sizes = []
+
+    def follow_bounded():
+        lines = live.tail_lines(spark, sources, SELECTION, checkpoint=checkpoint, maxBytesPerFile="400")
+        return live.store(live.live_events(lines), store, checkpoint, processingTime="0 seconds")
+
+    query = follow_bounded()
+    while len(query.recentProgress) < 3:
+        time.sleep(0.2)
+    query.stop()
+    sizes += [p["sources"][0]["endOffset"] for p in query.recentProgress]
+    query = follow_bounded()
+    drain(query)
+    append(logs / NAME, event(61, 2))
+    drain(query)
+    query.stop()
+    assert stored(spark, store) == batch(spark, sources)
+    ends = [ast.literal_eval(str(e))[str(logs / NAME)] for e in sizes + [p["sources"][0]["endOffset"] for p in query.recentProgress] if e]
+    steps = [b[0] - a[0] for a, b in zip(ends, ends[1:])]
+    assert ends[0][0] <= 400 and max(s for s in steps if s < 900) <= 400 and len([s for s in steps if s > 400]) <= 1
+
+
+def test_reader_bounds_the_backlog_and_marks_it(share):
+    logs, *_ = share
+    append(logs / NAME, "".join(f"line {i}\n" for i in range(100)))
+    size = os.path.getsize(logs / NAME)
+    r, at, seen = reader(logs, maxBytesPerFile="50", checkpoint=str(logs / "none")), {}, []
+    while (now := r.latestOffset()) != at:
+        spans = r.partitions(at, now)
+        assert all(s.is_backfill and s.end - s.begin <= 50 for s in spans)
+        seen += lines(r, at, now)
+        at = now
+    assert [v for v, _ in seen] == [f"line {i}" for i in range(100)] and at[str(logs / NAME)][0] == size
+    append(logs / NAME, "live\n")
+    assert [s.is_backfill for s in r.partitions(at, r.latestOffset())] == [False]
+    append(logs / NAME, "y" * 300 + "\nafter\n")  # a line over the bound comes whole
+    at, now = r.seen, r.latestOffset()
+    assert [v for v, _ in lines(r, at, now)] == ["y" * 300]
+    with pytest.raises(ValueError, match="mounted"):
+        TailReader({"directories": json.dumps(["hdfs://x/y"])})
+
+
+def test_continuations_are_bounded_over_batches(spark, share):
+    logs, sources, tmp = share
+    append(logs / NAME, event(1, 2))
+    live_rows = live.live_events(live.tail_lines(spark, sources, SELECTION), max_continuation_lines=3)
+    query = live.store(live_rows, str(tmp / "store"), str(tmp / "cp"), processingTime="0 seconds")
+    drain(query)
+    append(logs / NAME, "".join(f"late {k}\n" for k in range(5)))
+    drain(query)
+    append(logs / NAME, "later\n" + event(2))
+    drain(query)
+    query.stop()
+    assert [r[3] for r in sorted(stored(spark, str(tmp / "store")), key=lambda r: r[4])] == ["event 1\n  more 1.0\n  more 1.1\nlate 0", "event 2"]
+
+
+def test_feed_follows_filters_and_lets_go(spark, share):
+    logs, _, tmp = share
+    m = spark.createDataFrame([("E", "C", "c", "h", [str(tmp / "s")])], matrix.SCHEMA)
+    sent = []
+    feed = live.Feed(spark, m, str(tmp / "feed"), lambda rows, n: sent.extend(json.loads(r["value"])["message"] for r in rows.collect()), processingTime="0 seconds")
+    append(logs / NAME, event(1) + event(2))
+    assert feed.subscribe(SELECTION).count() == 1
+    assert json.loads(feed.snapshot())["schema"]["columns"]
+    for q in feed.queries:
+        drain(q)
+    assert sent == [] and [e["message"] for e in json.loads(feed.snapshot())["events"]] == ["event 2", "event 1"]
+    append(logs / NAME, event(3))
+    for q in feed.queries:
+        drain(q)
+    feed.set_filter(text="event 5")
+    append(logs / NAME, event(4) + event(5))
+    for q in feed.queries:
+        drain(q)
+    assert sent == ["event 3", "event 5"] and [e["message"] for e in json.loads(feed.snapshot())["events"]] == ["event 5"]
+    feed.unsubscribe()
+    assert feed.queries == [] and feed.sources is None
+    append(logs / NAME, event(6))
+    feed.subscribe(SELECTION)  # goes on where it stood
+    for q in feed.queries:
+        drain(q)
+    assert sent == ["event 3", "event 5", "event 6"] and len(json.loads(feed.snapshot())["events"]) == 6
+    assert feed.subscribe(Selection("E", "C", "back", " ", "x")).count() == 0 and feed.queries == []
