@@ -10,7 +10,7 @@ are a single part. Speakers are reduced to one row for each conversation and spe
 
 Defined cases: a null text is an empty content; a null speaker is ``anonymous``; null turns come first, in part 0;
 rows with the same turn are ordered by speaker and text, and repeated rows are rendered as often as they come; a
-null conv_id is a conversation of its own; a conversation of ``system`` alone has no view; an empty table gives no
+null conv_id is a conversation of its own; a line feed in a speaker's name is shown as ``\\n``; a conversation of ``system`` alone has no view; an empty table gives no
 rows. Marks in a text are broken with a backslash, so no text can end its turn. Only the four columns are read, so
 others can't clash.
 """
@@ -52,7 +52,7 @@ def chat_views(turns: DataFrame, part_turns: int = PART_TURNS, conv_id: str = "c
     both = both.select("conv_id", "part", "turns", F.explode("speakers").alias("assistant"))
 
     def head(t: Column) -> Column:
-        other = F.when(t["speaker"] == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), _escaped(t["speaker"])))
+        other = F.when(t["speaker"] == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), F.replace(_escaped(t["speaker"]), F.lit("\n"), F.lit("\\n"))))
         return F.concat(F.lit(BEGIN), F.when(t["speaker"] == F.col("assistant"), F.lit("assistant")).otherwise(other), F.lit("\n"))
 
     said = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(_escaped(t["text"]), F.lit(END + "\n")).alias("body"), (t["speaker"] == F.col("assistant")).alias("own")))
@@ -74,7 +74,7 @@ WITH r AS (SELECT conv_id, coalesce(turn, 0) // 4096 AS part, turn, coalesce(rol
   replace(replace(coalesce(text, ''), '<|turn|>', '<\|turn|>'), '<|end|>', '<\|end|>') || '<|end|>' || chr(10) AS body, text FROM conversations),
 v AS (SELECT DISTINCT conv_id AS c, speaker AS assistant FROM r WHERE speaker <> 'system'),
 x AS (SELECT conv_id, assistant, part, turn, speaker, text, body, speaker = assistant AS own,
-  '<|turn|>' || CASE WHEN speaker = assistant THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS head
+  '<|turn|>' || CASE WHEN speaker = assistant THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || replace(replace(replace(speaker, '<|turn|>', '<\|turn|>'), '<|end|>', '<\|end|>'), chr(10), '\n') END || chr(10) AS head
   FROM r JOIN v ON r.conv_id IS NOT DISTINCT FROM v.c)
 SELECT conv_id, assistant, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn NULLS FIRST, speaker, text) AS rendered,
   string_agg((length(head) + CASE WHEN own THEN 0 ELSE length(body) END) || ',' || CASE WHEN own THEN length(body) ELSE 0 END, ',' ORDER BY turn NULLS FIRST, speaker, text) AS mask_runs

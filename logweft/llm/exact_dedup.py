@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweft.llm.store import broadcast_if_small, field_type, materialize
+from logweft.llm.store import broadcast_if_small, field_type, free_name, materialize
 from logweft.llm.text import code_points, flat, mix64, per_text, slices, SPACE
 
 SHARD_DIGESTS = 50_000
@@ -196,6 +196,7 @@ def keep_first(docs: DataFrame, groups: DataFrame, text: str = "text", doc_id: s
     on = lambda right: docs[doc_id] == right["doc_id"]
     nameless = kept.where("doc_id is null").select("text_sha256").distinct()
     own = F.sha2(F.regexp_replace(F.coalesce(docs[text], F.lit("")), "[\\x20\\x09-\\x0D]", ""), 256)
-    rest = docs.where(docs[doc_id].isNull()).withColumn("_sha", own)
-    rest = rest.join(nameless, rest["_sha"] == nameless["text_sha256"], "left_semi").dropDuplicates(["_sha"]).drop("_sha")
+    sha = free_name(docs.columns, "_sha")
+    rest = docs.where(docs[doc_id].isNull()).withColumn(sha, own)
+    rest = rest.join(nameless, rest[sha] == nameless["text_sha256"], "left_semi").dropDuplicates([sha]).drop(sha)
     return docs.join(single, on(single), "left_semi").unionByName(docs.join(several, on(several), "left_semi").dropDuplicates([doc_id])).unionByName(rest)

@@ -8,7 +8,7 @@ h hits of n n-grams are corrected to (h - n f) / (1 - f), and the largest wins.
 N-grams are 3 and 5 bytes of the lower-cased text with every other character than a letter as one space; letters
 may stand at the ends as spaces do. A language's filter holds the n-grams that make up at least `RATE` of its
 sample, so there are at most 1 / RATE of each length. The sample is bounded: about `FIT_DOCS` labelled documents
-of a language, picked by a hash of doc_id, read whole. All documents are scored.
+of a language, picked by a hash of doc_id (of the text where that is null), read whole. All documents are scored.
 
 Defined cases: a null text or one without a letter is `und` with score 0; ties, and texts too short for an
 n-gram, go to the language with more labelled documents, then the first by code point; rows with a null label
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweft.llm.store import field_type
+from logweft.llm.store import field_type, free_name
 from logweft.llm.text import flat, mix64, per_text, slices
 
 LENGTHS = (3, 5)
@@ -140,7 +140,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, rate: float = RATE, text:
     order = sorted(counts, key=lambda x: (-counts[x], x))
     if not order:
         return LanguageFilter.build({}, [])
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    pick = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(1 << 20))
     share = F.element_at(F.create_map(*(F.lit(v) for x in order for v in (x, int(min(1.0, fit_docs / counts[x]) * (1 << 20))))), F.col("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,17 +167,17 @@ def training_mark(doc_id: str = "doc_id", parts: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % parts != 0
 
 
-def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, with lang_pred and score in a struct column ``predicted``."""
+def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", out: str = "predicted") -> DataFrame:
+    """All columns of ``docs``, with lang_pred and score in a struct column ``out``, a name that they don't have."""
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             names, score = model.predict(b.column(text))
             made = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], ["lang_pred", "score"])
-            yield pa.RecordBatch.from_arrays([*b.columns, made], [*columns, "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, made], [*columns, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", predicted struct<lang_pred: string, score: double>"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out}` struct<lang_pred: string, score: double>"
     return docs.mapInArrow(run, fields)
 
 
@@ -190,8 +190,6 @@ def identify(docs: DataFrame, fit_docs: int = FIT_DOCS, text: str = "text", lang
 
 def keep_known(docs: DataFrame, least_score: float = 0.3, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """The documents in a language that was learned: those that are `und` or score under ``least_score`` go. Columns as given."""
-    columns = docs.columns
+    out = free_name(docs.columns, "predicted")
     model = fit(docs.where(training_mark(doc_id)), text=text, lang=lang, doc_id=doc_id)
-    named = docs.withColumnRenamed("predicted", "_predicted") if "predicted" in columns else docs
-    rows = predict(named, model, text).where((F.col("predicted.lang_pred") != UNKNOWN) & (F.col("predicted.score") >= least_score)).drop("predicted")
-    return rows.withColumnRenamed("_predicted", "predicted") if "predicted" in columns else rows
+    return predict(docs, model, text, out).where((F.col(f"{out}.lang_pred") != UNKNOWN) & (F.col(f"{out}.score") >= least_score)).drop(out)

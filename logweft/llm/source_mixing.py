@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logweft.llm.store import broadcast_if_small, field_type, materialize
+from logweft.llm.store import broadcast_if_small, field_type, free_name, materialize
 from logweft.llm.text import slices, words_of
 
 WEIGHTS = (5, 2, 1)
@@ -113,16 +113,28 @@ def first_words(text: str, n: int) -> str:
     return text[: last.end()] if last else text
 
 
-def draw(docs: DataFrame, mixed: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _paired(rows: DataFrame, shares: DataFrame, keys: list[str], own: list[str]) -> DataFrame:
+    """Rows, in a struct ``row``, with the struct ``share`` of one of their shares: the n-th of those with the same keys gets the n-th."""
+    nth = lambda of, by: of.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0))))
+    left, right = nth(rows, own).alias("l"), nth(shares, keys).where("share.taken > 0").alias("r")
+    same = [F.col(f"l.{a}").eqNullSafe(F.col(f"r.{b}")) for a, b in zip([*own, "nth"], [*keys, "nth"])]
+    return left.join(right, same).select("l.row", "r.share")
+
+
+def draw(docs: DataFrame, mixed: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """The mix as documents, with the columns of ``docs``: each as often as `mix` takes it, and the one at a cut also up to its last word taken.
 
-    Rows that share a doc_id are taken for copies of one text, and each gets one of their shares.
+    Rows that share a doc_id are taken for copies of one text, and each gets one of their shares. Rows without a
+    doc_id are known by their source and number of words: each gets a share of that source and size.
     """
     columns = docs.columns
-    nth = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.lit(0)))
-    shares = mixed.select(F.struct(F.col("doc_id").alias("id"), "size", "taken").alias("_share"), nth("doc_id").alias("_nth")).where("_share.taken > 0")
-    rows = docs.withColumn("_nth_row", nth(doc_id))
-    rows = rows.join(shares, rows[doc_id].eqNullSafe(shares["_share.id"]) & (rows["_nth_row"] == shares["_nth"])).select(*(rows[c] for c in columns), shares["_share.size"].alias("_size"), shares["_share.taken"].alias("_taken"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("from"), F.col(text).alias("words"))
+    shares = mixed.select(F.struct("size", "taken").alias("share"), F.col("doc_id").alias("id"), F.col("source").alias("from"), "size")
+    named = _paired(rows.where("id is not null").select("row", "id"), shares.where("id is not null"), ["id"], ["id"])
+    sized = rows.where("id is null").select("row", "from", F.size(F.regexp_extract_all(F.coalesce("words", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))).cast("long").alias("size"))
+    nameless = _paired(sized, shares.where("id is null"), ["from", "size"], ["from", "size"])
+    rows = named.unionByName(nameless).select(*(F.col("row")[c] for c in columns), F.col("share")["size"], F.col("share")["taken"])
+    rows = rows.toDF(*columns, *(free_name(columns, x) for x in ("_size", "_taken")))
     place = columns.index(text)
 
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

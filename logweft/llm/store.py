@@ -53,5 +53,13 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFr
     return F.broadcast(df) if rows <= limit else df
 
 
+def free_name(columns: list[str], wish: str) -> str:
+    """``wish``, with underscores before it until no column has that name (Spark doesn't tell names apart by case)."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
 def field_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()

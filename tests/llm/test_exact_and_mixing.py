@@ -101,6 +101,27 @@ def test_drawn_documents_have_the_words_taken(spark):
     assert count(words, "n") == {s: n for s, n in count(mixed, "taken").items() if n}
 
 
+def test_names_that_clash(spark):
+    docs = edge_docs(spark).selectExpr("doc_id", "text", "lang", "source", "1 as _SHA", "2 as _nth_row", "3 as _size", "4 as _taken", "5 as row", "6 as share", "7 as nth", "8 as id", "'f' as `from`", "9 as words")
+    kept = ed.keep_first(docs, ed.exact_dedup(docs))
+    assert kept.columns == docs.columns and kept.count() == ed.keep_first(edge_docs(spark), ed.exact_dedup(edge_docs(spark))).count() > 0
+    drawn = sm.draw(docs, sm.mix(docs))
+    assert drawn.columns == docs.columns
+    mine = [r[:14] for r in (tuple(r) for r in drawn.collect())]
+    assert mine and {r[4:] for r in mine} == {(1, 2, 3, 4, 5, 6, 7, 8, "f", 9)}
+
+
+def test_rows_without_an_id_are_drawn_by_source_and_size(spark):
+    """A third of the rows and more have no doc_id: every source still gets its words, and no text takes another's share."""
+    rows = [(None, " ".join(f"n{i}x{k}" for k in range(i % 7 + 1)), "ab"[i % 2]) for i in range(60)] + [(i, "one two three", "a") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    mixed = sm.mix(docs)
+    want = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = sm.draw(docs, mixed).collect()
+    for s, n in want.items():
+        assert sum(len(r["text"].split()) for r in got if r["source"] == s) == n
+
+
 def test_mixing_of_nothing(spark):
     assert sm.mix(nothing(spark)).count() == 0
     assert zlib.crc32(b"") == 0
