@@ -532,9 +532,11 @@ def _meet(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], repeated: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Counts by batch of the shingles that more than one set may have."""
     for b in batches:
-        shingle, n = np.unique(b.column("shingles").flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        flat = b.column("shingles").flatten().to_numpy(zero_copy_only=False)
+        shingle, n = np.unique(flat[_may_repeat(flat, repeated)], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(n)], ["shingle", "n"])
 
 
@@ -543,10 +545,11 @@ def pairs_across(members: DataFrame, sets: DataFrame) -> DataFrame:
     kind = field_type(members, "node")
     own = materialize(members.join(sets.select(F.col("class_id").alias("node"), "n", "shingles"), "node"), "own")
     total = own.agg(F.sum("n")).first()[0] or 0
-    counts = own.select("shingles").mapInArrow(_counted, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, total // HOT_SHINGLES + 1)).toPandas()  # at most HOT_SHINGLES rows
+    repeated = repeated_shingles(own, total)
+    counts = own.select("shingles").mapInArrow(lambda batches: _counted(batches, repeated), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, total // HOT_SHINGLES + 1)).toPandas()  # at most HOT_SHINGLES rows
     counts = counts.sort_values("shingle")
     hot, hot_count = counts["shingle"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
-    repeated, looked_for = repeated_shingles(own, total), None
+    looked_for = None
     if (own.where("sought").agg(F.sum("n")).first()[0] or 0) <= SOUGHT:  # then the others' rows are only those that these can meet
         first = own.where("sought").select("node", "label", "shingles").mapInArrow(lambda batches: _prefixes(batches, hot, hot_count, repeated, None), f"shingle bigint, cell bigint, node {kind}, label {kind}, size bigint, left bigint")
         looked_for = np.sort(first.select("shingle").distinct().toPandas()["shingle"].to_numpy(np.int64))

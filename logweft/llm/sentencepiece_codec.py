@@ -30,7 +30,7 @@ from logweft.llm.store import field_type
 from logweft.llm.text import flat, slices
 
 #: The cache of words is dropped after a slice that leaves it with more than so many bytes, a word counted as its length and `WORD_COST`.
-CACHE_BYTES, WORD_COST = 64 << 20, 180
+CACHE_BYTES, WORD_COST = 40 << 20, 180
 OPEN_DEPTH = 256  # open nodes are kept for so many characters of a word; deeper ones are walked again where two words part
 CODE_SLICE = 2 << 20
 
