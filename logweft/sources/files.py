@@ -33,7 +33,7 @@ def source_status(spark: SparkSession, sources: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, directories: list[str], selection: Selection) -> DataFrame:
-    """file_path and file_size of the matching files, as they are now. Nothing is opened."""
+    """file_path and file_size of the matching files that have bytes, as they are now. Nothing is opened."""
     schema = "file_path string, file_size bigint"
     if not directories or not selection.valid:
         return spark.createDataFrame([], schema)
@@ -51,17 +51,11 @@ def file_status(listed: DataFrame, lines: DataFrame) -> DataFrame:
     """
     read = lines.groupBy("file_path").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("value")).alias("bytes"))
     n, bytes_read, size = F.coalesce("n_lines", F.lit(0)), F.coalesce("bytes", F.lit(0)), F.col("file_size")
-    whole = bytes_read + 2 * n + 3 >= size  # line ends, and a byte order mark
+    readable = (n > 0) & (bytes_read + 2 * n + 3 >= size)  # line ends, and a byte order mark
     details = F.when(n == 0, "vanished or can't be read").otherwise(F.format_string("about %d of %d bytes were read", bytes_read + n, size))
-    return listed.join(read, "file_path", "left").select(
-        "file_path",
-        "file_size",
-        n.alias("n_lines"),
-        bytes_read.alias("bytes_read"),
-        ((size == 0) | (n > 0) & whole).alias("readable"),
-        F.when((size == 0) | (n > 0) & whole, None).otherwise("Failed to read file").alias("message"),
-        F.when((size == 0) | (n > 0) & whole, None).otherwise(details).alias("details"),
-    )
+    found = listed.join(read, "file_path", "left").select("file_path", "file_size", n.alias("n_lines"), bytes_read.alias("bytes_read"), readable.alias("readable"), details.alias("details"))
+    broken = lambda c: F.when(~F.col("readable"), c)
+    return found.select("file_path", "file_size", "n_lines", "bytes_read", "readable", broken(F.lit("Failed to read file")).alias("message"), broken(F.col("details")).alias("details"))
 
 
 def read_lines(spark: SparkSession, directories: list[str], selection: Selection) -> DataFrame:
