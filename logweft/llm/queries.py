@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweft.llm import chat_views, exact_dedup, language_id, language_model, near_dedup, quality_rules, sentencepiece_codec, source_mixing, token_counts, token_files
+from logweft.llm import chat_views, exact_dedup, language_id, language_model, near_dedup, periodic_runs, quality_rules, sentencepiece_codec, source_mixing, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -57,6 +57,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(_table(spark, sf_dir), looped=periodic_runs.looped_tail)
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AS kept, text_sha256
@@ -65,7 +69,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece_codec, op3_language_id, op4_language_model, op5_near_dedup, op6_exact_dedup, op7_source_mixing, op8_token_files, op9_chat_views, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece_codec, op3_language_id, op4_language_model, op5_near_dedup, op6_exact_dedup, op7_source_mixing, op8_token_files, op9_chat_views, op10_token_counts, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
