@@ -69,9 +69,9 @@ class Words:
         return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
-def split_words(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None) -> Words:
-    """``cut`` marks bytes before which a word also ends."""
-    space = SPACE[data]
+def split_words(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None, white: np.ndarray = SPACE) -> Words:
+    """``cut`` marks bytes before which a word also ends; ``white`` tells the bytes between words."""
+    space = white[data]
     word = ~space
     edge = np.ones(len(data) + 1, bool)
     edge[1:] = space
