@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweft.llm import chat_views, collocations, exact_dedup, language_id, language_model, near_dedup, periodic_runs, quality_rules, sentencepiece_codec, source_mixing, token_counts, token_files
+from logweft.llm import chat_views, collocations, exact_dedup, language_id, language_model, near_dedup, periodic_runs, permutation_index, quality_rules, sentencepiece_codec, source_mixing, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -57,6 +57,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir))
 
@@ -73,7 +77,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece_codec, op3_language_id, op4_language_model, op5_near_dedup, op6_exact_dedup, op7_source_mixing, op8_token_files, op9_chat_views, op10_token_counts, op12_collocations, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece_codec, op3_language_id, op4_language_model, op5_near_dedup, op6_exact_dedup, op7_source_mixing, op8_token_files, op9_chat_views, op10_token_counts, op11_nearest_neighbours, op12_collocations, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
