@@ -1,9 +1,10 @@
 """Phrases whose words come together more often than by chance, mined with weighted acyclic automata.
 
-Counts of words come first, and with them a bit map of the words that are frequent enough for a phrase (`frequent_bits`;
-it may let others through, never one too few). Then, by slice of texts:
+Texts are split into pieces and words once and written as numbers (`code_texts`). Words are counted, then pairs of
+frequent words by hash, and bit maps of what is frequent enough for a phrase are made of both (`frequent_bits`; they may
+let others through, never one too few). Then, by slice of texts:
 
-1. *Shard transducers.* All word sequences of 1 to 5 frequent words within pieces are counted as paths from sorted
+1. *Shard transducers.* All word sequences of 1 to 5 words whose pairs are frequent are counted as paths from sorted
    keys, level by level, and each range of prefixes (by a hash of language and first two words, the first alone for
    single words) becomes an acyclic automaton of its own: equal continuations with equal weights are one state.
 2. *Union.* All automata of a range meet in one task. They are unfolded together from the top, weights of equal paths
@@ -60,12 +61,12 @@ def _lead(langs: np.ndarray, first: np.ndarray, second: np.ndarray | None = None
 
 @dataclass
 class Slice:
-    """The words of some texts by number; ``glued`` tells which words are followed by another in the same piece."""
+    """The words of some texts by number, a number for each word of a language; ``glued`` tells which are followed by another in the same piece."""
 
-    lang: np.ndarray
     langs: pa.Array
+    tongue: np.ndarray  # by number, the language
+    names: pa.Array  # by number, the word
     word: np.ndarray
-    words: pa.Array
     glued: np.ndarray
 
     @classmethod
@@ -80,24 +81,96 @@ class Slice:
         glued = np.zeros(len(word), bool)
         if len(word):
             glued[:-1] = (owner[1:] == owner[:-1]) & (ends[found.begin[1:]] == ends[found.begin[:-1]])
-        return cls(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner], langs.dictionary, word.astype(np.int64), words, glued)
+        key = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner] * max(1, len(words)) + word
+        spoken, number = np.unique(key, return_inverse=True)
+        tongue, name = np.divmod(spoken, max(1, len(words)))
+        return cls(langs.dictionary, tongue, words.cast(pa.string()).take(pa.array(name)), number, glued)
 
+    def row(self) -> dict:
+        return {"langs": self.langs.to_pylist(), "names": "\n".join(self.names.to_pylist()), "n_names": len(self.names), "n_words": len(self.word), "tongue": _packed(self.tongue), "word": _packed(self.word), "glued": np.packbits(self.glued).tobytes()}
+
+    @classmethod
+    def of(cls, row: dict) -> Slice:
+        names = pa.array(row["names"].split("\n") if row["n_names"] else [], pa.string())
+        glued = np.unpackbits(np.frombuffer(row["glued"], np.uint8), count=row["n_words"]).astype(bool)
+        return cls(pa.array(row["langs"], pa.string()), _unpacked(row["tongue"], row["n_names"]), names, _unpacked(row["word"], row["n_words"]), glued)
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """By number, hashes of the language and of the word."""
+        return _hashed(self.langs)[self.tongue], _hashed(self.names)
+
+    def pairs(self, at: np.ndarray, ranges: int) -> np.ndarray:
+        """A number for the pair of words at each place and the next: its range in the upper half, 32 bits of its hash in the lower."""
+        lang, word = self.hashes()
+        lead = _lead(lang, word)
+        pair = mix64(lead[self.word[at]] * np.uint64(31) + word[self.word[at + 1]], 2)
+        return (pair % np.uint64(ranges)) << np.uint64(32) | pair >> np.uint64(32)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return values.astype("<i4" if not len(values) or values.max() < 2**31 else "<i8").tobytes()
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, "<i4" if len(blob) == 4 * n else "<i8").astype(np.int64)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word, place (a hash) and n of every word; the row without a word has a language's total."""
+
+def code_texts(docs: DataFrame) -> DataFrame:
+    """A row for each slice of texts, so that they are split and numbered once."""
+    kinds = [("langs", pa.list_(pa.string())), ("names", pa.string()), ("n_names", pa.int32()), ("n_words", pa.int32()), *((x, pa.binary()) for x in ("tongue", "word", "glued"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=SLICE):
-            s = Slice.read(b)
-            key, n = np.unique(s.lang * max(1, len(s.words)) + s.word, return_counts=True)
-            lang, word = np.divmod(key, max(1, len(s.words)))
-            place = _lead(_hashed(s.langs)[lang], _hashed(s.words)[word]).view(np.int64)
-            total = np.bincount(s.lang, minlength=len(s.langs))
-            langs = pa.concat_arrays([s.langs.take(pa.array(lang)), s.langs])
-            words = pa.concat_arrays([s.words.cast(pa.string()).take(pa.array(word)), pa.nulls(len(s.langs), pa.string())])
+            yield pa.RecordBatch.from_pylist([Slice.read(b).row()], pa.schema(kinds))
+
+    return docs.mapInArrow(run, "langs array<string>, names string, n_names int, n_words int, tongue binary, word binary, glued binary")
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+    for b in batches:
+        for i in range(b.num_rows):  # a few rows of about `SLICE` bytes
+            yield Slice.of(b.slice(i, 1).to_pylist()[0])
+
+
+def word_counts(coded: DataFrame) -> DataFrame:
+    """lang, word, place (a hash) and n of every word; the row without a word has a language's total."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _coded(batches):
+            n = np.bincount(s.word, minlength=len(s.names))
+            place = _lead(*s.hashes()).view(np.int64)
+            total = np.zeros(len(s.langs), np.int64)
+            np.add.at(total, s.tongue, n)
+            langs = pa.concat_arrays([s.langs.take(pa.array(s.tongue)), s.langs])
+            words = pa.concat_arrays([s.names, pa.nulls(len(s.langs), pa.string())])
             yield pa.RecordBatch.from_arrays([langs, words, pa.array(np.r_[place, np.zeros(len(s.langs), np.int64)]), pa.array(np.r_[n, total])], ["lang", "word", "place", "n"])
 
-    return docs.mapInArrow(run, "lang string, word string, place bigint, n bigint").groupBy("lang", "word").agg(F.first("place").alias("place"), F.sum("n").alias("n"))
+    return coded.mapInArrow(run, "lang string, word string, place bigint, n bigint").groupBy("lang", "word").agg(F.first("place").alias("place"), F.sum("n").alias("n"))
+
+
+def frequent_pairs(coded: DataFrame, bits: np.ndarray, ranges: int, least: int) -> DataFrame:
+    """place: a hash of each pair of frequent words that comes ``least`` times (pairs that share one are counted as one, so none is missed)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _coded(batches):
+            frequent = _has_bit(bits, _lead(*s.hashes()))[s.word]
+            at = np.flatnonzero(s.glued[:-1] & frequent[:-1] & frequent[1:])
+            pair, n = np.unique(s.pairs(at, ranges), return_counts=True)
+            home = (pair >> np.uint64(32)).astype(np.int32)
+            begin = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.zeros(0, np.int64)
+            low, n = pair.astype(np.uint32), n.astype(np.uint8 if len(n) and n.max() < 256 else np.uint32)
+            spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(home)]))
+            yield pa.RecordBatch.from_arrays([pa.array(home[begin]), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (low, n))], ["rng", "pair", "n"])
+
+    def total(table: pa.Table) -> pa.Table:
+        pairs = [np.frombuffer(x, np.uint32) for x in table["pair"].to_pylist()]
+        counts = [np.frombuffer(x, np.uint8 if len(x) == len(p) else np.uint32) for p, x in zip(pairs, table["n"].to_pylist())]
+        pair, which = np.unique(np.concatenate(pairs), return_inverse=True)
+        often = pair[np.bincount(which, np.concatenate(counts).astype(np.float64)) >= least]  # sums below 2^53 are exact
+        place = mix64(np.uint64(table["rng"][0].as_py()) << np.uint64(32) | often.astype(np.uint64), 7)
+        return pa.table([pa.array(place.view(np.int64))], ["place"])
+
+    return coded.mapInArrow(count, "rng int, pair binary, n binary").groupBy("rng").applyInArrow(total, "place bigint")
 
 
 def frequent_bits(places: DataFrame, n: int) -> np.ndarray:
@@ -136,15 +209,17 @@ class Paths:
         self.weight.append(weight)
 
 
-def count_paths(s: Slice, frequent: np.ndarray) -> Paths:
-    """All sequences of up to `LONGEST` words within pieces whose words are all ``frequent`` (a test by occurrence), with their counts."""
-    base, out = max(1, len(s.words)), Paths()
-    at, before = np.flatnonzero(frequent), s.lang[frequent]
-    for k in range(LONGEST):
+def count_paths(s: Slice, frequent: np.ndarray, paired: np.ndarray) -> Paths:
+    """All sequences of up to `LONGEST` words with their counts, of words that are ``frequent`` and each but the last ``paired`` with the next (tests by place)."""
+    base, out = max(1, len(s.names)), Paths()
+    at = np.flatnonzero(frequent)
+    word, before, n = np.unique(s.word[at], return_inverse=True, return_counts=True)
+    out.add(s.tongue[word], word, n)
+    for k in range(1, LONGEST):
+        on = paired[at + k - 1]
+        at, before = at[on], before[on]
         key, before, n = np.unique(before * base + s.word[at + k], return_inverse=True, return_counts=True)
         out.add(key // base, key % base, n)
-        on = s.glued[at + k] & np.r_[frequent, np.zeros(1, bool)][at + k + 1]
-        at, before = at[on], before[on]
     return out
 
 
@@ -190,21 +265,12 @@ def _minimal(parent: list[np.ndarray], label: list[np.ndarray], weight: list[np.
 _INTS = ("lang", "first_word", "second_word", "weight", "state", "first", "label", "move_weight", "target")
 
 
-def _packed(values: np.ndarray) -> bytes:
-    return values.astype("<i4" if not len(values) or values.max() < 2**31 else "<i8").tobytes()
-
-
-def _unpacked(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, "<i4" if len(blob) == 4 * n else "<i8").astype(np.int64)
-
-
 def transducers(s: Slice, paths: Paths, ranges: int) -> Iterator[dict]:
     """By range of prefixes its automaton: heads (language, first word, second word or -1, weight, state) and states' moves, with the words it uses."""
-    lang_hash, word_hash = _hashed(s.langs), _hashed(s.words)
-    lang, first = paths.parent[0], paths.label[0]
-    lead = [_lead(lang_hash[lang], word_hash[first])]
-    second = paths.label[1]
-    lead.append(_lead(lang_hash[lang[paths.parent[1]]], word_hash[first[paths.parent[1]]], word_hash[second]))
+    lang_hash, word_hash = s.hashes()
+    lang, first, second = paths.parent[0], paths.label[0], paths.label[1]
+    lead = [_lead(lang_hash[first], word_hash[first])]
+    lead.append(_lead(lang_hash[second], word_hash[first[paths.parent[1]]], word_hash[second]))
     home = [(x % np.uint64(ranges)).astype(np.int64) for x in lead]
     heads = [(lang, first, np.full(len(first), -1), paths.weight[0]), (lang[paths.parent[1]], first[paths.parent[1]], second, paths.weight[1])]
     order = [np.argsort(h, kind="stable") for h in home]
@@ -225,7 +291,7 @@ def transducers(s: Slice, paths: Paths, ranges: int) -> Iterator[dict]:
         spans = [(cuts[k][r], cuts[k][r + 1]) for k in range(1, LONGEST)]
         parent, label, weight = ([level[i][a:b] - (spans[j][0] if i == 0 else 0) for j, (level, (a, b)) in enumerate(zip(levels, spans[1:]))] for i in range(3))
         state, *moves = _minimal(parent, label, weight, len(twos))
-        yield _blob(r, [np.concatenate([heads[0][i][ones], heads[1][i][twos]]) for i in range(4)], np.r_[np.zeros(len(ones), np.int64), state], moves, s.langs, s.words)
+        yield _blob(r, [np.concatenate([heads[0][i][ones], heads[1][i][twos]]) for i in range(4)], np.r_[np.zeros(len(ones), np.int64), state], moves, s.langs, s.names)
 
 
 def _blob(r: int, heads: list[np.ndarray], state: np.ndarray, moves: list[np.ndarray], langs: pa.Array, words: pa.Array) -> dict:
@@ -245,17 +311,17 @@ _FIELDS = [("rng", pa.int32()), ("langs", pa.list_(pa.string())), ("words", pa.s
 _KIND = "rng int, langs array<string>, words string, n_heads int, n_states int, n_moves int, " + ", ".join(f"{x} binary" for x in _INTS)
 
 
-def shard_transducers(docs: DataFrame, bits: np.ndarray, ranges: int) -> DataFrame:
+def shard_transducers(coded: DataFrame, bits: np.ndarray, pair_bits: np.ndarray, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=SLICE):
-            s = Slice.read(b)
-            base = max(1, len(s.words))
-            spoken, which = np.unique(s.lang * base + s.word, return_inverse=True)
-            frequent = _has_bit(bits, _lead(_hashed(s.langs)[spoken // base], _hashed(s.words)[spoken % base]))[which]
-            rows = list(transducers(s, count_paths(s, frequent), ranges))
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(_FIELDS))
+        for s in _coded(batches):
+            frequent = _has_bit(bits, _lead(*s.hashes()))[s.word]
+            paired = s.glued & frequent
+            at = np.flatnonzero(paired[:-1] & frequent[1:])
+            paired[:] = False
+            paired[at] = _has_bit(pair_bits, mix64(s.pairs(at, ranges), 7))
+            yield pa.RecordBatch.from_pylist(list(transducers(s, count_paths(s, frequent, paired), ranges)), pa.schema(_FIELDS))
 
-    return docs.mapInArrow(run, _KIND)
+    return coded.mapInArrow(run, _KIND)
 
 
 def _summed(key: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -417,12 +483,15 @@ def composed(paths: DataFrame, told: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, first: int = FIRST, range_words: int = RANGE_WORDS) -> DataFrame:
     """Each language's ``first`` phrases: lang, rank, phrase, a, l, r, n and score."""
     texts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    words = materialize(word_counts(texts).where(F.col("word").isNull() | (F.col("n") >= least)), "words")
+    coded = materialize(code_texts(texts), "coded")
+    words = materialize(word_counts(coded).where(F.col("word").isNull() | (F.col("n") >= least)), "words")
     totals = words.where("word IS NULL").select("lang", F.col("n").cast("decimal(20,0)").alias("n"))
     tongues, n_words, n_frequent = words.agg(F.count_if(F.col("word").isNull()), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)), F.count("word")).first()
     bits = frequent_bits(words.where("word IS NOT NULL").select("place"), n_frequent)
     ranges = 1 + n_words // range_words
-    paths = materialize(count_transducers(shard_transducers(texts, bits, ranges), least), "paths")
+    pairs = materialize(frequent_pairs(coded, bits, ranges, least), "pairs")
+    pair_bits = frequent_bits(pairs, pairs.count())
+    paths = materialize(count_transducers(shard_transducers(coded, bits, pair_bits, ranges), least), "paths")
     told = answers(questions(paths, ranges), paths)
     found = composed(paths, told).join(broadcast_if_small(totals, tongues), "lang")
     scored = F.expr("transform(arrays_zip(lefts, rights), (x, k) -> struct(CAST(1000 AS DECIMAL(4,0)) * CAST(a AS DECIMAL(20,0)) * n div (CAST(x.lefts AS DECIMAL(19,0)) * CAST(x.rights AS DECIMAL(19,0))) AS score, k AS k, x.lefts AS l, x.rights AS r))")

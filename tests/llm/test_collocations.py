@@ -59,8 +59,7 @@ def test_odd_rows_and_extra_columns(spark):
 def test_states_with_equal_continuations_are_one_and_keep_their_weights():
     text = " ".join(f"{a} x y z w ." for a in "abcdefgh")
     s = collocations.Slice.read(pa.RecordBatch.from_pydict({"text": pa.array([text]), "lang": pa.array(["en"])}))
-    everything = np.ones(len(s.word), bool)
-    (blob,) = collocations.transducers(s, collocations.count_paths(s, everything), 1)
+    (blob,) = collocations.transducers(s, collocations.count_paths(s, np.ones(len(s.word), bool), s.glued), 1)
     assert blob["n_heads"] == 12 + 11  # words, and pairs
     assert blob["n_moves"] == 5  # y, z, w once for all of 'a x' to 'h x', and z, w once for 'x y' and 'y z'
     langs, words, paths, lead = collocations.union(pa.Table.from_pylist([blob, blob], pa.schema(collocations._FIELDS)), 1)
