@@ -32,7 +32,7 @@ from logweft.sources.staging import remove, stage
 
 #: So many rows of counts, one for each split, are broadcast at most; beyond it they are joined by a shuffle.
 MOST_SPLITS = 100_000
-_OWN = "kind string, chunk bigint, first bigint, end bigint, row bigint, head bigint, n_lines bigint, n_headers bigint, n_bytes bigint, last boolean, message string, lines array<string>"
+_OWN = "kind string, chunk bigint, first bigint, end bigint, row bigint, head bigint, n_lines bigint, n_headers bigint, n_lead bigint, n_bytes bigint, last boolean, message string, lines array<string>"
 _NEVER = 1 << 62
 
 
@@ -46,6 +46,7 @@ class _Split:
     n_lines: int = 0
     n_headers: int = 0
     n_bytes: int = 0
+    n_lead: int = 0
     header: pa.RecordBatch | None = None  # of the open event
     row: int = 0
     event_lines: int = 0
@@ -109,6 +110,7 @@ class _Fold:
                 stop = b + int(size[r])
                 if s.header is None:
                     lead.append((i, b, stop))
+                    s.n_lead += stop - b
                 else:
                     room = max(0, self.most + 1 - s.event_lines)
                     s.texts += texts.slice(b, min(stop - b, room)).to_pylist()
@@ -147,7 +149,7 @@ class _Fold:
         if self.splits:
             all_ = list(self.splits.values())
             starts = pa.Table.from_batches([s.start for s in all_]).combine_chunks().to_batches()[0]
-            yield self._batch(starts, kind="split", **{c: [getattr(s, c) for s in all_] for c in ("first", "end", "n_lines", "n_headers", "n_bytes")})
+            yield self._batch(starts, kind="split", **{c: [getattr(s, c) for s in all_] for c in ("first", "end", "n_lines", "n_headers", "n_lead", "n_bytes")})
 
 
 def fold_splits(lines: DataFrame, keys: tuple[str, ...] = KEYS, chunk: str = "chunk", pos: str = "pos", value: str = "value", wanted: Column | None = None, max_continuation_lines: int | None = None) -> DataFrame:
@@ -192,46 +194,54 @@ class Stitched:
             remove(self.events.sparkSession, self.path)
 
 
-def finish(folded: DataFrame, keys: tuple[str, ...] = KEYS, max_continuation_lines: int | None = None, splits: int | None = None) -> Stitched:
+def finish(folded: DataFrame, keys: tuple[str, ...] = KEYS, max_continuation_lines: int | None = None, splits: int | None = None, plain: bool = False) -> Stitched:
     """Number the lines of each file through its splits, and append leading lines to the event that was open before them.
 
-    ``splits`` is their number where it is known: up to `MOST_SPLITS`, their counts are broadcast.
+    ``splits`` is their number where it is known: up to `MOST_SPLITS`, their counts are broadcast. ``plain`` says that
+    each file has one split, so that nothing is to be added up or appended.
     """
     own = [c.split()[0] for c in _OWN.split(", ")]
     extra = [c for c in folded.columns if c not in own and c not in keys]
-    counts = folded.where("kind = 'split'").select(*keys, "chunk", "first", "end", "n_lines", "n_headers", "n_bytes")
-    by = Window.partitionBy(*keys).orderBy("chunk", "first")  # a row for each split of a file
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    overlap = (F.lag("chunk").over(by) == F.col("chunk")) & (F.lag("end").over(by) >= F.col("first"))
-    base = counts.select(
-        *keys, "chunk", "first",
-        F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("_line"),
-        F.coalesce(F.sum("n_headers").over(before), F.lit(0)).alias("_seq"),
-        F.last(F.when(F.col("n_headers") > 0, F.struct("chunk", "first")), ignorenulls=True).over(before).alias("_owner"),
-        F.when(overlap, F.raise_error(F.lit("parts of a split overlap: its lines aren't in order"))).alias("_order"),
-    )
-    base = F.broadcast(base) if splits is not None and splits <= MOST_SPLITS else base
-    placed = folded.where("kind <> 'split'").join(base, [*keys, "chunk", "first"]).where("_order IS NULL")
-    events, leads = placed.where("kind = 'event'"), placed.where("kind = 'lead'")
-    at = F.struct("_line", "row", "lines")
-    tails = leads.where("_owner IS NOT NULL").groupBy(*keys, F.col("_owner.chunk").alias("chunk"), F.col("_owner.first").alias("first")).agg(F.array_sort(F.collect_list(at)).alias("_tail"), F.sum("n_lines").alias("_more"))
-    lines = F.flatten(F.transform("_tail", lambda x: x["lines"]))
-    if max_continuation_lines is not None:
-        room = F.greatest(F.lit(0), F.lit(max_continuation_lines + 1) - F.col("n_lines")).cast("int")
-        lines = F.slice(lines, F.lit(1), room)
-    closing = events.where("last").join(tails, [*keys, "chunk", "first"], "left")
-    grown = F.when(F.col("_tail").isNotNull() & (F.size(lines) > 0), F.concat("message", F.lit("\n"), F.array_join(lines, "\n"))).otherwise(F.col("message"))
-    closing = closing.withColumns({"message": grown, "n_lines": F.col("n_lines") + F.coalesce("_more", F.lit(0))})
+    counts = folded.where("kind = 'split'").select(*keys, "chunk", "first", "end", "n_lines", "n_headers", "n_lead", "n_bytes")
+    if plain:
+        placed = folded.where("kind <> 'split'").withColumns({"_line": F.lit(0), "_seq": F.lit(0)})
+    else:
+        by = Window.partitionBy(*keys).orderBy("chunk", "first")  # a row for each split of a file
+        before = by.rowsBetween(Window.unboundedPreceding, -1)
+        overlap = (F.lag("chunk").over(by) == F.col("chunk")) & (F.lag("end").over(by) >= F.col("first"))
+        base = counts.select(
+            *keys, "chunk", "first",
+            F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("_line"),
+            F.coalesce(F.sum("n_headers").over(before), F.lit(0)).alias("_seq"),
+            F.last(F.when(F.col("n_headers") > 0, F.struct("chunk", "first")), ignorenulls=True).over(before).alias("_owner"),
+            F.when(overlap, F.raise_error(F.lit("parts of a split overlap: its lines aren't in order"))).alias("_order"),
+        )
+        base = F.broadcast(base) if splits is not None and splits <= MOST_SPLITS else base
+        placed = folded.where("kind <> 'split'").join(base, [*keys, "chunk", "first"]).where("_order IS NULL")
     shown = [*keys, (F.col("_seq") + F.col("head")).alias("event_seq"), (F.col("_line") + F.col("row")).alias("line_no"), "n_lines", "message", *extra]
-    whole = events.where("NOT last").select(*shown).unionByName(closing.select(*shown))
-    lost = leads.where("_owner IS NULL").select(*keys, *extra, (F.col("_line") + F.col("row")).alias("_at"), F.posexplode("lines").alias("_i", "value"))
-    rejected = lost.select(*keys, *extra, (F.col("_at") + F.col("_i")).alias("line_no"), "value")
-    return Stitched(whole, rejected, counts)
+    events, lost = placed.where("kind = 'event'"), placed.where("kind = 'lead'")
+    if plain:
+        whole = events.select(*shown)
+    else:
+        leads, lost = lost.where("_owner IS NOT NULL"), lost.where("_owner IS NULL")
+        tail = F.array_sort(F.collect_list(F.struct("_line", "row", "lines")))
+        tails = leads.groupBy(*keys, F.col("_owner.chunk").alias("chunk"), F.col("_owner.first").alias("first")).agg(tail.alias("_tail"), F.sum("n_lines").alias("_more"))
+        lines = F.flatten(F.transform("_tail", lambda x: x["lines"]))
+        if max_continuation_lines is not None:
+            room = F.greatest(F.lit(0), F.lit(max_continuation_lines + 1) - F.col("n_lines")).cast("int")
+            lines = F.slice(lines, F.lit(1), room)
+        closing = events.where("last").join(tails, [*keys, "chunk", "first"], "left")
+        grown = F.when(F.col("_tail").isNotNull() & (F.size(lines) > 0), F.concat("message", F.lit("\n"), F.array_join(lines, "\n"))).otherwise(F.col("message"))
+        closing = closing.withColumns({"message": grown, "n_lines": F.col("n_lines") + F.coalesce("_more", F.lit(0))})
+        whole = events.where("NOT last").select(*shown).unionByName(closing.select(*shown))
+    lost = lost.select(*keys, *extra, (F.col("_line") + F.col("row")).alias("_at"), F.posexplode("lines").alias("_i", "value"))
+    return Stitched(whole, lost.select(*keys, *extra, (F.col("_at") + F.col("_i")).alias("line_no"), "value"), counts)
 
 
 def stitch_staged(lines: DataFrame, keys: tuple[str, ...] = KEYS, chunk: str = "chunk", pos: str = "pos", value: str = "value", wanted: Column | None = None, max_continuation_lines: int | None = None) -> Stitched:
     """Fold ``lines`` in one scan, keep the rows in the staging folder, and finish from there."""
-    folded, path = stage(fold_splits(lines, keys, chunk, pos, value, wanted, max_continuation_lines), "folded", by="kind")
-    out = finish(folded, keys, max_continuation_lines, folded.where("kind = 'split'").count())
+    folded, path = stage(fold_splits(lines, keys, chunk, pos, value, wanted, max_continuation_lines), "folded")
+    n, most = folded.where("kind = 'split'").groupBy(*keys).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    out = finish(folded, keys, max_continuation_lines, n, most <= 1)
     out.path = path
     return out

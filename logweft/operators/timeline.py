@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logweft.operators.fold import Stitched, stitch_staged
 from logweft.operators.parse import parse_lines
-from logweft.operators.stitch import as_events, number_by_chunk, rejects, stitch
+from logweft.operators.stitch import as_events
 from logweft.plans.config import ParserConfig, Selection
-from logweft.sources.files import load_lines
+from logweft.sources.files import file_status, list_files, read_lines, source_status, with_marks, with_source
 
 #: Newest first; ties in order of arrival: source, file, line. Times that don't exist come last.
 ORDER = (("event_ts", True), ("source_ord", False), ("file_path", False), ("line_no", False))
@@ -19,15 +22,47 @@ def ordering(keys=ORDER) -> list:
     return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in keys]
 
 
-def load_timeline(spark: SparkSession, sources: DataFrame, selection: Selection, *configs: ParserConfig, max_continuation_lines: int | None = None, headers: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events of all matching files, rejected lines, and the status of each source (for that of each file, see `files.file_report`).
+@dataclass
+class Loaded:
+    """A selection as it was read: its ``events`` and ``rejected`` lines, and what became of its ``sources`` and ``files``."""
+
+    events: DataFrame
+    rejected: DataFrame
+    sources: DataFrame
+    files: DataFrame
+    stitched: Stitched | None = None
+
+    def release(self) -> None:
+        """Delete what was staged; the tables can't be read any more."""
+        if self.stitched:
+            self.stitched.release()
+
 
-    ``headers`` is a test of what an event's first line tells (level, source, fields, not the whole message): the lines
-    of other events aren't gathered.
+def load(spark: SparkSession, sources: DataFrame, selection: Selection, *configs: ParserConfig, max_continuation_lines: int | None = None, headers: Column | None = None) -> Loaded:
+    """Read all matching files in one scan, stitch within its tasks, and stage the events in the folder ``spark.checkpoint.dir``.
+
+    ``files`` names every file that wasn't read whole, from the counts of that same scan, and ``sources`` has every
+    source with its files, those that failed, lines and bytes. ``headers`` is a test of what an event's first line
+    tells (level, source, fields, not the whole message): other events aren't put together.
     """
-    lines, status = load_lines(spark, sources, selection)
-    numbered = number_by_chunk(parse_lines(lines, *configs), wanted=headers, distance=max_continuation_lines is not None)
-    return as_events(stitch(numbered, max_continuation_lines=max_continuation_lines)), rejects(numbered), status
+    status = source_status(spark, sources)
+    directories = [r["directory"] for r in status.where("readable").select("directory").collect()]
+    listed = list_files(spark, directories, selection)
+    lines = parse_lines(with_source(read_lines(spark, directories, selection), sources), *configs)
+    done = stitch_staged(lines, wanted=headers, max_continuation_lines=max_continuation_lines)
+    read = done.splits.select("file_path", "n_lines", "n_bytes")
+    files = with_source(file_status(with_marks(spark, listed, read), read), sources)
+    by_source = files.groupBy("source_id").agg(
+        F.count("*").alias("n_files"), F.count_if(~F.col("readable")).alias("n_failed"), F.sum("n_lines").alias("n_lines"), F.sum("bytes_read").alias("n_bytes")
+    )
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_files", "n_failed", "n_lines", "n_bytes")]
+    return Loaded(as_events(done.events), done.rejected, status.join(by_source, "source_id", "left").select(*status.columns, *counts), files, done)
+
+
+def load_timeline(spark: SparkSession, sources: DataFrame, selection: Selection, *configs: ParserConfig, max_continuation_lines: int | None = None, headers: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events of all matching files, rejected lines, and the status of each source with its failed files counted (see `load`)."""
+    got = load(spark, sources, selection, *configs, max_continuation_lines=max_continuation_lines, headers=headers)
+    return got.events, got.rejected, got.sources
 
 
 def merge_pages(current: DataFrame, incoming: DataFrame, on_top: bool = False, key: str = "event_id", time: str = "event_ts") -> DataFrame:

@@ -25,10 +25,11 @@ def source_status(spark: SparkSession, sources: DataFrame) -> DataFrame:
     for s in sources.select("id", "directory", "source_ord").collect():  # a row for each selected source
         try:
             path = spark._jvm.org.apache.hadoop.fs.Path(s["directory"])
-            found = path.getFileSystem(hadoop).exists(path)
-            rows.append((*s, found, None if found else "Failed to read source", None if found else "no such directory"))
+            path.getFileSystem(hadoop).listStatusIterator(path).hasNext()  # listed, not only known to be there
+            rows.append((*s, True, None, None))
         except Exception as e:  # a store that can't be reached is a failed source like any other
-            rows.append((*s, False, "Failed to read source", str(e).splitlines()[0]))
+            gone = "FileNotFoundException" in str(e)
+            rows.append((*s, False, "Failed to read source", "no such directory" if gone else str(e).splitlines()[0]))
     return spark.createDataFrame(rows, "source_id string, directory string, source_ord bigint, readable boolean, message string, details string")
 
 
@@ -42,41 +43,66 @@ def list_files(spark: SparkSession, directories: list[str], selection: Selection
     return spark.createDataFrame(rows, schema)
 
 
-def file_status(listed: DataFrame, lines: DataFrame) -> DataFrame:
+def file_status(listed: DataFrame, read: DataFrame) -> DataFrame:
     """Every listed file with n_lines and bytes_read, ``readable``, and a message and details where it couldn't be read or only in part.
 
-    A file that breaks off doesn't stop the others (see `read_lines`); it shows here, because what was read of it is
-    shorter than the file. Lines don't tell whether they ended in one byte or two, so a loss of less than a byte a
-    line goes unnoticed. ``listed`` is from before the reading, so that files which vanish meanwhile show too.
+    ``read`` has file_path, n_bytes and, unless it is by line, n_lines of what was read; ``listed`` is from before
+    the reading, so that files which vanish meanwhile show too. A file that breaks off doesn't stop the others (see
+    `read_lines`); it shows here, because less than its size was read. Bytes are exact: a line counts with its end, so
+    the sum is the size, or one more where the last line has no end. A byte order mark isn't handed on by the reader:
+    where exactly its three bytes are missing, the column ``marked`` of ``listed`` tells of such a file (see
+    `with_marks`), and without that column a mark is assumed.
     """
-    read = lines.groupBy("file_path").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("value")).alias("bytes"))
+    read = read if "n_lines" in read.columns else read.withColumn("n_lines", F.lit(1))
+    read = read.groupBy("file_path").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_bytes").alias("bytes"))
     n, bytes_read, size = F.coalesce("n_lines", F.lit(0)), F.coalesce("bytes", F.lit(0)), F.col("file_size")
-    readable = (n > 0) & (bytes_read + 2 * n + 3 >= size)  # line ends, and a byte order mark
-    details = F.when(n == 0, "vanished or can't be read").otherwise(F.format_string("about %d of %d bytes were read", bytes_read + n, size))
+    missing = size - bytes_read
+    with_mark = F.coalesce("marked", F.lit(False)) if "marked" in listed.columns else F.lit(True)
+    readable = (n > 0) & (missing.isin(0, -1) | missing.isin(3, 2) & with_mark)
+    details = F.when(n == 0, "vanished or can't be read").otherwise(F.format_string("%d of %d bytes were read", bytes_read, size))
     found = listed.join(read, "file_path", "left").select("file_path", "file_size", n.alias("n_lines"), bytes_read.alias("bytes_read"), readable.alias("readable"), details.alias("details"))
     broken = lambda c: F.when(~F.col("readable"), c)
     return found.select("file_path", "file_size", "n_lines", "bytes_read", "readable", broken(F.lit("Failed to read file")).alias("message"), broken(F.col("details")).alias("details"))
 
 
+def with_marks(spark: SparkSession, listed: DataFrame, read: DataFrame) -> DataFrame:
+    """``listed`` with ``marked``: of the files of which two or three bytes are missing, those that begin with a byte order mark."""
+    hadoop, marked = spark.sparkContext._jsc.hadoopConfiguration(), []
+    short = file_status(listed, read).where("file_size - bytes_read IN (2, 3)")
+    for r in short.select("file_path").collect():  # at most a row for each file of the listing
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(r["file_path"])
+            stream = path.getFileSystem(hadoop).open(path)
+            if [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]:
+                marked.append((r["file_path"], True))
+            stream.close()
+        except Exception:  # gone since: it stays a file that wasn't read whole
+            continue
+    known = spark.createDataFrame(marked, "file_path string, marked boolean")
+    return listed.join(known, "file_path", "left") if marked else listed.withColumn("marked", F.lit(False))
+
+
 def read_lines(spark: SparkSession, directories: list[str], selection: Selection) -> DataFrame:
     """All lines of the matching files in the directories.
 
-    value, file_path, file_name, file_size, chunk (where the split begins) and pos (rises within a split).
-    The name's predicate keeps Spark from opening other files. A file that can't be read, or that vanishes, doesn't
-    stop the others; `file_status` names it.
+    value, file_path, file_name, file_size, chunk (where the split begins), pos (rises within a split) and n_bytes (of
+    the line and its end). Lines end in CR LF, CR or LF. The name's predicate keeps Spark from opening other files. A
+    file that can't be read, or that vanishes, doesn't stop the others; `file_status` names it.
     """
     if not directories or not selection.valid:
-        return spark.createDataFrame([], "value string, file_path string, file_name string, file_size bigint, chunk bigint, pos bigint")
-    text = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).text(sorted(set(directories)))
+        return spark.createDataFrame([], "value string, file_path string, file_name string, file_size bigint, chunk bigint, pos bigint, n_bytes bigint")
+    text = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).option("lineSep", "\n").text(sorted(set(directories)))
     # The test comes before the row numbers: above them it couldn't reach the scan, and all files would be opened.
-    return text.where(file_name_matches(F.col("_metadata.file_name"), selection)).select(
+    rows = text.where(file_name_matches(F.col("_metadata.file_name"), selection)).select(
         "value",
         plain_path(F.col("_metadata.file_path")).alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("chunk"),
-        F.monotonically_increasing_id().alias("pos"),
     )
+    whole = F.when(F.endswith("value", F.lit("\r")), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    pieces = rows.select(*rows.columns[1:], (F.octet_length("value") + 1).cast("bigint").alias("n_bytes"), F.posexplode(F.split(whole, "\r")).alias("_i", "value"))
+    return pieces.select("value", *rows.columns[1:], F.monotonically_increasing_id().alias("pos"), F.when(F.col("_i") == 0, F.col("n_bytes")).otherwise(0).alias("n_bytes"))
 
 
 def with_source(lines: DataFrame, sources: DataFrame) -> DataFrame:
@@ -96,6 +122,7 @@ def load_lines(spark: SparkSession, sources: DataFrame, selection: Selection) ->
 
 
 def file_report(spark: SparkSession, sources: DataFrame, selection: Selection) -> DataFrame:
-    """`file_status` of all files of the readable sources, with source_id, source_name and source_ord; it reads them once."""
+    """`file_status` of all files of the readable sources, with source_id, source_name and source_ord; it reads them once. `timeline.load` tells the same of what it reads."""
     directories = [r["directory"] for r in source_status(spark, sources).where("readable").select("directory").collect()]
-    return with_source(file_status(list_files(spark, directories, selection), read_lines(spark, directories, selection)), sources)
+    read = read_lines(spark, directories, selection).groupBy("file_path").agg(F.count("*").alias("n_lines"), F.sum("n_bytes").alias("n_bytes"))
+    return with_source(file_status(list_files(spark, directories, selection), read), sources)

@@ -281,6 +281,38 @@ def test_files_that_cannot_be_read_are_named(spark, shares):
     assert [(r["source_ord"], r["file_path"].rsplit("/", 1)[1]) for r in report if not r["readable"]] == [(1, bad.name)]
 
 
+def test_a_load_tells_what_it_lost_from_the_same_scan(spark, shares, monkeypatch):
+    folder = shares / "b/Java/apache-tomcat-back/logs"
+    names = {x: f"SHOP-API-ui.2026-07-29-{n}.log" for n, x in enumerate(("bad", "gone", "cut", "short", "marked", "cr"), 20)}
+    for name in names.values():
+        write(folder / name, BACK)
+    write(folder / names["marked"], "\ufeff" + BACK.rstrip("\n"))
+    write(folder / names["cr"], BACK.replace("\n", "\r") + "end")
+    (folder / f".{names['bad']}.crc").write_bytes(b"crc\x00\x00\x00\x02\x00wrong")
+    listing = files.list_files
+
+    def listed_before_they_change(*args):
+        found = listing(*args)
+        (folder / names["gone"]).unlink()
+        write(folder / names["cut"], BACK[:-2])  # its line end and one byte
+        write(folder / names["short"], BACK[:-4])  # as many bytes as a mark has, and the line end
+        return found
+
+    monkeypatch.setattr(timeline, "list_files", listed_before_they_change)
+    m = matrix.read_json(spark, str(shares / "matrix.json"))
+    got = timeline.load(spark, matrix.resolve_sources(m, SELECTION, str(shares)), SELECTION)
+    status = {r["file_path"].rsplit("/", 1)[1]: r for r in got.files.collect()}
+    assert {n for n, r in status.items() if not r["readable"]} == {names[x] for x in ("bad", "gone", "cut", "short")}
+    assert status[names["cut"]]["details"] == f"{len(BACK) - 1} of {len(BACK)} bytes were read" and status[names["gone"]]["details"].startswith("vanished")
+    assert status[names["cr"]]["n_lines"] == BACK.count("\n") + 1 and status[names["cr"]]["bytes_read"] == len(BACK) + 4
+    by_source = {r["source_ord"]: r for r in got.sources.collect()}
+    assert (by_source[1]["n_files"], by_source[1]["n_failed"]) == (8, 4) and by_source[2]["readable"] is False
+    plan = got.events._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "text" not in got.files._jdf.queryExecution().executedPlan().toString().lower().split("filescan")[1][:5]
+    assert got.events.where(f"file_path LIKE '%{names['cr']}'").count() == got.events.where(f"file_path LIKE '%{names['marked']}'").count()
+    got.release()
+
+
 @pytest.mark.parametrize("number", [stitch.number_by_window, stitch.number_by_chunk])
 def test_headers_decide_before_lines_are_gathered(spark, number):
     draw = random.Random(4)
