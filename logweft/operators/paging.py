@@ -16,13 +16,23 @@ from logweft.plans.config import DEFAULT_PAGE, LogFilter, page_size
 
 @dataclass
 class Page:
-    """``rows`` in order; ``has_more`` asks Spark whether rows are left after them."""
+    """``rows`` in order; ``has_more`` asks Spark whether rows are left after them, unless that is known."""
 
     rows: DataFrame
     more: DataFrame | None = None
+    known: bool | None = None
+    first: DataFrame | None = None  # the rows and one more
+    size: int | None = None
 
     def has_more(self) -> bool:
-        return self.more is not None and not self.more.isEmpty()
+        return self.known if self.known is not None else self.more is not None and not self.more.isEmpty()
+
+    def fetched(self) -> Page:
+        """The same page from a single run: its rows, and the one that may follow them, are read (1,001 at most)."""
+        if self.known is not None or self.first is None:
+            return self
+        rows = self.first.collect()
+        return Page(self.rows.sparkSession.createDataFrame(rows[: self.size], self.rows.schema), known=len(rows) > self.size)
 
 
 def after(keys, values) -> Column:
@@ -40,7 +50,7 @@ def after(keys, values) -> Column:
 def first_rows(events: DataFrame, n: int, keys=ORDER) -> Page:
     """The first n rows in order: a top-k in every task, then of their results."""
     rows = events.orderBy(*ordering(keys))
-    return Page(rows.limit(n), rows.limit(n + 1).offset(n))
+    return Page(rows.limit(n), rows.limit(n + 1).offset(n), first=rows.limit(n + 1), size=n)
 
 
 def newest(events: DataFrame, wanted: LogFilter | None = None, keys=ORDER) -> Page:

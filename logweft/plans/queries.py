@@ -224,7 +224,7 @@ def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH p AS (SELECT * FROM ({_LINES}) WHERE level = 'ERROR' {_NEWEST} LIMIT 50) SELECT to_json({{'append': 'bottom', 'events': list({_EVENT_JSON} {_NEWEST}), 'hasMore': (SELECT count(*) > 50 FROM events WHERE event_type = 'error')}})::VARCHAR AS value FROM p")
 def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = paging.newest(_sent(spark, sf_dir), LogFilter(levels=("ERROR",)))
+    page = paging.newest(_sent(spark, sf_dir), LogFilter(levels=("ERROR",))).fetched()
     return view.page_json(page.rows, page.has_more())
 
 
@@ -237,7 +237,8 @@ def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), F.concat(F.lit("["), "n_name", F.lit("]")).alias("name"), F.lit("E").alias("environment"), F.col("n_nationkey").alias("source_ord"))
     seen = paging.snapshot(_sent(spark, sf_dir), LogFilter(), sources, view.column_schema(spark, ParserConfig()))
-    return view.snapshot_json(seen.page.rows, seen.page.has_more(), seen.sources, seen.columns)
+    page = seen.page.fetched()
+    return view.snapshot_json(page.rows, page.has_more(), seen.sources, seen.columns)
 
 
 @query(
