@@ -70,27 +70,45 @@ class Manifest:
         return sorted(self.buckets, reverse=True)
 
 
-class TimelineStore:
-    def __init__(self, spark: SparkSession, path: str, schema: str = EVENT, width: int = BUCKET):
-        self.spark, self.path, self.schema, self.width = spark, path.rstrip("/"), schema, width
-        self.versioned = f"{schema}, version bigint"
+class BatchLog:
+    """Rows by batch. A batch that comes again replaces itself, and readers see whole batches only."""
 
-    # --- writing ---
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.versioned = f"{schema}, version bigint"
 
-    def append(self, events: DataFrame, batch: int) -> None:
-        """Store a batch; a batch that comes again replaces itself, and one that is compacted already changes nothing."""
+    def append(self, rows: DataFrame, batch: int) -> None:
         folder = f"{batch:012d}-{uuid.uuid4().hex}"
         columns = [c.split()[0] for c in self.schema.split(", ")]
-        events.select(*columns, F.lit(batch).cast("bigint").alias("version")).write.parquet(f"{self.path}/deltas/{folder}")
+        rows.select(*columns, F.lit(batch).cast("bigint").alias("version")).write.parquet(f"{self.path}/deltas/{folder}")
         shared_files.write_text(self.spark, f"{self.path}/commits/{batch:012d}", folder)
 
+    def commits(self, through: int = -1) -> dict[int, str]:
+        """The batches after ``through``, and where they are."""
+        later = [n for n in shared_files.names(self.spark, f"{self.path}/commits") if n.isdigit() and int(n) > through]
+        return {int(n): shared_files.read_text(self.spark, f"{self.path}/commits/{n}") for n in later}
+
+    def deltas(self, commits: dict[int, str]) -> DataFrame:
+        return self._table([f"{self.path}/deltas/{f}" for f in commits.values()])
+
+    def _table(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.versioned).parquet(*paths) if paths else self.spark.createDataFrame([], self.versioned)
+
+
+class TimelineStore(BatchLog):
+    def __init__(self, spark: SparkSession, path: str, schema: str = EVENT, width: int = BUCKET):
+        super().__init__(spark, path, schema)
+        self.width = width
+
+    # --- writing (and `append`, which changes nothing of a batch that is compacted already) ---
+
     def compact(self, through: int | None = None) -> Manifest:
         """Bring the batches up to ``through`` (all, by default) into the base: the buckets that they touch are written anew."""
         old = self.manifest()
-        new = {b: f for b, f in self._commits(old).items() if through is None or b <= through}
+        new = {b: f for b, f in self.commits(old.through).items() if through is None or b <= through}
         if not new:
             return old
-        deltas = self._deltas(new).withColumn("bucket", bucket_of(F.col("event_ts"), self.width))
+        deltas = self.deltas(new).withColumn("bucket", bucket_of(F.col("event_ts"), self.width))
         touched = [r[0] for r in deltas.select("bucket").distinct().collect()]  # hours that a few batches have
         before = self._base(old, [b for b in touched if b in old.buckets])
         return self._publish(old, latest_versions(before.unionByName(deltas.drop("bucket"))), touched, max(new))
@@ -109,18 +127,21 @@ class TimelineStore:
             return self._publish(cut, self._base(old, [b]).orderBy(*ordering()).limit(left), [b] if left else [], old.through)
         return old
 
-    def vacuum(self) -> None:
-        """Delete what the newest manifest doesn't need any more; readers of older states must be done."""
-        now = self.manifest()
-        used = {folder for folder, _ in now.buckets.values()}
+    def vacuum(self, keep: int = 1) -> None:
+        """Delete what none of the newest ``keep`` manifests needs; readers of older states must be done."""
+        states = [self._read(n) for n in self._numbers()[-keep:]]
+        if not states:
+            return
+        through, used = states[0].through, {folder for s in states for folder, _ in s.buckets.values()}
+        newest = states[-1].number
         for name in shared_files.names(self.spark, f"{self.path}/base"):
-            if name not in used:
+            if name not in used and int(name.split("-")[0]) <= newest:
                 shared_files.delete(self.spark, f"{self.path}/base/{name}")
-        live = set(self._commits(now).values())
+        live = set(self.commits(through).values())
         for name in shared_files.names(self.spark, f"{self.path}/deltas"):
-            if name not in live and int(name.split("-")[0]) <= now.through:
+            if name not in live and int(name.split("-")[0]) <= through:
                 shared_files.delete(self.spark, f"{self.path}/deltas/{name}")
-        for folder, old in (("commits", lambda n: n <= now.through), ("manifests", lambda n: n < now.number)):
+        for folder, old in (("commits", lambda n: n <= through), ("manifests", lambda n: n < states[0].number)):
             for name in shared_files.names(self.spark, f"{self.path}/{folder}"):
                 if name.isdigit() and old(int(name)):
                     shared_files.delete(self.spark, f"{self.path}/{folder}/{name}")
@@ -143,20 +164,15 @@ class TimelineStore:
 
     # --- reading ---
 
-    def manifest(self) -> Manifest:
-        numbers = [n for n in shared_files.names(self.spark, f"{self.path}/manifests") if n.isdigit()]
-        return Manifest.from_json(int(numbers[-1]), shared_files.read_text(self.spark, f"{self.path}/manifests/{numbers[-1]}")) if numbers else Manifest()
+    def _numbers(self) -> list[str]:
+        return [n for n in shared_files.names(self.spark, f"{self.path}/manifests") if n.isdigit()]
 
-    def _commits(self, manifest: Manifest) -> dict[int, str]:
-        """The batches that aren't in the base, and where they are."""
-        later = [n for n in shared_files.names(self.spark, f"{self.path}/commits") if n.isdigit() and int(n) > manifest.through]
-        return {int(n): shared_files.read_text(self.spark, f"{self.path}/commits/{n}") for n in later}
+    def _read(self, number: str) -> Manifest:
+        return Manifest.from_json(int(number), shared_files.read_text(self.spark, f"{self.path}/manifests/{number}"))
 
-    def _table(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.versioned).parquet(*paths) if paths else self.spark.createDataFrame([], self.versioned)
-
-    def _deltas(self, commits: dict[int, str]) -> DataFrame:
-        return self._table([f"{self.path}/deltas/{f}" for f in commits.values()])
+    def manifest(self) -> Manifest:
+        numbers = self._numbers()
+        return self._read(numbers[-1]) if numbers else Manifest()
 
     def _base(self, manifest: Manifest, buckets: list[int]) -> DataFrame:
         return self._table([f"{self.path}/base/{manifest.buckets[b][0]}/bucket={b}" for b in buckets])
@@ -164,10 +180,10 @@ class TimelineStore:
     def _view(self, manifest: Manifest, buckets: list[int], floor: int | None, commits: dict[int, str] | None = None) -> DataFrame:
         """The newest versions of these buckets' events, and of the deltas' from the bucket ``floor`` on."""
         base = self._base(manifest, buckets)
-        commits = self._commits(manifest) if commits is None else commits
+        commits = self.commits(manifest.through) if commits is None else commits
         if not commits:
             return base.drop("version")
-        deltas = self._deltas(commits)
+        deltas = self.deltas(commits)
         if floor is not None:
             deltas = deltas.where(bucket_of(F.col("event_ts"), self.width) >= floor)
         return latest_versions(base.unionByName(deltas)).drop("version")
@@ -180,7 +196,7 @@ class TimelineStore:
     def _paged(self, n: int, wanted: LogFilter | None, top: int | None, test: Column | None) -> Page:
         """The first ``n`` rows that pass, of the bucket ``top`` and older ones."""
         now = self.manifest()
-        commits = self._commits(now)
+        commits = self.commits(now.through)
         order = [b for b in now.newest_first() if top is None or b <= top]
         levels = tuple(wanted.levels) if wanted else ()
         passes = [predicate(self.spark, wanted)] if wanted and wanted != LogFilter() else []
@@ -213,7 +229,7 @@ class TimelineStore:
         """All rows newer than the time and the first that isn't; all, if none is that old or the time can't be read."""
         value = self.spark.range(1).select(event_time(F.lit(timestamp)).alias("t")).first()["t"]
         now = self.manifest()
-        commits, order = self._commits(now), now.newest_first()
+        commits, order = self.commits(now.through), now.newest_first()
         if value is None:
             return self._filtered(self._view(now, order, None, commits), wanted).orderBy(*ordering())
         older = self._paged_older(value, wanted)

@@ -15,9 +15,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logweft.functions.columns import event_id
 from logweft.operators.filters import predicate
-from logweft.operators.paging import newest
 from logweft.operators.parse import parse_lines
-from logweft.operators.timeline import append_version, stored_timeline
+from logweft.operators.timeline import append_version
+from logweft.operators.timeline_store import BatchLog, TimelineStore
 from logweft.operators.view import column_schema, event_json, snapshot_json
 from logweft.plans.config import LogFilter, ParserConfig, Selection
 from logweft.sources.files import file_name_matches, with_source
@@ -130,16 +130,53 @@ def deliver(live: DataFrame, send: Callable[[DataFrame, int], None], checkpoint:
     return live.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+#: What a feed keeps of lines without an event, and of files that couldn't be read.
+REJECT = "source_id string, source_name string, file_path string, generation int, line_no bigint, value string"
+ERROR = "source_id string, source_name string, file_path string, message string"
+
+
+def fan_out(live: DataFrame, timeline: TimelineStore, rejects: BatchLog, errors: BatchLog, send: Callable[[DataFrame, int], None], checkpoint: str, wanted: Callable[[], Column | None], compact_every: int = 20, **trigger) -> StreamingQuery:
+    """One stateful query with several sinks: each batch is kept once while its events, rejected lines and errors are stored and its messages sent.
+
+    The stores take a replayed batch in place of itself; messages are sent at least once. Each ``compact_every``
+    batches the timeline is compacted, so what a page reads stays small.
+    """
+
+    def batch(rows: DataFrame, n: int) -> None:
+        rows = rows.persist()
+        try:
+            kinds = {r["kind"] for r in rows.select("kind").distinct().collect()}  # three at most
+            if "event" in kinds:
+                timeline.append(rows.where("kind = 'event'"), n)
+            if "reject" in kinds:
+                rejects.append(rows.where("kind = 'reject'").withColumnRenamed("message", "value"), n)
+            if "error" in kinds:
+                errors.append(rows.where("kind = 'error'"), n)
+            if (n + 1) % compact_every == 0:
+                timeline.compact(n)
+                timeline.vacuum(keep=3)
+            if "event" in kinds:
+                test, fresh = wanted(), rows.where("kind = 'event' AND NOT is_backfill")
+                send((fresh if test is None else fresh.where(test)).select(event_json().alias("value")), n)
+        finally:
+            rows.unpersist()
+
+    return live.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
 class Feed:
     """A selection that is followed: its events are stored, and live ones that pass the filter are sent on.
 
-    Everything is under ``folder``: the stored timeline and the checkpoints of the two queries, by selection, so that a
-    selection which is followed again goes on where it stood.
+    Everything is under ``folder``: the stored timeline, rejected lines, errors and the checkpoint of the one query, by
+    selection, so that a selection which is followed again goes on where it stood.
     """
 
-    def __init__(self, spark: SparkSession, matrix: DataFrame, folder: str, send: Callable[[DataFrame, int], None], *configs: ParserConfig, base_dir: str | None = None, max_continuation_lines: int | None = 10_000, **trigger):
+    def __init__(
+        self, spark: SparkSession, matrix: DataFrame, folder: str, send: Callable[[DataFrame, int], None], *configs: ParserConfig,
+        base_dir: str | None = None, max_continuation_lines: int | None = 10_000, compact_every: int = 20, **trigger,
+    ):
         self.spark, self.matrix, self.folder, self.send, self.configs = spark, matrix, folder.rstrip("/"), send, configs
-        self.base_dir, self.most, self.trigger = base_dir, max_continuation_lines, trigger or {"processingTime": "1 second"}
+        self.base_dir, self.most, self.compact_every, self.trigger = base_dir, max_continuation_lines, compact_every, trigger or {"processingTime": "1 second"}
         self.filter, self.selection, self.sources, self.queries = LogFilter(), None, None, []
 
     def _path(self, name: str) -> str:
@@ -153,10 +190,12 @@ class Feed:
         self.selection, self.filter = selection, wanted or LogFilter()
         self.sources = resolve_sources(self.matrix, selection, self.base_dir)
         if selection.valid:
-            for name, start in (("stored", lambda live, at: store(live, self._path("timeline"), at, **self.trigger)), ("sent", lambda live, at: deliver(live, self.send, at, self._wanted, **self.trigger))):
-                at = self._path(name)
-                lines = tail_lines(self.spark, self.sources, selection, checkpoint=at)
-                self.queries.append(start(live_events(lines, *self.configs, max_continuation_lines=self.most), at))
+            at = self._path("feed")
+            lines = tail_lines(self.spark, self.sources, selection, checkpoint=at)
+            lines = lines.observe("tailed", F.count_if(F.col("error").isNull()).alias("n_lines"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("n_bytes"))
+            live = live_events(lines, *self.configs, max_continuation_lines=self.most)
+            stores = self.timeline, self._log("rejects", REJECT), self._log("errors", ERROR)
+            self.queries = [fan_out(live, *stores, self.send, at, self._wanted, self.compact_every, **self.trigger)]
         return self.sources
 
     def _wanted(self) -> Column:
@@ -172,12 +211,33 @@ class Feed:
             query.stop()
         self.queries, self.selection, self.sources = [], None, None
 
+    @property
+    def timeline(self) -> TimelineStore:
+        return TimelineStore(self.spark, self._path("timeline"))
+
+    def _log(self, name: str, schema: str) -> BatchLog:
+        return BatchLog(self.spark, self._path(name), schema)
+
+    def rejects(self) -> DataFrame:
+        """Lines that came before any event of their file."""
+        log = self._log("rejects", REJECT)
+        return log.deltas(log.commits()).drop("version")
+
+    def errors(self) -> DataFrame:
+        """Each file that couldn't be read, once for each cause, with the first and the last batch in which that was so."""
+        log = self._log("errors", ERROR)
+        found = log.deltas(log.commits()).groupBy("source_id", "source_name", "file_path", "message")
+        return found.agg(F.min("version").alias("first_batch"), F.max("version").alias("last_batch"))
+
+    def progress(self) -> dict:
+        """Lines and bytes of the last batch that had some, and its number; nothing before the first."""
+        for p in reversed(self.queries[0].recentProgress if self.queries else []):
+            seen = (p.observedMetrics or {}).get("tailed")
+            if seen is not None and seen["n_lines"]:
+                return {"batch": p.batchId, "n_lines": seen["n_lines"], "n_bytes": seen["n_bytes"]}
+        return {}
+
     def snapshot(self) -> str:
         """The newest stored page that passes the filter, with sources and columns, as one message."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("timeline"))
-        if path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            events = stored_timeline(self.spark, self._path("timeline"))
-        else:
-            events = self.spark.createDataFrame([], EVENT)
-        page = newest(events, self.filter)
+        page = self.timeline.newest(self.filter)
         return snapshot_json(page.rows, page.has_more(), self.sources, column_schema(self.spark, *self.configs[:1])).first()[0]

@@ -245,3 +245,31 @@ def test_feed_follows_filters_and_lets_go(spark, share):
         drain(q)
     assert sent == ["event 3", "event 5", "event 6"] and len(json.loads(feed.snapshot())["events"]) == 6
     assert feed.subscribe(Selection("E", "C", "back", " ", "x")).count() == 0 and feed.queries == []
+
+
+def test_a_feed_keeps_rejects_and_errors_and_compacts_itself(spark, share, monkeypatch):
+    logs, _, tmp = share
+    m = spark.createDataFrame([("E", "C", "c", "h", [str(tmp / "s")])], matrix.SCHEMA)
+    sent = []
+    feed = live.Feed(spark, m, str(tmp / "feed2"), lambda rows, n: sent.extend(json.loads(r["value"])["message"] for r in rows.collect()), compact_every=2, processingTime="0 seconds")
+    append(logs / NAME, "orphan\n" + event(1))
+    other = logs / NAME.replace("-0.log", "-1.log")
+    other.symlink_to(logs)  # a folder by a file's name can't be read
+    feed.subscribe(SELECTION)
+    assert len(feed.queries) == 1  # the files are tailed and parsed once
+    drain(feed.queries[0])
+    assert [(r["line_no"], r["value"]) for r in feed.rejects().collect()] == [(0, "orphan")]
+    assert feed.progress()["n_lines"] >= 2 and feed.progress()["n_bytes"] >= len("orphan\n" + event(1))
+    for i in range(2, 7):
+        append(logs / NAME, event(i) + "  more\n")
+        drain(feed.queries[0])
+    assert sent == [f"event {i}\n  more" for i in range(2, 7)]
+    now = feed.timeline.manifest()
+    assert now.number >= 2 and len(feed.timeline.commits(now.through)) <= 2
+    assert [e["message"].split("\n")[0] for e in json.loads(feed.snapshot())["events"]] == [f"event {i}" for i in range(6, 0, -1)]
+    broken = spark.createDataFrame([("s", "n", "/f", "no permission")] * 3, live.ERROR)
+    log = feed._log("errors", live.ERROR)
+    for batch in (3, 5, 5):
+        log.append(broken, batch)
+    assert [(r["message"], r["first_batch"], r["last_batch"]) for r in feed.errors().where("file_path = '/f'").collect()] == [("no permission", 3, 5)]
+    feed.unsubscribe()
