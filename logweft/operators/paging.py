@@ -31,8 +31,16 @@ class Page:
         """The same page from a single run: its rows, and the one that may follow them, are read (1,001 at most)."""
         if self.known is not None or self.first is None:
             return self
-        rows = self.first.collect()
-        return Page(self.rows.sparkSession.createDataFrame(rows[: self.size], self.rows.schema), known=len(rows) > self.size)
+        return read_page(self.first, self.size)
+
+
+def read_page(first: DataFrame, size: int) -> Page:
+    """A page of ``size`` rows from ``first``, which has one more if there is one; it is read here. Maps keep their order."""
+    maps = {f.name for f in first.schema if f.dataType.typeName() == "map"}
+    flat = first.select(*(F.map_entries(c).alias(c) if c in maps else F.col(c) for c in first.columns))
+    rows = flat.collect()
+    local = first.sparkSession.createDataFrame(rows[:size], flat.schema)
+    return Page(local.select(*(F.map_from_entries(c).alias(c) if c in maps else F.col(c) for c in first.columns)), known=len(rows) > size)
 
 
 def after(keys, values) -> Column:

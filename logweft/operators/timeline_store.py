@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from logweft.functions.columns import event_time
 from logweft.operators.filters import predicate
-from logweft.operators.paging import Page, after
+from logweft.operators.paging import Page, after, read_page
 from logweft.operators.timeline import ORDER, latest_versions, ordering
 from logweft.plans.config import DEFAULT_PAGE, LogFilter, page_size
 from logweft.sources import shared_files
@@ -211,9 +211,9 @@ class TimelineStore(BatchLog):
             floor = order[take - 1] if 0 < take < len(order) else None
             rows = self._view(now, order[:take], floor, commits)
             rows = reduce(DataFrame.where, passes, rows) if passes else rows
-            found = rows.orderBy(*ordering()).limit(n + 1).collect()  # a page and one
-            if len(found) > n or take >= len(order):
-                return Page(self.spark.createDataFrame(found[:n], self.schema), None, len(found) > n)
+            page = read_page(rows.orderBy(*ordering()).limit(n + 1), n)
+            if page.known or take >= len(order):
+                return page
             take = min(len(order), 2 * take + 1)
 
     def newest(self, wanted: LogFilter | None = None, n: int = DEFAULT_PAGE) -> Page:

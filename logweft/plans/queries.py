@@ -6,6 +6,7 @@ turns are lines, `documents` are files of lines, `region` and `nation` are the e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweft.functions.columns import base_name, label
-from logweft.operators import filters, metrics, paging, stitch, timeline, view
+from logweft.operators import filters, fold, metrics, paging, stitch, timeline, view
 from logweft.operators.parse import parse_lines
+from logweft.operators.timeline_store import TimelineStore
 from logweft.plans.config import DEFAULT_PATTERN, LogFilter, ParserConfig, Selection
 from logweft.sources import files, matrix
+from logweft.sources.staging import staging_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -325,6 +328,44 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.upsert(e, e.where("event_id % 5 = 0").withColumn("event_type", F.lit("changed")))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[TimelineStore, DataFrame]:
+    """The events of `log_events` in a stored timeline: all but some in a first batch, which is compacted, then those and a later version of others."""
+    store = TimelineStore(spark, f"{staging_folder(spark)}/timeline-{uuid.uuid4().hex}")
+    events = _sent(spark, sf_dir)
+    number = F.regexp_extract("message", r"requestId=R(\d+)", 1).cast("long")
+    store.append(events.where(number % 10 != 3), 0)
+    store.compact()
+    late = events.where((number % 10 == 3) | (number % 10 == 4))
+    store.append(late.withColumn("message", F.when(number % 10 == 4, F.concat("message", F.lit(" grown"))).otherwise(F.col("message"))), 1)
+    return store, events
+
+
+_GROWN = f"SELECT * REPLACE (message || CASE WHEN event_id % 10 = 4 THEN ' grown' ELSE '' END AS message) FROM ({_LINES})"
+
+
+@query(f"SELECT {_SHOWN} FROM ({_GROWN})")
+def stored_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late rows and newer versions over a compacted base, compacted once more."""
+    store, _ = _stored(spark, sf_dir)
+    store.compact()
+    return _shown(store.events())
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER ({_NEWEST}) AS r FROM ({_GROWN})) SELECT {_SHOWN} FROM r WHERE r > (SELECT r FROM r WHERE event_id = 777) AND r <= (SELECT r FROM r WHERE event_id = 777) + 200")
+def page_at_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page deep in a stored timeline: its buckets are read alone, and what came since the last compaction."""
+    store, events = _stored(spark, sf_dir)
+    cursor = events.where("message LIKE '%requestId=R777 %'").select("event_ts", "source_ord", "file_path", "line_no").first()
+    return _shown(store.after_cursor(cursor.asDict(), 200).rows)
+
+
+@query(f"SELECT {_SHOWN} FROM ({_GROWN}) {_NEWEST} LIMIT 1000")
+def stored_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _stored(spark, sf_dir)
+    store.retain_newest(1000)
+    return _shown(store.events())
+
+
 @query("SELECT event_type AS name, upper(event_type[1]) || event_type[2:] || ' Request ID' AS label FROM (SELECT DISTINCT event_type FROM events)")
 def column_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_type").distinct().select(F.col("event_type").alias("name"), label(F.concat("event_type", F.lit("_requestId"))).alias("label"))
@@ -369,6 +410,12 @@ def stitch_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitch.stitch(numbered, ("doc_id",)).select("doc_id", "event_seq", "line_no", "n_lines", "message")
 
 
+@query(f"SELECT doc_id, s::BIGINT AS event_seq, min(pos)::BIGINT AS line_no, count(*) AS n_lines, string_agg(value, chr(10) ORDER BY pos) AS message FROM ({_DOC_LINES}) WHERE s > 0 GROUP BY doc_id, s")
+def stitch_in_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as `stitch_prefix`, put together in the tasks that read the lines."""
+    return fold.stitch_staged(document_lines(spark, sf_dir), ("doc_id",)).events.select("doc_id", "event_seq", "line_no", "n_lines", "message")
+
+
 @query(f"SELECT doc_id, pos::BIGINT AS line_no, value FROM ({_DOC_LINES}) WHERE s = 0")
 def stitch_prefix_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitch.rejects(stitch.number_by_chunk(document_lines(spark, sf_dir), ("doc_id",))).select("doc_id", "line_no", "value")
