@@ -15,7 +15,8 @@ within a bucket. Events without a time are a bucket of their own, the last.
 The manifest is the page index: counts by bucket and level, newest first. A page, an until-page, whether more follows,
 and the cut of a retention find their buckets by adding up counts, and only these are read (and the deltas since, of
 which there are few). A filter that the counts don't tell about reads more buckets until it has enough, twice as many
-each time. One writer; any number of readers, who keep what they have begun to read until `vacuum`.
+each time; of a text or a pattern, ``grams/<compaction>`` (postings of three-letter grams by bucket) tells which
+buckets can have it at all. One writer; any number of readers, who keep what they have begun to read until `vacuum`.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweft.functions.columns import event_time
+from logweft.functions.literals import filter_tree, grams_of, holds
+from logweft.functions.regex import is_valid, search_pattern
+from logweft.operators import text_index
 from logweft.operators.filters import predicate
 from logweft.operators.paging import Page, after, read_page
 from logweft.operators.timeline import ORDER, latest_versions, ordering
@@ -137,6 +141,7 @@ class TimelineStore(BatchLog):
         for name in shared_files.names(self.spark, f"{self.path}/base"):
             if name not in used and int(name.split("-")[0]) <= newest:
                 shared_files.delete(self.spark, f"{self.path}/base/{name}")
+                shared_files.delete(self.spark, f"{self.path}/grams/{name}")
         live = set(self.commits(through).values())
         for name in shared_files.names(self.spark, f"{self.path}/deltas"):
             if name not in live and int(name.split("-")[0]) <= through:
@@ -153,6 +158,7 @@ class TimelineStore(BatchLog):
         out.repartitionByRange("bucket", "event_ts", "event_id").sortWithinPartitions("bucket", "event_ts").write.partitionBy("bucket").parquet(at)
         buckets = dict(old.buckets)
         if touched:
+            text_index.postings(self.spark.read.schema(f"{self.versioned}, bucket bigint").parquet(at)).write.parquet(f"{self.path}/grams/{folder}")
             counts: dict[int, dict[str, int]] = {}
             written = self.spark.read.schema(f"{self.versioned}, bucket bigint").parquet(at)
             for b, level, n in written.groupBy("bucket", F.coalesce("level", F.lit("")).alias("level")).count().collect():  # buckets x levels
@@ -188,6 +194,28 @@ class TimelineStore(BatchLog):
             deltas = deltas.where(bucket_of(F.col("event_ts"), self.width) >= floor)
         return latest_versions(base.unionByName(deltas)).drop("version")
 
+    def candidates(self, manifest: Manifest, wanted: LogFilter | None) -> list[int]:
+        """The buckets, newest first, that may have events which pass: by their levels, and by the grams that the filter's text or pattern needs."""
+        order = manifest.newest_first()
+        if not wanted:
+            return order
+        order = [b for b in order if manifest.rows(b, tuple(wanted.levels))]
+        is_pattern = wanted.regex and bool(wanted.text) and is_valid(self.spark, search_pattern(wanted.text, wanted.case_sensitive))
+        tree = filter_tree(wanted, is_pattern)
+        if tree is None or not order:
+            return order
+        folders = sorted({manifest.buckets[b][0] for b in order})
+        parts = [self.spark.read.schema(text_index.SCHEMA).parquet(f"{self.path}/grams/{f}").withColumn("folder", F.lit(f)) for f in folders]
+        held = self.spark.createDataFrame([(b, manifest.buckets[b][0]) for b in order], "bucket bigint, folder string")
+        index = reduce(DataFrame.unionByName, parts).join(F.broadcast(held), ["bucket", "folder"])  # a row for each bucket of the manifest
+        has = text_index.found(index, grams_of(tree))
+        return [b for b in order if holds(tree, has.get(b, set()))]
+
+    def search(self, wanted: LogFilter) -> DataFrame:
+        """All events that pass, read from the buckets that may have some, and from the deltas."""
+        now = self.manifest()
+        return self._filtered(self._view(now, self.candidates(now, wanted), None), wanted)
+
     def events(self) -> DataFrame:
         """The whole timeline."""
         now = self.manifest()
@@ -197,7 +225,7 @@ class TimelineStore(BatchLog):
         """The first ``n`` rows that pass, of the bucket ``top`` and older ones."""
         now = self.manifest()
         commits = self.commits(now.through)
-        order = [b for b in now.newest_first() if top is None or b <= top]
+        order = [b for b in self.candidates(now, wanted) if top is None or b <= top]
         levels = tuple(wanted.levels) if wanted else ()
         passes = [predicate(self.spark, wanted)] if wanted and wanted != LogFilter() else []
         passes += [] if test is None else [test]
@@ -229,7 +257,7 @@ class TimelineStore(BatchLog):
         """All rows newer than the time and the first that isn't; all, if none is that old or the time can't be read."""
         value = self.spark.range(1).select(event_time(F.lit(timestamp)).alias("t")).first()["t"]
         now = self.manifest()
-        commits, order = self.commits(now.through), now.newest_first()
+        commits, order = self.commits(now.through), self.candidates(now, wanted)
         if value is None:
             return self._filtered(self._view(now, order, None, commits), wanted).orderBy(*ordering())
         older = self._paged_older(value, wanted)
