@@ -21,9 +21,21 @@ def java_pattern(pattern: str) -> tuple[str, dict[str, str]]:
         names[name] = plain
     pattern = _GROUP.sub(lambda m: f"(?<{names[m[1]]}>", pattern)
     pattern = re.sub(r"\\k<([^>]+)>", lambda m: rf"\k<{names.get(m[1], m[1])}>", pattern)
-    if re.search(r"(?<!\\)(\\\\)*\$\Z", pattern):
-        pattern = pattern[:-1] + r"\z"
-    return pattern, names
+    return _ends_at_the_end(pattern), names
+
+
+_TOKEN = re.compile(r"\\Q.*?(?:\\E|\Z)|\\.|[\[\]$]|[^\\\[\]$]+", re.DOTALL)
+
+
+def _ends_at_the_end(pattern: str) -> str:
+    """Every ``$`` outside of classes as ``\\z``; a pattern that asks for line mode keeps them."""
+    if re.search(r"\(\?[a-z]*m", pattern):
+        return pattern
+    out, depth = [], 0
+    for part in _TOKEN.findall(pattern):
+        depth += (part == "[") - (part == "]" and depth > 0)
+        out.append(r"\z" if part == "$" and not depth else part)
+    return "".join(out)
 
 
 def literal(text: str) -> str:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logweft.sources.staging import stage
+
 
 def file_stats(lines: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
     """Lines, headers and bytes by source and file; with rejected lines, their number too."""
@@ -60,11 +62,51 @@ def traces(correlated: DataFrame) -> DataFrame:
     return correlated.groupBy("key", "value").agg(F.min("event_ts").alias("first"), F.max("event_ts").alias("last"), F.count("*").alias("n_events"), F.countDistinct("source_id").alias("n_sources"))
 
 
+_STEPS = ("event_ts", "source_ord", "file_path", "line_no")
+
+
 def trace_steps(correlated: DataFrame) -> DataFrame:
-    """Events of each correlated value numbered by time, with the time since the one before in seconds."""
-    by = Window.partitionBy("key", "value").orderBy("event_ts", "source_ord", "file_path", "line_no")
-    since = F.unix_millis(F.col("event_ts").cast("timestamp")) - F.unix_millis(F.lag("event_ts").over(by).cast("timestamp"))
-    return correlated.select("*", F.row_number().over(by).alias("step"), (since / 1000).alias("seconds_since"))
+    """Events of each correlated value numbered by time, with the time since the one before in seconds.
+
+    A value of any number of events spreads over tasks: rows are range-partitioned by value and time and staged so,
+    each part is numbered by itself, and of each part only its count and last row are handed to the ones after it.
+    """
+    order = ["key", "value", *_STEPS]
+    parts = correlated.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    rows, _ = stage(parts, "steps")
+    keys = ["key", "value", "_part"]
+    before = Window.partitionBy("key", "value").orderBy("_part")  # a row for each part of a value
+    borders = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.struct(*_STEPS)).alias("_last"))
+    borders = borders.select(*keys, F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lag("_last.event_ts").over(before).alias("_carried"))
+    by = Window.partitionBy(*keys).orderBy(*_STEPS)
+    local = rows.select("*", F.row_number().over(by).alias("_row"), F.lag("event_ts").over(by).alias("_earlier")).join(borders, keys)
+    earlier = F.when(F.col("_row") == 1, F.col("_carried")).otherwise(F.col("_earlier"))
+    since = F.unix_millis(F.col("event_ts").cast("timestamp")) - F.unix_millis(earlier.cast("timestamp"))
+    return local.select(*correlated.columns, (F.col("_base") + F.col("_row")).alias("step"), (since / 1000).alias("seconds_since"))
+
+
+def live_rates(events: DataFrame, width: str = "1 second", late_by: str = "10 seconds", time: str = "event_ts", active_for: str | None = None) -> DataFrame:
+    """The counts of `per_window` on a stream: a window comes once, when events are not expected any more (``late_by`` behind the newest).
+
+    One state for each window, source and file, so a busy second spreads over its files; `roll_up` sums them. With
+    ``active_for``, sessions instead of windows: how long each source was active without a pause of that length. A
+    stream's rejected lines have no time and aren't counted here. Events that come later than ``late_by`` are dropped
+    by Spark, which counts them (``numRowsDroppedByWatermark`` in the query's progress).
+    """
+    is_level = lambda *levels: F.count(F.when(F.col("level").isin(*levels), 1))
+    rows = events.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", late_by)
+    span = F.window("_time", width) if active_for is None else F.session_window("_time", active_for)
+    keys = ["source_id", "file_path"] if active_for is None else ["source_id"]
+    counted = rows.groupBy(span.alias("_span"), *keys).agg(F.count("*").alias("n_events"), is_level("WARN").alias("n_warnings"), is_level("ERROR", "FATAL").alias("n_errors"))
+    return counted.select(F.col("_span.start").alias("start"), F.col("_span.end").alias("end"), *keys, "n_events", "n_warnings", "n_errors")
+
+
+def roll_up(rates: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Stored `live_rates` as wider windows, as `per_window` counts them: sums, and exact numbers of sources and files."""
+    sums = [F.sum(c).alias(c) for c in ("n_events", "n_warnings", "n_errors")]
+    by_file = rates.groupBy(F.window("start", width)["start"].alias("start"), "source_id", "file_path").agg(*sums)
+    by_source = by_file.groupBy("start", "source_id").agg(*sums, F.count("*").alias("n_files"))
+    return by_source.groupBy("start").agg(*sums, F.count("*").alias("n_sources"), F.sum("n_files").alias("n_files"))
 
 
 def normalised(message):

@@ -129,6 +129,7 @@ def test_parser_configs(spark):
 def test_patterns(spark):
     pattern, names = regex.java_pattern(r"^(?<a_b>x)(?<$c>y)\k<a_b>\$$")
     assert names == {"a_b": "ab", "$c": "c"} and pattern == r"^(?<ab>x)(?<c>y)\k<ab>\$\z"
+    assert [regex.java_pattern(x)[0] for x in ("foo$|bar", "(a$)b[$]", r"\Qa$\E$", r"[\]$]$", "(?m)a$", "a[$")] == [r"foo\z|bar", r"(a\z)b[$]", r"\Qa$\E\z", r"[\]$]\z", "(?m)a$", "a[$"]
     assert regex.java_pattern(r"cost\$")[0] == r"cost\$" and regex.java_pattern("a\\\\$")[0] == "a\\\\\\z"
     odd = r"a.b\E[c"
     df = spark.createDataFrame([(odd,), ("axb",), ("a\n",)], "v string")
