@@ -17,7 +17,7 @@ import numpy as np
 HIDDEN, EMBEDDED = 16, 16  # at 24 hidden units, scores are 0.01 higher a token (log10) and cost a quarter more
 WINDOW = 16
 SCORE_WINDOW, SCORE_LANES = 32, 512
-SETTLED = 1 << 14  # tokens of one softmax when scoring
+SETTLED = 1 << 16  # tokens of one softmax when scoring
 RATE = 0.02
 CLIP = 1.0
 WARM = 32  # updates until the full rate (an eighth of all at most), as Adam's means begin empty in each pass

@@ -1,6 +1,7 @@
 """Scoring texts by a gated recurrent language model with a class-factored softmax.
 
-1. Every training token is counted over the whole corpus, by the word's 64-bit fingerprint. Words with at least
+1. Texts are split and words hashed once and written as numbers by slice. Every training token is counted over the
+   whole corpus, by the word's 64-bit fingerprint. Words with at least
    1 / `HEAD` of all tokens (so at most `HEAD` of them) go to the tasks; the others, none of which is frequent, are
    joined by a shuffle when scoring.
 2. The most frequent `TOP` words are units of their own, the others fall into `ENDINGS` units by their ending. Every
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweft.llm.gated_network import RATE, SCORE_LANES, WINDOW, Network, lay_out
-from logweft.llm.store import field_type, materialize
+from logweft.llm.store import discard, field_type, materialize
 from logweft.llm.text import Words, per_text, slices, words_of
 
 HEAD = 1 << 18
@@ -47,7 +48,7 @@ LEAST_UPDATES, TRAIN_LANES = 128, (8, 512)
 FAN = 32
 SMOOTH = 0.1
 END_HASH = np.uint64(0x1F3D5B79A2C4E681)
-COUNT_SLICE, CODE_SLICE, SCORE_TOKENS = 4 << 20, 4 << 20, 3 << 20
+CODE_SLICE, SCORE_TOKENS = 2 << 20, 3 << 20
 
 
 def coded_words(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,22 +63,62 @@ def coded_words(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndar
     return words, codes, hashed, (endings % np.uint64(ENDINGS)).astype(np.int64)
 
 
-def with_end(words: Words, values: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
+def with_end(words: Words | Slice, values: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
     """Values by word with the end token's after each text, and where each text's tokens end."""
     return np.insert(values, words.starts[1:], end), words.starts[1:] + np.arange(1, len(words.starts))
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """word (fingerprint), ending and n of every distinct word, the end token among them."""
+@dataclass
+class Slice:
+    """The words of some documents by number, with the fingerprint and ending unit of each number."""
+
+    doc_id: pa.Array
+    train: np.ndarray
+    starts: np.ndarray
+    codes: np.ndarray
+    hashed: np.ndarray
+    ending: np.ndarray
+
+    @classmethod
+    def of(cls, row: pa.RecordBatch) -> Slice:
+        blob = lambda c: row.column(c)[0].as_py()
+        n = np.frombuffer(blob("n_words"), "<i4")
+        hashed = np.frombuffer(blob("hashed"), "<u8")
+        codes = np.frombuffer(blob("codes"), "<u2" if len(hashed) <= 1 << 16 else "<i4")
+        return cls(row.column("doc_id")[0].values, np.frombuffer(blob("train"), bool), np.append(0, np.cumsum(n, dtype=np.int64)), codes, hashed, np.frombuffer(blob("ending"), "<i2").astype(np.int64))
+
+
+def number_words(docs: DataFrame) -> DataFrame:
+    """A row for each slice of documents, so that texts are split and words hashed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=CODE_SLICE):
+            words, codes, hashed, ending = coded_words(b.column("text"))
+            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("doc_id"))
+            blobs = (b.column("train").to_numpy(zero_copy_only=False).tobytes(), words.counts.astype("<i4").tobytes(), np.asarray(codes).astype("<u2" if len(hashed) <= 1 << 16 else "<i4").tobytes(), np.asarray(hashed).astype("<u8").tobytes(), ending.astype("<i2").tobytes())
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([x], pa.binary()) for x in blobs)], ["doc_id", "train", "n_words", "codes", "hashed", "ending"])
+
+    return docs.select("doc_id", "text", training_mark().alias("train")).mapInArrow(run, f"doc_id array<{field_type(docs, 'doc_id')}>, train binary, n_words binary, codes binary, hashed binary, ending binary")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+    for b in batches:
+        for i in range(b.num_rows):  # each of about `CODE_SLICE` bytes of text
+            yield Slice.of(b.slice(i, 1))
+
+
+def count_tokens(numbered: DataFrame) -> DataFrame:
+    """word (fingerprint), ending and n of every distinct word of the training documents, the end token among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=COUNT_SLICE):
-            _, codes, hashed, ending = coded_words(b.column("text"))
-            n = np.bincount(codes, minlength=len(hashed)) if len(codes) else np.zeros(0, np.int64)
-            rows = np.append(hashed, END_HASH), np.append(ending, 0).astype(np.int32), np.append(n, b.num_rows).astype(np.int64)
+        for s in _numbered(batches):
+            mine = s.codes if s.train.all() else s.codes[np.repeat(s.train, np.diff(s.starts))]
+            n = np.bincount(mine, minlength=len(s.hashed)) if len(s.hashed) else np.zeros(0, np.int64)
+            known = np.flatnonzero(n)
+            rows = np.append(s.hashed[known], END_HASH), np.append(s.ending[known], 0).astype(np.int32), np.append(n[known], s.train.sum()).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64)), pa.array(rows[1]), pa.array(rows[2])], ["word", "ending", "n"])
 
-    return docs.select("text").mapInArrow(run, "word bigint, ending int, n bigint").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
+    return numbered.mapInArrow(run, "word bigint, ending int, n bigint").where("n > 0").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
 @dataclass
@@ -115,33 +156,34 @@ class Lexicon:
         return np.where(top >= 0, top, TOP + ending)
 
 
-def code_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+def code_texts(numbered: DataFrame, lexicon: Lexicon) -> DataFrame:
     """By document: row (a number of its own), doc_id, n_tokens, n_known and head_log (sums that know the head words alone), rest_log (those of head words that aren't top words), tail (the other words' fingerprints) and units (all tokens, two bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         end_count = int(lexicon.find(np.array([END_HASH]))[0][0])
         end_log = math.log10(max(end_count, 0) + SMOOTH)
-        for b in slices(batches, limit=CODE_SLICE):
-            words, codes, hashed, ending = coded_words(b.column("text"))
+        for s in _numbered(batches):
+            codes, hashed, ending = s.codes, s.hashed, s.ending
             count, top = lexicon.find(hashed)
             logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + SMOOTH), 0.0)
             pick = lambda by_word: by_word[codes] if len(codes) else by_word[:0]
-            total = lambda by_word: per_text(pick(by_word), words.starts)
-            units, ends = with_end(words, pick(np.where(top >= 0, top, TOP + ending).astype("<u2")), 0)
+            total = lambda by_word: per_text(pick(by_word), s.starts)
+            units, ends = with_end(s, pick(np.where(top >= 0, top, TOP + ending).astype("<u2")), 0)
             at = np.append(0, ends)
             is_tail = pick(count < 0)
-            tails = np.append(0, np.cumsum(is_tail))[words.starts]
+            tails = np.append(0, np.cumsum(is_tail))[s.starts]
             tail = pa.ListArray.from_arrays(pa.array(tails, pa.int32()), pa.array(pick(hashed)[is_tail].view(np.int64)))
             raw = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at * 2), pa.py_buffer(units.tobytes())]).cast(pa.binary())
-            rows = np.arange(row, row + b.num_rows)
-            row += b.num_rows
+            rows = np.arange(row, row + len(s.doc_id))
+            row += len(s.doc_id)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), b.column("doc_id"), pa.array(np.diff(at)), pa.array(total(count > 0) + int(end_count > 0)), pa.array(total(logs) + end_log), pa.array(total(np.where(top < 0, logs, 0.0))), tail, raw],
+                [pa.array(rows), s.doc_id, pa.array(np.diff(at)), pa.array(total(count > 0) + int(end_count > 0)), pa.array(total(logs) + end_log), pa.array(total(np.where(top < 0, logs, 0.0))), tail, raw],
                 ["row", "doc_id", "n_tokens", "n_known", "head_log", "rest_log", "tail", "units"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"row bigint, doc_id {field_type(docs, 'doc_id')}, n_tokens bigint, n_known bigint, head_log double, rest_log double, tail array<bigint>, units binary")
+    kind = numbered.schema["doc_id"].dataType.elementType.simpleString()
+    return numbered.mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, n_known bigint, head_log double, rest_log double, tail array<bigint>, units binary")
 
 
 def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -344,10 +386,12 @@ def training_mark(parts: int = 10) -> Column:
 
 def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model]:
     """All documents coded (see `code_texts`), the counts of the training ones' words, and the model trained on these. ``docs``: doc_id and text."""
-    counts = materialize(count_tokens(docs.where(training_mark())), "counts")
+    numbered = materialize(number_words(docs), "numbered")
+    counts = materialize(count_tokens(numbered), "counts")
     lexicon = Lexicon.gather(counts)
     part = F.when(training_mark(), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(ROUNDS))).otherwise(-1).cast("int")
-    coded = materialize(code_texts(docs, lexicon).withColumn("round", part), "coded", by="round")
+    coded = materialize(code_texts(numbered, lexicon).withColumn("round", part), "coded", by="round")
+    discard(numbered)
     return coded, counts, fit(coded.where("round >= 0"), counts, lexicon)
 
 
