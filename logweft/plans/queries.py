@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweft.functions.columns import base_name, label
-from logweft.operators import filters, fold, metrics, paging, stitch, timeline, view
+from logweft.operators import alignment, filters, fold, metrics, paging, stitch, timeline, view
 from logweft.operators.parse import parse_lines
 from logweft.operators.timeline_store import TimelineStore
 from logweft.plans.config import DEFAULT_PATTERN, LogFilter, ParserConfig, Selection
@@ -204,6 +204,13 @@ def session_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.only_in_first(e.where("half = 0"), e.where("half = 1"))
 
 
+@query()
+def session_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sessions of what comes in each hour; SQL has no longest chain, so the operator is tested by brute force."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("half"), F.col("event_id").alias("step"), F.concat(F.date_format("ts", "dd HH "), "event_type").alias("shape"))
+    return alignment.align(e.where("half = 0"), e.where("half = 1"))
+
+
 _EVENT_JSON = (
     "to_json({'id': sha256(source_id || '|/share/' || o || '/app.log|0|' || line_no), 'timestamp': \"timestamp\", 'sourceId': source_id, 'sourceName': source_name, 'filePath': '/share/' || o || '/app.log',"
     " 'level': level, 'message': message, 'fields': {'thread': thread, 'logger': logger}})"
