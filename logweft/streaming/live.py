@@ -20,9 +20,11 @@ from logweft.operators.timeline import append_version
 from logweft.operators.timeline_store import BatchLog, TimelineStore
 from logweft.operators.view import column_schema, event_json, snapshot_json
 from logweft.plans.config import LogFilter, ParserConfig, Selection
+from logweft.sources import shared_files
 from logweft.sources.files import file_name_matches, with_source
 from logweft.sources.matrix import resolve_sources
-from logweft.streaming.tail import TailSource
+from logweft.streaming.backlog import has_seeds, read_backlog
+from logweft.streaming.tail import GONE, SEED, TailSource
 
 _ATTRIBUTES = ("timestamp", "event_ts", "level", "message", "fields", "source_name", "source_ord")
 STITCHED = (
@@ -32,6 +34,9 @@ STITCHED = (
 EVENT = "event_id string, timestamp string, event_ts timestamp_ntz, received_at timestamp, source_id string, source_name string, file_path string, level string, message string, fields map<string,string>, source_ord bigint, line_no bigint, generation int"
 STATE = "generation int, next_line bigint, last_offset bigint, head string, has_event boolean, n_more bigint, line_no bigint, source_name string, source_ord bigint, timestamp string, event_ts string, level string, message string, fields string"
 
+#: In place of an open event.
+NOTHING = (0, None, 0, None, None, None, None, None)
+
 
 def tail_lines(spark: SparkSession, sources: DataFrame, selection: Selection, **options) -> DataFrame:
     """Lines appended to the matching files of the sources, as they come."""
@@ -46,11 +51,19 @@ def tail_lines(spark: SparkSession, sources: DataFrame, selection: Selection, **
 def _stitch_file(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, most: int | None = None) -> Iterator[pd.DataFrame]:
     """New and grown events of one file, put together run by run from header to header. A file that begins anew is a new generation, whose lines are counted from 0.
 
-    A batch holds `maxBytesPerFile` of the file at most; of an event, ``most`` continuation lines are kept.
+    A batch holds `maxBytesPerFile` of the file at most; of an event, ``most`` continuation lines are kept. A seed is
+    the state that a backlog's batch left. Of a file that is gone, the number of the generation is kept alone, so that
+    a file by its name has ids of its own.
     """
     rows = pd.concat(list(parts), ignore_index=True).sort_values("offset", kind="stable")
-    generation, next_line, last, head, has_event, n_more, *event = state.get if state.exists else (0, 0, -1, None, False, 0, 0, None, 0, None, None, None, None, None)
-    good, broken = rows[rows["offset"] >= 0].reset_index(drop=True), rows[rows["offset"] < 0]
+    generation, next_line, last, head, has_event, n_more, *event = state.get if state.exists else (0, 0, -1, None, False, 0, *NOTHING)
+    good, broken = rows[rows["offset"] >= 0].reset_index(drop=True), rows[rows["error"].notna()]
+    if not state.exists and len(seeds := rows[rows["offset"] == SEED]):
+        seed, r = json.loads(seeds["value"].iloc[0]), seeds.iloc[0]
+        next_line, last, head = seed["next_line"], 0, r["head"]
+        if open_event := seed.get("event"):
+            has_event, n_more = True, open_event["n_more"]
+            event = [open_event["line_no"], r["source_name"], int(r["source_ord"]), *(open_event.get(c) for c in ("timestamp", "event_ts", "level", "message", "fields"))]
     if len(good) and last >= 0 and (int(good["offset"].iloc[0]) <= last or good["head"].iloc[0] != head):
         generation, next_line, has_event = generation + 1, 0, False
     values, out = good["value"].fillna("").tolist(), []
@@ -79,7 +92,11 @@ def _stitch_file(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, m
     for r in broken.itertuples(index=False):
         out.append(row("error", [-1, r.source_name, int(r.source_ord), None, None, None, r.error, None], bool(r.is_backfill)))
     if len(good):
-        state.update((generation, next_line + len(good), int(good["offset"].iloc[-1]), good["head"].iloc[-1], has_event, n_more, *event))
+        next_line, last, head = next_line + len(good), int(good["offset"].iloc[-1]), good["head"].iloc[-1]
+    if (rows["offset"] == GONE).any():
+        generation, next_line, last, head, has_event, n_more, event = generation + (next_line > 0), 0, -1, None, False, 0, NOTHING
+    if len(good) < len(rows) - len(broken) or len(good):
+        state.update((generation, next_line, last, head, has_event, n_more, *event))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in STITCHED.split(", ")]).astype({"event_ts": "datetime64[us]"})
 
 
@@ -139,11 +156,12 @@ def fan_out(live: DataFrame, timeline: TimelineStore, rejects: BatchLog, errors:
     """One stateful query with several sinks: each batch is kept once while its events, rejected lines and errors are stored and its messages sent.
 
     The stores take a replayed batch in place of itself; messages are sent at least once. Each ``compact_every``
-    batches the timeline is compacted, so what a page reads stays small.
+    batches the timeline is compacted, so what a page reads stays small. Batch 0 of the stores is the backlog's (see
+    `backlog`), so the stream's are counted from 1 there.
     """
 
     def batch(rows: DataFrame, n: int) -> None:
-        rows = rows.persist()
+        rows, n = rows.persist(), n + 1
         try:
             kinds = {r["kind"] for r in rows.select("kind").distinct().collect()}  # three at most
             if "event" in kinds:
@@ -152,7 +170,7 @@ def fan_out(live: DataFrame, timeline: TimelineStore, rejects: BatchLog, errors:
                 rejects.append(rows.where("kind = 'reject'").withColumnRenamed("message", "value"), n)
             if "error" in kinds:
                 errors.append(rows.where("kind = 'error'"), n)
-            if (n + 1) % compact_every == 0:
+            if n % compact_every == 0:
                 timeline.compact(n)
                 timeline.vacuum(keep=3)
             if "event" in kinds:
@@ -177,7 +195,7 @@ class Feed:
     ):
         self.spark, self.matrix, self.folder, self.send, self.configs = spark, matrix, folder.rstrip("/"), send, configs
         self.base_dir, self.most, self.compact_every, self.trigger = base_dir, max_continuation_lines, compact_every, trigger or {"processingTime": "1 second"}
-        self.filter, self.selection, self.sources, self.queries = LogFilter(), None, None, []
+        self.filter, self.selection, self.sources, self.queries, self.backlog = LogFilter(), None, None, [], {}
 
     def _path(self, name: str) -> str:
         s = self.selection
@@ -185,16 +203,24 @@ class Feed:
         return f"{self.folder}/{mark}/{name}"
 
     def subscribe(self, selection: Selection, wanted: LogFilter | None = None) -> DataFrame:
-        """Follow a selection in place of the one before; its sources. A selection that isn't valid has none, and nothing is followed."""
+        """Follow a selection in place of the one before; its sources. A selection that isn't valid has none, and nothing is followed.
+
+        What the files hold when a selection is first followed is read by batch, before this returns.
+        """
         self.unsubscribe()
         self.selection, self.filter = selection, wanted or LogFilter()
         self.sources = resolve_sources(self.matrix, selection, self.base_dir)
         if selection.valid:
-            at = self._path("feed")
-            lines = tail_lines(self.spark, self.sources, selection, checkpoint=at)
-            lines = lines.observe("tailed", F.count_if(F.col("error").isNull()).alias("n_lines"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("n_bytes"))
-            live = live_events(lines, *self.configs, max_continuation_lines=self.most)
+            at, seeds = self._path("feed"), self._path("seeds")
             stores = self.timeline, self._log("rejects", REJECT), self._log("errors", ERROR)
+            known = has_seeds(self.spark, seeds)
+            if not known and not shared_files.names(self.spark, f"{at}/offsets"):
+                self.backlog = read_backlog(self.spark, self.sources, selection, *stores[:2], seeds, *self.configs, max_continuation_lines=self.most)
+                known = bool(self.backlog)
+            lines = tail_lines(self.spark, self.sources, selection, checkpoint=at, **({"seeds": seeds} if known else {}))
+            is_line = F.col("offset") >= 0
+            lines = lines.observe("tailed", F.count_if(is_line).alias("n_lines"), F.coalesce(F.sum(F.when(is_line, F.octet_length("value") + 1)), F.lit(0)).alias("n_bytes"))
+            live = live_events(lines, *self.configs, max_continuation_lines=self.most)
             self.queries = [fan_out(live, *stores, self.send, at, self._wanted, self.compact_every, **self.trigger)]
         return self.sources
 
@@ -209,7 +235,7 @@ class Feed:
     def unsubscribe(self) -> None:
         for query in self.queries:
             query.stop()
-        self.queries, self.selection, self.sources = [], None, None
+        self.queries, self.selection, self.sources, self.backlog = [], None, None, {}
 
     @property
     def timeline(self) -> TimelineStore:
@@ -230,12 +256,12 @@ class Feed:
         return found.agg(F.min("version").alias("first_batch"), F.max("version").alias("last_batch"))
 
     def progress(self) -> dict:
-        """Lines and bytes of the last batch that had some, and its number; nothing before the first."""
+        """Lines and bytes of the last batch that had some, and its number (-1: the backlog); nothing before the first."""
         for p in reversed(self.queries[0].recentProgress if self.queries else []):
             seen = (p.observedMetrics or {}).get("tailed")
             if seen is not None and seen["n_lines"]:
                 return {"batch": p.batchId, "n_lines": seen["n_lines"], "n_bytes": seen["n_bytes"]}
-        return {}
+        return {"batch": -1, **self.backlog} if self.backlog else {}
 
     def snapshot(self) -> str:
         """The newest stored page that passes the filter, with sources and columns, as one message."""
