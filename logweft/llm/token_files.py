@@ -1,6 +1,6 @@
 """Token ids in Arrow files of equal-length sequences, and reading them back without copies.
 
-Documents are range-sorted by doc_id and tokenized in the tasks; each task writes one Arrow IPC file whose record
+Documents are range-sorted by doc_id (and the hash of the text) and tokenized in the tasks; each task writes one Arrow IPC file whose record
 batches hold two fixed-size-list columns: ``tokens`` (uint16 or uint32) and ``mask`` (false on the padding after a
 file's last token). The files in order are one stream of ids. A sequence or any span of ids is found by arithmetic
 alone, so a memory-mapped file gives random access without copying. A file is written under a name of its own and
@@ -10,7 +10,7 @@ The tokenizer treats pre-tokens apart and drops white space, so each distinct pi
 with the tokenizers library and its ids are reused; the ids are those of encoding the whole text.
 
 Defined cases: a null text counts as empty and has the end id alone; rows that share a doc_id follow each other,
-ordered by text; a null doc_id comes first; a document of any length runs on over sequences; an empty table writes
+ordered by the hash of the text; a null doc_id comes first; a document of any length runs on over sequences; an empty table writes
 no file and gives no rows. Only doc_id and text are read, so other columns can't clash.
 """
 
@@ -227,7 +227,11 @@ def part_uri(folder: str, part: int) -> str:
 
 
 def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, length: int = SEQUENCE, text: str = "text", doc_id: str = "doc_id") -> TokenFiles:
-    """Encode the texts and write the files in ascending doc_id order, by default to a new folder in the shared store."""
+    """Encode the texts and write the files in ascending doc_id order, by default to a new folder in the shared store.
+
+    Rows of one doc_id, or without one, come in the order of their texts' hashes, and rows whose texts are equal, too, as
+    they are read: their bytes are the same in any order, and so many of them spread over tasks and files.
+    """
     folder, tokenizer = folder or fresh_path(docs.sparkSession, "tokens"), tokenizer or tokenizer_path()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +248,9 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
         if out is not None:
             out.close()
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("nth"))
+    order = ["doc_id", "hash", "nth"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     spans = materialize(rows.mapInArrow(write, f"doc_id {field_type(docs, doc_id)}, part int, at bigint, n_tokens bigint"), "spans")
     parts = spans.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

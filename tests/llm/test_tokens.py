@@ -158,3 +158,18 @@ def test_token_files_of_odd_tables(spark):
     spans = sorted((r["start"], r["n_tokens"]) for r in repeated.collect())
     assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
     assert listed(repeated.select("n_tokens")) == sorted(((len(x),) for x in brute_ids([r[1] for r in rows()])), key=str)
+
+
+def test_a_hot_doc_id_spreads_over_files(spark):
+    """A third of the rows without an id, and a third with one and the same text: in order, again the same, and no file has most of them."""
+    table = [(None, f"text {i}") for i in range(400)] + [(7, "copies")] * 400 + [(i, f"own {i}") for i in range(400)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        first, again = (tf.write_tokens(docs) for _ in range(2))
+        spread = first.spans.groupBy("doc_id").agg(F.countDistinct("part").alias("files")).where("doc_id is null or doc_id = 7").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) == 2 and min(r["files"] for r in spread) > 1
+    got, other = (sorted((r["start"], r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["value"]) for r in x.read(tf.ids_crc32).collect()) for x in (first, again))
+    assert got == other and [r[1:3] for r in got] == sorted(r[1:3] for r in got) and len(got) == len(table)
