@@ -245,6 +245,25 @@ def test_views_by_brute_force(spark):
     assert cv.chat_views(df.limit(0)).count() == 0
 
 
+def test_a_crowded_part_comes_in_bounded_pieces(spark):
+    """A third of the rows without a conversation, and as many repeats of one turn: every row once, in order, and again the same."""
+    rows = [(None, i % 20, f"s{i % 2}", f"text {i * 7 % 500}") for i in range(500)] + [(1, 3, "ann", "again")] * 500 + [(2 + i // 5, i % 5, f"s{i % 2}", f"t{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got, again = (sorted(map(str, cv.chat_views(df, part_rows=64).collect())) for _ in range(2))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    views = cv.chat_views(df, part_rows=64).orderBy("conv_id", "assistant", "piece").collect()
+    assert got == again and max(r["n_turns"] for r in views) == 64
+    whole = {(r["conv_id"], r["assistant"]): r for r in cv.chat_views(df, part_rows=10**6).collect()}
+    joined = {}
+    for r in views:
+        joined.setdefault((r["conv_id"], r["assistant"]), []).append(r)
+    assert {k: "".join(r["rendered"] for r in v) for k, v in joined.items()} == {k: r["rendered"] for k, r in whole.items()}
+    assert {k: [r["piece"] for r in v] for k, v in joined.items() if k[0] in (None, 1)} == {(None, "s0"): [*range(8)], (None, "s1"): [*range(8)], (1, "ann"): [*range(8)]}
+
+
 def test_views_run_no_python(spark):
     df = spark.createDataFrame(TURNS, "conv_id bigint, turn bigint, role string, text string")
     plan = cv.chat_views(df)._jdf.queryExecution().executedPlan().toString()
