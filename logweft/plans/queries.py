@@ -6,6 +6,7 @@ turns are lines, `documents` are files of lines, `region` and `nation` are the e
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -17,8 +18,8 @@ from logweft.functions.columns import base_name, label
 from logweft.operators import alignment, filters, fold, metrics, paging, stitch, timeline, view
 from logweft.operators.parse import parse_lines
 from logweft.operators.timeline_store import TimelineStore
-from logweft.plans.config import DEFAULT_PATTERN, LogFilter, ParserConfig, Selection
-from logweft.sources import files, matrix
+from logweft.plans.config import DEFAULT_PATTERN, FILE_KINDS, LogFilter, ParserConfig, Selection, toggled, until_input
+from logweft.sources import files, matrix, shared_files
 from logweft.sources.staging import staging_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,6 +277,55 @@ def parsers_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("source_id", "line_no", "timestamp", "level", "message", F.coalesce(F.element_at("fields", F.lit("thread")), F.lit("")).alias("thread"))
 
 
+@query(f"SELECT {_SHOWN} FROM ({_LINES}) WHERE level = 'WARN' AND contains({_HAY}, 'app.signup')")
+def filter_toggled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels switched on and off one by one, and then a text."""
+    levels = reduce(toggled, ("ERROR", "WARN", "ERROR"), ())
+    return _filtered(spark, sf_dir, LogFilter(levels=("DEBUG",)).merged(text="app.signup", levels=levels))
+
+
+@query(f"SELECT sha256(source_id || '|/share/' || o || '/app.log|0|' || line_no) AS id, source_name, \"timestamp\", message, logger FROM ({_LINES}) WHERE level = 'ERROR'")
+def export_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors as an export, read again."""
+    events, path = _sent(spark, sf_dir), f"{staging_folder(spark)}/export-{uuid.uuid4().hex}"
+    view.export_text(events, events.where("level = 'ERROR'").select("event_id"), path)
+    text = spark.read.text(path, lineSep="\n\n")
+    one = F.from_json("value", "id string, sourceName string, timestamp string, message string, fields map<string,string>")
+    return text.select(one.alias("e")).select("e.id", F.col("e.sourceName").alias("source_name"), "e.timestamp", "e.message", F.col("e.fields")["logger"].alias("logger"))
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> str:
+    """The lines as log files in the folders of three shares, with a matrix that names them; where they are."""
+    root = f"{staging_folder(spark)}/shares-{uuid.uuid4().hex}"
+    lines = log_lines(spark, sf_dir).select("value", "source_ord", "pos").repartitionByRange("source_ord", "pos").sortWithinPartitions("source_ord", "pos")
+    lines.drop("pos").write.partitionBy("source_ord").text(f"{root}/written")
+    shares = [x for x in shared_files.names(spark, f"{root}/written") if x.startswith("source_ord=")]
+    for share in shares:
+        parts = [x for x in shared_files.names(spark, f"{root}/written/{share}") if x.startswith("part-")]
+        for i, part in enumerate(parts):  # a file for each task that wrote some of the share
+            shared_files.move(spark, f"{root}/written/{share}/{part}", f"{root}/{share[11:]}/Java/apache-tomcat-back/logs/APP-{FILE_KINDS[i % 3]}.2026-07-29-{i}.log")
+    entry = {"environment": "E", "country": "C", "code": "c", "host": "h", "shares": [f"{root}/{x[11:]}" for x in shares]}
+    shared_files.write_text(spark, f"{root}/matrix.json", json.dumps([entry]))
+    return root
+
+
+@query(f"SELECT o AS source_ord, \"timestamp\", level, message, thread, logger FROM ({_LINES})")
+def files_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the matrix over its shares and their files to one timeline."""
+    wanted = Selection("E", "C", "back", "app", "2026-07-29")
+    sources = matrix.resolve_sources(matrix.read_json(spark, f"{log_files(spark, sf_dir)}/matrix.json"), wanted)
+    events = timeline.load(spark, sources, wanted).events
+    return events.select("source_ord", "timestamp", "level", "message", F.col("fields")["thread"].alias("thread"), F.col("fields")["logger"].alias("logger"))
+
+
+@query("SELECT user_id % 3 AS source_ord, count(*) AS n_lines, 0::BIGINT AS n_failed FROM events GROUP BY 1")
+def files_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each source's files, from the scan that loaded them."""
+    wanted = Selection("E", "C", "back", "app", "2026-07-29")
+    sources = matrix.resolve_sources(matrix.read_json(spark, f"{log_files(spark, sf_dir)}/matrix.json"), wanted)
+    return timeline.load(spark, sources, wanted).sources.select("source_ord", "n_lines", "n_failed")
+
+
 # --- paging with many equal times ------------------------------------------------------------------------------
 
 
@@ -293,6 +343,13 @@ def cursor_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.after_cursor(hourly_events(spark, sf_dir), 77, 200).rows.select("event_id", "source_ord")
 
 
+@query(f"SELECT event_id, o AS source_ord FROM ({_HOURLY}) WHERE r <= (SELECT min(r) FROM ({_HOURLY}) WHERE t <= (SELECT date_trunc('minute', max(ts::TIMESTAMP) - INTERVAL 1 DAY) FROM events))")
+def until_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Down to a time as it is typed, to the minute."""
+    at = table(spark, sf_dir, "events").agg(F.date_format(F.max("ts") - F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm")).first()[0]
+    return paging.until(hourly_events(spark, sf_dir), until_input(at)).rows.select("event_id", "source_ord")
+
+
 @query(f"SELECT event_id, o AS source_ord FROM ({_HOURLY}) WHERE r <= (SELECT min(r) FROM ({_HOURLY}) WHERE t <= (SELECT max(ts::TIMESTAMP) - INTERVAL 2 DAY FROM events))")
 def until_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -466,6 +523,14 @@ def environment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT r_name AS environment, n_name AS country, n_name || '_' || n_nationkey AS code, 'host' AS host, '/mnt/' || n_nationkey || ',share/' || n_nationkey AS shares FROM nation JOIN region ON n_regionkey = r_regionkey")
+def matrix_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix as CSV, read again."""
+    path = f"{staging_folder(spark)}/matrix-{uuid.uuid4().hex}"
+    environment_matrix(spark, sf_dir).drop("entry").withColumn("shares", F.array_join("shares", " ; ")).write.csv(path, header=True)
+    return matrix.read_csv(spark, path).select("environment", "country", "code", "host", F.array_join("shares", ",").alias("shares"))
+
+
 @query("SELECT r_name AS environment, array_to_string(list_sort(list(DISTINCT n_name)), ',') AS countries FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def source_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.source_options(environment_matrix(spark, sf_dir)).withColumn("countries", F.array_join("countries", ","))

@@ -41,6 +41,15 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     files.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(where), over)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """To a name that is free, in a folder that is made if need be."""
+    fs, where = _at(spark, path)
+    target = _at(spark, to)[1]
+    fs.mkdirs(target.getParent())
+    if not fs.rename(where, target):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, where = _at(spark, path)
     fs.delete(where, True)
