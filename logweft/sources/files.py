@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +20,19 @@ def file_name_matches(name: Column, selection: Selection) -> Column:
     return name.rlike(rf"(?iu)^{literal(selection.name)}-(?:{kinds})\.{literal(selection.date)}-\d+\.log\z")
 
 
+def name_glob(selection: Selection) -> str:
+    """A glob that every file name of the selection passes, in any case; few others do, and `file_name_matches` decides."""
+
+    def one(c: str) -> str:
+        if not c.isascii():
+            return "*"
+        if c in "iIkKsS":  # letters beyond ASCII count as these in another case
+            return "?"
+        return f"[{c.lower()}{c.upper()}]" if c.isalpha() else glob.escape(c)
+
+    return "*".join("".join(map(one, x)) for x in (f"{selection.name}-", f".{selection.date}-", ".log"))
+
+
 def source_status(spark: SparkSession, sources: DataFrame) -> DataFrame:
     """Every source with ``readable`` and, where its directory can't be listed, a message and details. The others are read all the same."""
     hadoop, rows = spark.sparkContext._jsc.hadoopConfiguration(), []

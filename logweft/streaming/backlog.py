@@ -29,7 +29,7 @@ from logweft.operators.stitch import as_events
 from logweft.operators.timeline_store import BatchLog
 from logweft.plans.config import ParserConfig, Selection
 from logweft.sources import shared_files
-from logweft.sources.files import file_name_matches, with_source
+from logweft.sources.files import file_name_matches, name_glob, with_source
 from logweft.streaming.tail import SCHEMA, Span, TailReader, head_of, line_end_after, lines_between
 
 SPAN_BYTES = 32 << 20
@@ -94,7 +94,7 @@ class BacklogSource(DataSource):
 def plan(spark: SparkSession, sources: DataFrame, selection: Selection) -> DataFrame:
     """file_path, end and head of the selection's files that have whole lines. The driver opens them as the stream's planning does."""
     directories = [r["directory"] for r in sources.select("directory").collect()]
-    found = TailReader({"directories": json.dumps(directories)}).latestOffset()
+    found = TailReader({"directories": json.dumps(directories), "pattern": name_glob(selection)}).latestOffset()
     rows = spark.createDataFrame([(path, end, head) for path, (end, head, _) in found.items()], "file_path string, end bigint, head string")
     return rows.where(file_name_matches(base_name(F.col("file_path")), selection))
 

@@ -21,7 +21,7 @@ from logweft.operators.timeline_store import BatchLog, TimelineStore
 from logweft.operators.view import column_schema, event_json, snapshot_json
 from logweft.plans.config import LogFilter, ParserConfig, Selection
 from logweft.sources import shared_files
-from logweft.sources.files import file_name_matches, with_source
+from logweft.sources.files import file_name_matches, name_glob, with_source
 from logweft.sources.matrix import resolve_sources
 from logweft.streaming.backlog import has_seeds, read_backlog
 from logweft.streaming.tail import GONE, SEED, TailSource
@@ -39,12 +39,12 @@ NOTHING = (0, None, 0, None, None, None, None, None)
 
 
 def tail_lines(spark: SparkSession, sources: DataFrame, selection: Selection, **options) -> DataFrame:
-    """Lines appended to the matching files of the sources, as they come."""
+    """Lines appended to the matching files of the sources, as they come. Files of other names aren't opened."""
     spark.dataSource.register(TailSource)
     rows = sources.collect()  # a row for each share of a selection; as a local table it can stand in a streaming plan
     directories = [r["directory"] for r in rows]
     sources = spark.createDataFrame(rows, sources.schema)
-    lines = spark.readStream.format("logtail").options(directories=json.dumps(directories), **options).load()
+    lines = spark.readStream.format("logtail").options(**{"directories": json.dumps(directories), "pattern": name_glob(selection), **options}).load()
     return with_source(lines.where(file_name_matches(F.col("file_name"), selection)), sources)
 
 

@@ -1,3 +1,4 @@
+import fnmatch
 import json
 import os
 import random
@@ -5,7 +6,9 @@ import random
 import pandas as pd
 import pytest
 
+from logweft.plans.config import Selection
 from logweft.sources import matrix
+from logweft.sources.files import name_glob
 from logweft.streaming import backlog, live
 from logweft.streaming.tail import GONE, SEED, TailReader
 from tests.test_streaming import NAME, SELECTION, append, batch, drain, event, share  # noqa: F401
@@ -110,6 +113,19 @@ def test_files_change_between_the_backlog_and_the_stream(spark, share, monkeypat
     feed.unsubscribe()
 
 
+def test_only_files_of_the_selection_are_opened(spark, share):  # noqa: F811
+    logs, sources, _ = share
+    wanted = ["app-UI.2026-07-29-3.log", "APP-fwk.2026-07-29-0.LOG"]
+    for name in [*wanted, "APP-ui.2026-07-28-0.log", "OTHER-ui.2026-07-29-0.log", "APP-ui.2026-07-29-0.log.gz", "xAPP-ui.2026-07-29-0.log"]:
+        append(logs / name, event(1))
+    found = TailReader({"directories": json.dumps([str(logs)]), "pattern": name_glob(SELECTION)}).latestOffset()
+    assert sorted(map(os.path.basename, found)) == sorted(wanted)
+    assert sorted(os.path.basename(r["file_path"]) for r in backlog.plan(spark, sources, SELECTION).collect()) == sorted(wanted)
+    assert fnmatch.fnmatchcase("\u212aIO\u017f-ui.2026-07-29-1.log", name_glob(Selection("E", "C", "back", "kios", "2026-07-29")))
+    odd = Selection("E", "C", "back", "a[1]*é?", "2026-07-29")
+    assert fnmatch.fnmatchcase("A[1]*É?-serveur.2026-07-29-1.log", name_glob(odd)) and not fnmatch.fnmatchcase("A1xé?-ui.2026-07-29-1.log", name_glob(odd))
+
+
 def test_a_file_that_cannot_be_read_has_no_seed(spark, share):  # noqa: F811
     logs, sources, tmp = share
     append(logs / NAME, event(1) + event(2))
