@@ -10,8 +10,10 @@ A split's lines are in order within its task, as Spark's file scan gives them; l
 A table that deals a split over several tasks may be folded, too, if each has a stretch of its own: the parts are
 ordered by their first position, and overlapping ones are an error.
 
-The fold holds, by split of the task, one open event; everything else goes on with the batch. `stitch_staged` writes
-the folded rows once, so that events, rejected lines and counts all come from a single scan of the text.
+The fold holds the open events of the `OPEN_SPLITS` splits that had lines last; everything else goes on with the batch.
+A split that is let go before its end is a part of its split, as if a task had ended there: should more of its lines
+come, they are the next part. `stitch_staged` writes the folded rows once, so that events, rejected lines and counts all
+come from a single scan of the text.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from logweft.sources.staging import remove, stage
 
 #: So many rows of counts, one for each split, are broadcast at most; beyond it they are joined by a shuffle.
 MOST_SPLITS = 100_000
+#: A task holds so many splits that may go on. Of a file scan one does, or as many as there are files that take turns.
+OPEN_SPLITS = 256
 _OWN = "kind string, chunk bigint, first bigint, end bigint, row bigint, head bigint, n_lines bigint, n_headers bigint, n_lead bigint, n_bytes bigint, last boolean, message string, lines array<string>"
 _NEVER = 1 << 62
 
@@ -82,9 +86,10 @@ class _Fold:
         for k in [*keys, "chunk"]:
             one = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
             code = np.unique(code * (one.max() + 1) + one, return_inverse=True)[1]
+        came = np.arange(batch.num_rows)
         if (code[1:] < code[:-1]).any():  # files take turns
-            order = np.argsort(code, kind="stable")
-            batch, code = batch.take(pa.array(order)), code[order]
+            came = np.argsort(code, kind="stable")
+            batch, code = batch.take(pa.array(came)), code[came]
         n = batch.num_rows
         is_header = batch.column("is_header").to_numpy(zero_copy_only=False)
         position = batch.column("_pos").to_numpy(zero_copy_only=False)
@@ -99,7 +104,8 @@ class _Fold:
         base, first, heads = (np.zeros(len(begins), np.int64) for _ in range(3))
         run_of = np.searchsorted(runs, begins)
         closed, opened, lead = [], [], []
-        for i, name in enumerate(zip(*names)):
+        names = list(zip(*names))
+        for i, name in enumerate(names):
             b, e = int(begins[i]), int(ends[i])
             s = self.splits.get(name)
             if s is None:
@@ -143,13 +149,17 @@ class _Fold:
             at = np.array([b for _, b, _ in lead])
             p = np.array([i for i, _, _ in lead])
             yield self._batch(batch.take(pa.array(at)), kind="lead", first=first[p], row=base[p], n_lines=[e - b for _, b, e in lead], lines=[texts.slice(b, e - b).to_pylist() for _, b, e in lead])
+        for i in np.argsort(came[ends - 1]):  # those with the last lines stand last
+            self.splits[names[i]] = self.splits.pop(names[i])
+        yield from self.let_go(OPEN_SPLITS)
 
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        yield from self._closed([(s, True) for s in self.splits.values()])
-        if self.splits:
-            all_ = list(self.splits.values())
-            starts = pa.Table.from_batches([s.start for s in all_]).combine_chunks().to_batches()[0]
-            yield self._batch(starts, kind="split", **{c: [getattr(s, c) for s in all_] for c in ("first", "end", "n_lines", "n_headers", "n_lead", "n_bytes")})
+    def let_go(self, held: int = 0) -> Iterator[pa.RecordBatch]:
+        """Open events and counts of all splits but the last ``held``."""
+        gone = [self.splits.pop(name) for name in list(self.splits)[: max(0, len(self.splits) - held)]]
+        yield from self._closed([(s, True) for s in gone])
+        if gone:
+            starts = pa.Table.from_batches([s.start for s in gone]).combine_chunks().to_batches()[0]
+            yield self._batch(starts, kind="split", **{c: [getattr(s, c) for s in gone] for c in ("first", "end", "n_lines", "n_headers", "n_lead", "n_bytes")})
 
 
 def fold_splits(lines: DataFrame, keys: tuple[str, ...] = KEYS, chunk: str = "chunk", pos: str = "pos", value: str = "value", wanted: Column | None = None, max_continuation_lines: int | None = None) -> DataFrame:
@@ -174,7 +184,7 @@ def fold_splits(lines: DataFrame, keys: tuple[str, ...] = KEYS, chunk: str = "ch
         for b in batches:
             if b.num_rows:
                 yield from fold.add(b, list(keys))
-        yield from fold.rest()
+        yield from fold.let_go()
 
     return rows.mapInArrow(run, schema)
 

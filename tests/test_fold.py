@@ -76,6 +76,24 @@ def test_parts_that_overlap_are_an_error(spark):
         fold.stitch_staged(parse_lines(mixed)).rejected.collect()
 
 
+def test_a_task_holds_a_bounded_number_of_splits(spark):
+    """More files take turns than a task holds open: splits are let go, come back, and nothing of them is lost."""
+    n = fold.OPEN_SPLITS + 60
+    rows = [(f"s{f % 2}", f"/d/{f}.log", HEADER % (i, f % 1000, "INFO", f, i) if (i + f) % 4 == 0 else f"  at x{i}", i) for i in range(8) for f in range(n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")
+    try:
+        schema = "source_id string, file_path string, value string, pos bigint"
+        lines = parse_lines(spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), schema).withColumns({"source_name": F.lit("n"), "chunk": F.lit(0)}))
+        got = fold.stitch_staged(lines)
+        want = stitch.stitch(stitch.number_by_window(lines))
+        assert listed(got.events, *EVENT) == listed(want, *EVENT)
+        lost = stitch.rejects(stitch.number_by_window(lines))
+        assert listed(got.rejected, "file_path", "line_no", "value") == listed(lost, "file_path", "line_no", "value")
+        assert got.splits.count() > n and got.splits.agg(F.sum("n_lines")).first()[0] == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_nothing(spark):
     done = fold.stitch_staged(numbered(spark, [], 5))
     assert done.events.count() == 0 and done.rejected.count() == 0 and done.splits.count() == 0
