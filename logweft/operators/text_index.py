@@ -35,8 +35,8 @@ def _numbers(texts: pa.Array) -> np.ndarray:
     return (data[:-2] << 14 | data[1:-1] << 7 | data[2:])[fine]
 
 
-def postings(events: DataFrame) -> DataFrame:
-    """gram and bucket of all events (with their ``bucket``), each pair once, sorted by gram so that a look-up reads little."""
+def postings(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """gram and bucket of all events (with their ``bucket``) and of the ``known`` postings, each pair once, sorted by gram so that a look-up reads little."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks: dict[int, np.ndarray] = {}
@@ -58,7 +58,8 @@ def postings(events: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    pairs = events.select("bucket", folded(searchable()).alias("hay")).mapInArrow(run, SCHEMA).distinct()
+    pairs = events.select("bucket", folded(searchable()).alias("hay")).mapInArrow(run, SCHEMA)
+    pairs = (pairs if known is None else pairs.unionByName(known.select("gram", "bucket"))).distinct()
     return pairs.repartitionByRange("gram", "bucket").sortWithinPartitions("gram", "bucket")
 
 

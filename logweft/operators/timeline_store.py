@@ -4,7 +4,7 @@ Layout under a folder that all readers and the writer share:
 
 - ``deltas/<batch>-<attempt>``: the events of a batch, as they were then. ``commits/<batch>`` names the attempt that
   counts; it is replaced as a whole, so a batch that is replayed replaces itself and no reader sees half of one.
-- ``base/<compaction>/bucket=<b>``: events by bucket of time (`BUCKET` seconds), newest versions alone, sorted by time.
+- ``base/<compaction>/bucket=<b>``: events by bucket of time (`BUCKET` seconds), newest versions alone, each file sorted by time.
 - ``manifests/<number>``: which folder holds each bucket, its rows by level, and up to which batch deltas are in. The
   highest number counts. A compaction writes only the buckets that its deltas touch, into a new folder, and the
   manifest last: what a crash leaves before that is not part of any manifest, and the next compaction does it again.
@@ -29,6 +29,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logweft.functions.columns import event_time
 from logweft.functions.literals import filter_tree, grams_of, holds
@@ -41,6 +42,8 @@ from logweft.plans.config import DEFAULT_PAGE, LogFilter, page_size
 from logweft.sources import shared_files
 
 BUCKET = 3600
+#: So many rows of a bucket meet in one place of a compaction's shuffle, and go to one file.
+PIECE = 100_000
 #: The bucket of events without a time.
 TIMELESS = -(1 << 40)
 EVENT = "event_id string, timestamp string, event_ts timestamp_ntz, received_at timestamp, source_id string, source_name string, file_path string, level string, message string, fields map<string,string>, source_ord bigint, line_no bigint, generation int"
@@ -112,10 +115,12 @@ class TimelineStore(BatchLog):
         new = {b: f for b, f in self.commits(old.through).items() if through is None or b <= through}
         if not new:
             return old
-        deltas = self.deltas(new).withColumn("bucket", bucket_of(F.col("event_ts"), self.width))
-        touched = [r[0] for r in deltas.select("bucket").distinct().collect()]  # hours that a few batches have
-        before = self._base(old, [b for b in touched if b in old.buckets])
-        return self._publish(old, latest_versions(before.unionByName(deltas.drop("bucket"))), touched, max(new))
+        deltas = self._bucketed(self.deltas(new))
+        sizes = {b: n for b, n in deltas.groupBy("bucket").count().collect()}  # hours that a few batches have
+        held = [b for b in sizes if b in old.buckets]
+        sizes |= {b: sizes[b] + old.rows(b) for b in held}
+        rows = self._newest(self._bucketed(self._base(old, held)).unionByName(deltas), sizes)
+        return self._publish(old, rows, list(sizes), max(new), old.through)
 
     def retain_newest(self, n: int) -> Manifest:
         """Keep the newest ``n`` events. Whole buckets go by their counts; only the one at the cut is read and written."""
@@ -128,7 +133,8 @@ class TimelineStore(BatchLog):
                 left -= rows
                 continue
             cut = Manifest(old.number, old.through, kept)
-            return self._publish(cut, self._base(old, [b]).orderBy(*ordering()).limit(left), [b] if left else [], old.through)
+            rows = self._bucketed(self._base(old, [b]).orderBy(*ordering()).limit(left))
+            return self._publish(cut, rows.repartitionByRange("bucket", "event_ts", "event_id"), [b] if left else [], old.through)
         return old
 
     def vacuum(self, keep: int = 1) -> None:
@@ -151,16 +157,31 @@ class TimelineStore(BatchLog):
                 if name.isdigit() and old(int(name)):
                     shared_files.delete(self.spark, f"{self.path}/{folder}/{name}")
 
-    def _publish(self, old: Manifest, rows: DataFrame, touched: list[int], through: int) -> Manifest:
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", bucket_of(F.col("event_ts"), self.width))
+
+    def _newest(self, rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+        """The newest version of every event, in one shuffle: versions meet by bucket, or by piece of a bucket that has more than `PIECE` rows."""
+        large, pieces = [(b, -(-n // PIECE)) for b, n in sizes.items() if n > PIECE], F.lit(1)
+        if large:  # a row for each
+            rows = rows.join(F.broadcast(self.spark.createDataFrame(large, "bucket bigint, pieces bigint")), "bucket", "left")
+            pieces = F.coalesce("pieces", F.lit(1))
+        dealt = rows.withColumn("piece", F.pmod(F.xxhash64("event_id"), pieces)).repartition("bucket", "piece")
+        by = Window.partitionBy("bucket", "piece", "event_id").orderBy(F.desc("version"))
+        return dealt.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r", "piece", "pieces")
+
+    def _publish(self, old: Manifest, rows: DataFrame, touched: list[int], through: int, indexed: int = -1) -> Manifest:
+        """A manifest with ``rows`` in place of the buckets ``touched``. Of versions up to ``indexed``, the old postings have the grams: those of a replaced version stay, and only add a bucket to look at."""
         folder = f"{old.number + 1:012d}-{uuid.uuid4().hex}"
         at = f"{self.path}/base/{folder}"
-        out = rows.withColumn("bucket", bucket_of(F.col("event_ts"), self.width))
-        out.repartitionByRange("bucket", "event_ts", "event_id").sortWithinPartitions("bucket", "event_ts").write.partitionBy("bucket").parquet(at)
         buckets = dict(old.buckets)
         if touched:
-            text_index.postings(self.spark.read.schema(f"{self.versioned}, bucket bigint").parquet(at)).write.parquet(f"{self.path}/grams/{folder}")
-            counts: dict[int, dict[str, int]] = {}
+            rows.sortWithinPartitions("bucket", "event_ts").write.partitionBy("bucket").parquet(at)
             written = self.spark.read.schema(f"{self.versioned}, bucket bigint").parquet(at)
+            held = [b for b in touched if b in old.buckets]
+            fresh = written.where(F.col("version") > indexed) if held else written
+            text_index.postings(fresh, self._index(old, held) if held else None).write.parquet(f"{self.path}/grams/{folder}")
+            counts: dict[int, dict[str, int]] = {}
             for b, level, n in written.groupBy("bucket", F.coalesce("level", F.lit("")).alias("level")).count().collect():  # buckets x levels
                 counts.setdefault(b, {})[level] = n
             buckets |= {b: (folder, c) for b, c in counts.items()}
@@ -183,6 +204,13 @@ class TimelineStore(BatchLog):
     def _base(self, manifest: Manifest, buckets: list[int]) -> DataFrame:
         return self._table([f"{self.path}/base/{manifest.buckets[b][0]}/bucket={b}" for b in buckets])
 
+    def _index(self, manifest: Manifest, buckets: list[int]) -> DataFrame:
+        """The postings of these buckets."""
+        folders = sorted({manifest.buckets[b][0] for b in buckets})
+        parts = [self.spark.read.schema(text_index.SCHEMA).parquet(f"{self.path}/grams/{f}").withColumn("folder", F.lit(f)) for f in folders]
+        held = self.spark.createDataFrame([(b, manifest.buckets[b][0]) for b in buckets], "bucket bigint, folder string")
+        return reduce(DataFrame.unionByName, parts).join(F.broadcast(held), ["bucket", "folder"])  # a row for each bucket of the manifest
+
     def _view(self, manifest: Manifest, buckets: list[int], floor: int | None, commits: dict[int, str] | None = None) -> DataFrame:
         """The newest versions of these buckets' events, and of the deltas' from the bucket ``floor`` on."""
         base = self._base(manifest, buckets)
@@ -204,11 +232,7 @@ class TimelineStore(BatchLog):
         tree = filter_tree(wanted, is_pattern)
         if tree is None or not order:
             return order
-        folders = sorted({manifest.buckets[b][0] for b in order})
-        parts = [self.spark.read.schema(text_index.SCHEMA).parquet(f"{self.path}/grams/{f}").withColumn("folder", F.lit(f)) for f in folders]
-        held = self.spark.createDataFrame([(b, manifest.buckets[b][0]) for b in order], "bucket bigint, folder string")
-        index = reduce(DataFrame.unionByName, parts).join(F.broadcast(held), ["bucket", "folder"])  # a row for each bucket of the manifest
-        has = text_index.found(index, grams_of(tree))
+        has = text_index.found(self._index(manifest, order), grams_of(tree))
         return [b for b in order if holds(tree, has.get(b, set()))]
 
     def search(self, wanted: LogFilter) -> DataFrame:

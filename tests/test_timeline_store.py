@@ -138,3 +138,34 @@ def test_retention_cuts_by_counts(store, monkeypatch):
     store.vacuum()
     assert store.events().count() == 0
     assert store.newest().rows.count() == 0
+
+
+def test_a_compaction_is_one_shuffle_and_cuts_large_buckets_in_pieces(store, monkeypatch):
+    from logweft.operators import timeline_store
+
+    monkeypatch.setattr(timeline_store, "PIECE", 10, raising=False)
+    plans, publish = [], store._publish
+    monkeypatch.setattr(store, "_publish", lambda old, rows, *rest: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), publish(old, rows, *rest))[1])
+    batches = [[event(i, i % 70) for i in range(120)], [event(i, i % 70, message=f"grown {i}") for i in range(0, 140, 3)] + [event(500, None)]]
+    for n, rows in enumerate(batches):
+        store.append(df(store, rows), n)
+        store.compact()
+        assert keyed(store.events()) == expected(batches[: n + 1])
+    assert all(plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "SortAggregate" not in plan for plan in plans)
+    now = store.manifest()
+    assert sum(now.rows(b) for b in now.buckets) == len(expected(batches))
+
+
+def test_grams_of_what_was_indexed_are_kept_and_not_read_again(store, monkeypatch):
+    from logweft.operators import text_index
+
+    read, postings = [], text_index.postings
+    monkeypatch.setattr(text_index, "postings", lambda events, *known: (read.append(events.count()), postings(events, *known))[1])
+    store.append(df(store, [event(i, i * 10, message="needle" if i == 4 else None) for i in range(30)]), 0)
+    store.compact()
+    store.append(df(store, [event(3, 30, message="haystack")]), 1)
+    store.compact()
+    assert read == [30, 1]
+    for text, ids in (("NEEDLE", ["e00004"]), ("haystack", ["e00003"]), ("message 29", ["e00029"])):
+        assert [r["event_id"] for r in store.search(LogFilter(text=text)).collect()] == ids
+        assert len(store.candidates(store.manifest(), LogFilter(text=text))) == 1
