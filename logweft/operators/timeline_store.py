@@ -111,11 +111,17 @@ class TimelineStore(BatchLog):
 
     def compact(self, through: int | None = None) -> Manifest:
         """Bring the batches up to ``through`` (all, by default) into the base: the buckets that they touch are written anew."""
-        old = self.manifest()
+        return self._compact(self.manifest(), through)
+
+    def _compact(self, old: Manifest, through: int | None = None, floor: int | None = None) -> Manifest:
+        """Events older than the bucket ``floor``, if there is one, are left out."""
         new = {b: f for b, f in self.commits(old.through).items() if through is None or b <= through}
         if not new:
             return old
         deltas = self._bucketed(self.deltas(new))
+        if floor is not None:
+            deltas = deltas.where(F.col("bucket") >= floor)
+            old = Manifest(old.number, old.through, {b: x for b, x in old.buckets.items() if b >= floor})
         sizes = {b: n for b, n in deltas.groupBy("bucket").count().collect()}  # hours that a few batches have
         held = [b for b in sizes if b in old.buckets]
         sizes |= {b: sizes[b] + old.rows(b) for b in held}
@@ -123,8 +129,18 @@ class TimelineStore(BatchLog):
         return self._publish(old, rows, list(sizes), max(new), old.through)
 
     def retain_newest(self, n: int) -> Manifest:
-        """Keep the newest ``n`` events. Whole buckets go by their counts; only the one at the cut is read and written."""
-        old, left = self.compact(), n
+        """Keep the newest ``n`` events. Whole buckets go by their counts; only the one at the cut is read and written.
+
+        The base's counts are of different events, and batches since can only add some. So the buckets that have ``n``
+        of them are enough, and what is older goes before it is compacted.
+        """
+        old, sure, floor = self.manifest(), 0, None
+        for b in old.newest_first():
+            sure += old.rows(b)
+            if sure >= n:
+                floor = b
+                break
+        old, left = self._compact(old, floor=floor), n
         kept: dict[int, tuple[str, dict[str, int]]] = {}
         for b in old.newest_first():
             rows = old.rows(b)

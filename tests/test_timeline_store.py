@@ -169,3 +169,20 @@ def test_grams_of_what_was_indexed_are_kept_and_not_read_again(store, monkeypatc
     for text, ids in (("NEEDLE", ["e00004"]), ("haystack", ["e00003"]), ("message 29", ["e00029"])):
         assert [r["event_id"] for r in store.search(LogFilter(text=text)).collect()] == ids
         assert len(store.candidates(store.manifest(), LogFilter(text=text))) == 1
+
+
+def test_retention_cuts_before_it_compacts(store, monkeypatch):
+    rows = [event(i, i * 20) for i in range(100)] + [event(200, None)]
+    late = [event(10, 200, message="old and grown"), event(300, 5, message="old and new"), event(95, 1900, message="grown"), event(301, 2400, message="the newest")]
+    store.append(df(store, rows), 0)
+    store.compact()
+    store.append(df(store, late), 1)
+    wrote, publish = [], store._publish
+    monkeypatch.setattr(store, "_publish", lambda old, rows, touched, *rest: (wrote.append(list(touched)), publish(old, rows, touched, *rest))[1])
+    store.retain_newest(20)
+    cut = store._bucket(START + timedelta(minutes=1500))
+    assert keyed(store.events()) == expected([rows, late])[:20] and min(b for touched in wrote for b in touched) > cut
+    assert store.manifest().through == 1 and min(store.manifest().buckets) > cut
+    store.append(df(store, [event(302, 2500)]), 2)
+    store.retain_newest(1000)  # more than there are
+    assert keyed(store.events()) == [("e00302", "message 302"), *expected([rows, late])[:20]]
