@@ -227,8 +227,8 @@ class TimelineStore(BatchLog):
         held = self.spark.createDataFrame([(b, manifest.buckets[b][0]) for b in buckets], "bucket bigint, folder string")
         return reduce(DataFrame.unionByName, parts).join(F.broadcast(held), ["bucket", "folder"])  # a row for each bucket of the manifest
 
-    def _view(self, manifest: Manifest, buckets: list[int], floor: int | None, commits: dict[int, str] | None = None) -> DataFrame:
-        """The newest versions of these buckets' events, and of the deltas' from the bucket ``floor`` on."""
+    def _view(self, manifest: Manifest, buckets: list[int], floor: int | None, commits: dict[int, str] | None = None, top: int | None = None) -> DataFrame:
+        """The newest versions of these buckets' events, and of the deltas' from the bucket ``floor`` to ``top``."""
         base = self._base(manifest, buckets)
         commits = self.commits(manifest.through) if commits is None else commits
         if not commits:
@@ -236,6 +236,8 @@ class TimelineStore(BatchLog):
         deltas = self.deltas(commits)
         if floor is not None:
             deltas = deltas.where(bucket_of(F.col("event_ts"), self.width) >= floor)
+        if top is not None:
+            deltas = deltas.where(bucket_of(F.col("event_ts"), self.width) <= top)
         return latest_versions(base.unionByName(deltas)).drop("version")
 
     def candidates(self, manifest: Manifest, wanted: LogFilter | None) -> list[int]:
@@ -277,7 +279,7 @@ class TimelineStore(BatchLog):
             take += 1  # rows of the cursor's bucket before the cursor count, too
         while True:
             floor = order[take - 1] if 0 < take < len(order) else None
-            rows = self._view(now, order[:take], floor, commits)
+            rows = self._view(now, order[:take], floor, commits, top)
             rows = reduce(DataFrame.where, passes, rows) if passes else rows
             page = read_page(rows.orderBy(*ordering()).limit(n + 1), n)
             if page.known or take >= len(order):

@@ -20,7 +20,7 @@ from logweft.operators.parse import parse_lines
 from logweft.operators.timeline_store import TimelineStore
 from logweft.plans.config import DEFAULT_PATTERN, FILE_KINDS, LogFilter, ParserConfig, Selection, toggled, until_input
 from logweft.sources import files, matrix, shared_files
-from logweft.sources.staging import staging_folder
+from logweft.sources.staging import stage, staging_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -395,7 +395,7 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[TimelineStore, DataFrame]:
     """The events of `log_events` in a stored timeline: all but some in a first batch, which is compacted, then those and a later version of others."""
     store = TimelineStore(spark, f"{staging_folder(spark)}/timeline-{uuid.uuid4().hex}")
-    events = _sent(spark, sf_dir)
+    events, _ = stage(_sent(spark, sf_dir), "sent")  # parsed once
     number = F.regexp_extract("message", r"requestId=R(\d+)", 1).cast("long")
     store.append(events.where(number % 10 != 3), 0)
     store.compact()

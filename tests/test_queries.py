@@ -21,3 +21,9 @@ def test_plans_prune_and_push_down(spark, small):
     assert "TakeOrderedAndProject" in plan and "props" not in plan
     plan = log_queries.filter_levels(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "props" not in plan
+
+
+def test_a_stored_query_parses_once(spark, small):
+    _, events = log_queries._stored(spark, small)
+    plan = events._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan and "Exchange" not in plan and "FileScan" in plan

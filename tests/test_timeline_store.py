@@ -186,3 +186,12 @@ def test_retention_cuts_before_it_compacts(store, monkeypatch):
     store.append(df(store, [event(302, 2500)]), 2)
     store.retain_newest(1000)  # more than there are
     assert keyed(store.events()) == [("e00302", "message 302"), *expected([rows, late])[:20]]
+
+
+def test_a_page_takes_late_rows_of_its_buckets_only(store):
+    store.append(df(store, [event(i, i * 60) for i in range(20)]), 0)
+    store.compact()
+    late = [event(100 + i, i * 60) for i in range(20)] + [event(7, 7 * 60, message="grown")]
+    store.append(df(store, late), 1)
+    at = store._bucket(START + timedelta(minutes=7 * 60))
+    assert sorted(keyed(store._view(store.manifest(), [at], at, None, at))) == [("e00007", "grown"), ("e00107", "message 107")]
