@@ -1,8 +1,9 @@
 """Phrases whose words come together more often than by chance, mined with weighted acyclic automata.
 
-Texts are split into pieces and words once and written as numbers (`code_texts`). Words are counted, then pairs of
-frequent words by hash, and bit maps of what is frequent enough for a phrase are made of both (`frequent_bits`; they may
-let others through, never one too few). Then, by slice of texts:
+Words are counted by hash, then pairs of frequent words, and bit maps of what is frequent enough for a phrase are made of
+both (`frequent_bits`; they may let others through, never one too few). Each of these, and step 1, reads the texts anew
+and splits them slice by slice, so no row is larger than a text or a slice's share of a range; the rows must be the same
+each time. Then, by slice of texts:
 
 1. *Shard transducers.* All word sequences of 1 to 5 words whose pairs are frequent are counted as paths from sorted
    keys, level by level, and each range of prefixes (by a hash of language and first two words, the first alone for
@@ -15,7 +16,7 @@ let others through, never one too few). Then, by slice of texts:
    carries the count of the longest-known phrase around the part, so its range learns which of its phrases a longer
    one covers; continuations on the same path tell the rest (a covering phrase covers by a single word more, too).
 
-The number of ranges grows with the words, so a range holds about `RANGE_WORDS` at any size, and repeated sequences
+The number of ranges grows with the texts' bytes, so a range holds about `RANGE_WORDS` at any size, and repeated sequences
 are counted in their slice before anything is shuffled: a hot passage sends one path a slice.
 
 Defined cases: null texts are empty; a null language is ``und``; texts of any length are read whole; equal rows count
@@ -25,7 +26,7 @@ shortest first part; ties of phrases to the greater count, then the smaller phra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +40,7 @@ from logweft.llm.store import broadcast_if_small, materialize
 from logweft.llm.text import flat, mix64, slices, split_words
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
-RANGE_WORDS, SLICE = 2 << 20, 4 << 20
+RANGE_WORDS, BYTES_A_WORD, SLICE = 2 << 20, 6, 4 << 20
 #: Bits for each frequent word, and the greatest size of the map as a power of two (8 MB).
 BITS_A_WORD, MOST_BITS = 16, 26
 
@@ -68,6 +69,7 @@ class Slice:
     names: pa.Array  # by number, the word
     word: np.ndarray
     glued: np.ndarray
+    _hashes: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def read(cls, batch: pa.RecordBatch) -> Slice:
@@ -82,29 +84,34 @@ class Slice:
         if len(word):
             glued[:-1] = (owner[1:] == owner[:-1]) & (ends[found.begin[1:]] == ends[found.begin[:-1]])
         key = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner] * max(1, len(words)) + word
-        spoken, number = np.unique(key, return_inverse=True)
+        number, spoken = pd.factorize(key)
         tongue, name = np.divmod(spoken, max(1, len(words)))
         return cls(langs.dictionary, tongue, words.cast(pa.string()).take(pa.array(name)), number, glued)
 
-    def row(self) -> dict:
-        return {"langs": self.langs.to_pylist(), "names": "\n".join(self.names.to_pylist()), "n_names": len(self.names), "n_words": len(self.word), "tongue": _packed(self.tongue), "word": _packed(self.word), "glued": np.packbits(self.glued).tobytes()}
-
-    @classmethod
-    def of(cls, row: dict) -> Slice:
-        names = pa.array(row["names"].split("\n") if row["n_names"] else [], pa.string())
-        glued = np.unpackbits(np.frombuffer(row["glued"], np.uint8), count=row["n_words"]).astype(bool)
-        return cls(pa.array(row["langs"], pa.string()), _unpacked(row["tongue"], row["n_names"]), names, _unpacked(row["word"], row["n_words"]), glued)
+    def totals(self) -> np.ndarray:
+        """By language, the number of words."""
+        return np.bincount(self.tongue[self.word], minlength=len(self.langs))
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """By number, hashes of the language and of the word."""
-        return _hashed(self.langs)[self.tongue], _hashed(self.names)
+        if self._hashes is None:
+            self._hashes = _hashed(self.langs)[self.tongue], _hashed(self.names)
+        return self._hashes
+
+    def words(self, ranges: int) -> np.ndarray:
+        """By number, the `_numbered` hash of language and word."""
+        return _numbered(_lead(*self.hashes()), ranges)
 
     def pairs(self, at: np.ndarray, ranges: int) -> np.ndarray:
-        """A number for the pair of words at each place and the next: its range in the upper half, 32 bits of its hash in the lower."""
+        """The `_numbered` hash of the pair of words at each place and the next."""
         lang, word = self.hashes()
         lead = _lead(lang, word)
-        pair = mix64(lead[self.word[at]] * np.uint64(31) + word[self.word[at + 1]], 2)
-        return (pair % np.uint64(ranges)) << np.uint64(32) | pair >> np.uint64(32)
+        return _numbered(mix64(lead[self.word[at]] * np.uint64(31) + word[self.word[at + 1]], 2), ranges)
+
+
+def _numbered(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash in the upper half, 32 of its bits in the lower."""
+    return (hashes % np.uint64(ranges)) << np.uint64(32) | hashes >> np.uint64(32)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -115,62 +122,64 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, "<i4" if len(blob) == 4 * n else "<i8").astype(np.int64)
 
 
-def code_texts(docs: DataFrame) -> DataFrame:
-    """A row for each slice of texts, so that they are split and numbered once."""
-    kinds = [("langs", pa.list_(pa.string())), ("names", pa.string()), ("n_names", pa.int32()), ("n_words", pa.int32()), *((x, pa.binary()) for x in ("tongue", "word", "glued"))]
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+    return map(Slice.read, slices(batches, limit=SLICE))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=SLICE):
-            yield pa.RecordBatch.from_pylist([Slice.read(b).row()], pa.schema(kinds))
 
-    return docs.mapInArrow(run, "langs array<string>, names string, n_names int, n_words int, tongue binary, word binary, glued binary")
+def frequent(texts: DataFrame, keys: Callable[[Slice], tuple[np.ndarray, np.ndarray]], least: int) -> DataFrame:
+    """place: a hash of each of a slice's ``keys`` (`_numbered` hashes and how often each comes) that comes ``least`` times in all slices.
 
+    Keys that share a number are counted as one, so none is missed. A slice sends each range its numbers as one packed
+    row; a count of ``least`` decides by itself, so none is sent greater and most fit a byte. With the first of these
+    rows go the words of each language: in other rows of the result, which have no place, lang and n of some slices.
+    """
+    width = np.uint8 if least < 256 else np.uint32
+    kinds = pa.schema([("rng", pa.int32()), ("key", pa.binary()), ("n", pa.binary()), ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
-    for b in batches:
-        for i in range(b.num_rows):  # a few rows of about `SLICE` bytes
-            yield Slice.of(b.slice(i, 1).to_pylist()[0])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _read(batches):
+            key, times = keys(s)
+            order = np.argsort(key)
+            key, times = key[order], times[order]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            n = np.minimum(np.add.reduceat(times, at), least).astype(width) if len(at) else times
+            low, home = key[at].astype(np.uint32), (key[at] >> np.uint64(32)).astype(np.int32)
+            begin = np.flatnonzero(np.r_[True, home[1:] != home[:-1]][: len(home)]).tolist()
+            spans = list(zip(begin, [*begin[1:], len(home)]))
+            more = [s.langs.to_pylist(), *[[]] * len(spans)], [s.totals().tolist(), *[[]] * len(spans)]
+            rows = [(home[a], low[a:b].tobytes(), n[a:b].tobytes()) for a, b in spans] or [(0, b"", b"")]
+            yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, (*row, *own))) for row, *own in zip(rows, *more)], kinds)
 
+    def total(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table["key"].to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, width) for x in table["n"].to_pylist()])
+        key, which = np.unique(keys, return_inverse=True)
+        often = key[np.bincount(which, counts) >= least]  # sums below 2^53 are exact
+        place = _place(np.uint64(table["rng"][0].as_py()) << np.uint64(32) | often.astype(np.uint64))
+        own = pa.table([pc.list_flatten(table[c]) for c in ("langs", "totals")], ["lang", "n"]).group_by("lang").aggregate([("n", "sum")])
+        langs, n = own["lang"].combine_chunks(), own["n_sum"].combine_chunks()
+        return pa.table([pa.concat_arrays([pa.array(place.view(np.int64)), pa.nulls(len(langs), pa.int64())]), pa.concat_arrays([pa.nulls(len(place), pa.string()), langs]), pa.concat_arrays([pa.nulls(len(place), pa.int64()), n])], ["place", "lang", "n"])
 
-def word_counts(coded: DataFrame) -> DataFrame:
-    """lang, word, place (a hash) and n of every word; the row without a word has a language's total."""
+    return texts.mapInArrow(count, "rng int, key binary, n binary, langs array<string>, totals array<bigint>").groupBy("rng").applyInArrow(total, "place bigint, lang string, n bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in _coded(batches):
-            n = np.bincount(s.word, minlength=len(s.names))
-            place = _lead(*s.hashes()).view(np.int64)
-            total = np.zeros(len(s.langs), np.int64)
-            np.add.at(total, s.tongue, n)
-            langs = pa.concat_arrays([s.langs.take(pa.array(s.tongue)), s.langs])
-            words = pa.concat_arrays([s.names, pa.nulls(len(s.langs), pa.string())])
-            yield pa.RecordBatch.from_arrays([langs, words, pa.array(np.r_[place, np.zeros(len(s.langs), np.int64)]), pa.array(np.r_[n, total])], ["lang", "word", "place", "n"])
 
-    return coded.mapInArrow(run, "lang string, word string, place bigint, n bigint").groupBy("lang", "word").agg(F.first("place").alias("place"), F.sum("n").alias("n"))
+def frequent_words(texts: DataFrame, ranges: int, least: int) -> DataFrame:
+    return frequent(texts, lambda s: (s.words(ranges), np.bincount(s.word, minlength=len(s.names))), least)
 
 
-def frequent_pairs(coded: DataFrame, bits: np.ndarray, ranges: int, least: int) -> DataFrame:
-    """place: a hash of each pair of frequent words that comes ``least`` times (pairs that share one are counted as one, so none is missed)."""
+def frequent_pairs(texts: DataFrame, bits: np.ndarray, ranges: int, least: int) -> DataFrame:
+    """As `frequent_words`, of pairs of words that are in ``bits``."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in _coded(batches):
-            frequent = _has_bit(bits, _lead(*s.hashes()))[s.word]
-            at = np.flatnonzero(s.glued[:-1] & frequent[:-1] & frequent[1:])
-            pair, n = np.unique(s.pairs(at, ranges), return_counts=True)
-            home = (pair >> np.uint64(32)).astype(np.int32)
-            begin = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.zeros(0, np.int64)
-            low, n = pair.astype(np.uint32), n.astype(np.uint8 if len(n) and n.max() < 256 else np.uint32)
-            spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(home)]))
-            yield pa.RecordBatch.from_arrays([pa.array(home[begin]), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (low, n))], ["rng", "pair", "n"])
+    def keys(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        known = _has_bit(bits, _place(s.words(ranges)))[s.word]
+        pair = s.pairs(np.flatnonzero(s.glued[:-1] & known[:-1] & known[1:]), ranges)
+        return pair, np.ones(len(pair), np.int64)
+
+    return frequent(texts, keys, least)
 
-    def total(table: pa.Table) -> pa.Table:
-        pairs = [np.frombuffer(x, np.uint32) for x in table["pair"].to_pylist()]
-        counts = [np.frombuffer(x, np.uint8 if len(x) == len(p) else np.uint32) for p, x in zip(pairs, table["n"].to_pylist())]
-        pair, which = np.unique(np.concatenate(pairs), return_inverse=True)
-        often = pair[np.bincount(which, np.concatenate(counts).astype(np.float64)) >= least]  # sums below 2^53 are exact
-        place = mix64(np.uint64(table["rng"][0].as_py()) << np.uint64(32) | often.astype(np.uint64), 7)
-        return pa.table([pa.array(place.view(np.int64))], ["place"])
 
-    return coded.mapInArrow(count, "rng int, pair binary, n binary").groupBy("rng").applyInArrow(total, "place bigint")
+def _place(numbers: np.ndarray) -> np.ndarray:
+    return mix64(numbers, 7)
 
 
 def frequent_bits(places: DataFrame, n: int) -> np.ndarray:
@@ -311,17 +320,17 @@ _FIELDS = [("rng", pa.int32()), ("langs", pa.list_(pa.string())), ("words", pa.s
 _KIND = "rng int, langs array<string>, words string, n_heads int, n_states int, n_moves int, " + ", ".join(f"{x} binary" for x in _INTS)
 
 
-def shard_transducers(coded: DataFrame, bits: np.ndarray, pair_bits: np.ndarray, ranges: int) -> DataFrame:
+def shard_transducers(texts: DataFrame, bits: np.ndarray, pair_bits: np.ndarray, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in _coded(batches):
-            frequent = _has_bit(bits, _lead(*s.hashes()))[s.word]
+        for s in _read(batches):
+            frequent = _has_bit(bits, _place(s.words(ranges)))[s.word]
             paired = s.glued & frequent
             at = np.flatnonzero(paired[:-1] & frequent[1:])
             paired[:] = False
-            paired[at] = _has_bit(pair_bits, mix64(s.pairs(at, ranges), 7))
+            paired[at] = _has_bit(pair_bits, _place(s.pairs(at, ranges)))
             yield pa.RecordBatch.from_pylist(list(transducers(s, count_paths(s, frequent, paired), ranges)), pa.schema(_FIELDS))
 
-    return coded.mapInArrow(run, _KIND)
+    return texts.mapInArrow(run, _KIND)
 
 
 def _summed(key: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -483,15 +492,15 @@ def composed(paths: DataFrame, told: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, first: int = FIRST, range_words: int = RANGE_WORDS) -> DataFrame:
     """Each language's ``first`` phrases: lang, rank, phrase, a, l, r, n and score."""
     texts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    coded = materialize(code_texts(texts), "coded")
-    words = materialize(word_counts(coded).where(F.col("word").isNull() | (F.col("n") >= least)), "words")
-    totals = words.where("word IS NULL").select("lang", F.col("n").cast("decimal(20,0)").alias("n"))
-    tongues, n_words, n_frequent = words.agg(F.count_if(F.col("word").isNull()), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)), F.count("word")).first()
-    bits = frequent_bits(words.where("word IS NOT NULL").select("place"), n_frequent)
-    ranges = 1 + n_words // range_words
-    pairs = materialize(frequent_pairs(coded, bits, ranges, least), "pairs")
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = 1 + n_bytes // (BYTES_A_WORD * range_words)
+    words = materialize(frequent_words(texts, ranges, least), "words")
+    totals = words.where("place IS NULL").groupBy("lang").agg(F.sum("n").cast("decimal(20,0)").alias("n"))
+    words, tongues = words.where("place IS NOT NULL").select("place"), totals.count()
+    bits = frequent_bits(words, words.count())
+    pairs = materialize(frequent_pairs(texts, bits, ranges, least).where("place IS NOT NULL").select("place"), "pairs")
     pair_bits = frequent_bits(pairs, pairs.count())
-    paths = materialize(count_transducers(shard_transducers(coded, bits, pair_bits, ranges), least), "paths")
+    paths = materialize(count_transducers(shard_transducers(texts, bits, pair_bits, ranges), least), "paths")
     told = answers(questions(paths, ranges), paths)
     found = composed(paths, told).join(broadcast_if_small(totals, tongues), "lang")
     scored = F.expr("transform(arrays_zip(lefts, rights), (x, k) -> struct(CAST(1000 AS DECIMAL(4,0)) * CAST(a AS DECIMAL(20,0)) * n div (CAST(x.lefts AS DECIMAL(19,0)) * CAST(x.rights AS DECIMAL(19,0))) AS score, k AS k, x.lefts AS l, x.rights AS r))")

@@ -1,11 +1,13 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
-from logweft.llm import collocations
+from logweft.llm import collocations, store
 from tests.llm.edge import edge_docs, listed, lower, nothing
 
 
@@ -72,3 +74,22 @@ def test_scores_past_64_bits(spark):
     rows = [("u v w " * 3_000, "en")] * 40
     docs = spark.createDataFrame(rows, "text string, lang string")
     assert listed(collocations.collocations(docs, least=50)) == brute(rows, 50)
+
+
+def test_no_row_between_steps_holds_a_slice(spark):
+    draw = random.Random(5)
+    rows = [(" ".join(f"{draw.choice('abcdefghij')}{draw.randrange(900)}" for _ in range(40_000)), "en") for _ in range(30)]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    root = Path(store.shared_root(spark).removeprefix("file://"))
+    old = set(root.rglob("*.parquet"))
+    assert listed(collocations.collocations(docs, least=12)) == brute(rows, 12)
+    chunks = [(g.column(i).total_uncompressed_size, g.num_rows) for p in set(root.rglob("*.parquet")) - old if p.is_file() for m in [pq.read_metadata(p)] for g in map(m.row_group, range(m.num_row_groups)) for i in range(m.num_columns)]
+    assert chunks and max(size / max(1, n) for size, n in chunks) < 16_384  # a slice of 4 MB had its words in one row
+
+
+def test_counts_of_more_than_a_byte_and_many_languages(spark):
+    rows = [(prose(s, 400), "en") for s in range(30)] + [(f"a b c{s} a b", f"l{s}") for s in range(2_000)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    for least in (2, 255, 256, 300):
+        want = brute(rows, least)
+        assert want and listed(collocations.collocations(docs, least=least, range_words=3_000)) == want
